@@ -55,6 +55,33 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: At most so many keys can each own a HOT-th of the rows that a table's weights count.
+HOT = 1024
+
+
+def lookup_weighted(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``left`` to ``right``, whose ``weight`` says how many left rows each key has.
+
+    Keys (longs) that own more than a ``HOT``-th of all weight are at most ``HOT`` rows: these alone
+    are broadcast, and their left rows go through the shuffle under spread-out stand-in keys.
+    ``right`` is a durable table (read three times), unique by ``keys``; ``left`` is read once.
+    """
+    total = right.agg(F.sum("weight")).first()[0] or 0
+    bar = max(1000, total // HOT)
+    hot = right.where(right["weight"] > bar)
+    if total <= bar or hot.isEmpty():
+        return left.join(right, keys)
+    values = [c for c in right.columns if c not in keys]
+    hot = hot.select(*keys, F.struct(*values).alias("_hot"))
+    light = right.where(right["weight"] <= bar).select(*(F.col(k).alias(f"_{k}") for k in keys), F.struct(*values).alias("_light"))
+    spread = F.xxhash64(*left.columns)
+    both = left.join(F.broadcast(hot), keys, "left").withColumns(
+        {f"_{k}": F.when(F.col("_hot").isNull(), F.col(k)).otherwise(spread) for k in keys}
+    )
+    both = both.join(light, [f"_{k}" for k in keys], "left").withColumn("_hot", F.coalesce("_hot", "_light"))
+    return both.where("_hot is not null").select(*left.columns, *(F.col(f"_hot.{v}").alias(v) for v in values))
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, how: str = "left") -> DataFrame:
     """Join ``left`` to ``right`` (at most one row a key) where a key may own a third of ``left``.
 

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, simhash, token_files
-from .common import scratch_dir
+from . import lines, packing, passages, simhash, suffixes, token_files
+from .common import WHITE, scratch_dir
 
 
 def _path(name: str) -> str:
@@ -35,13 +35,25 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(_documents(spark, sf_dir))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("data", 256).alias("kept_sha256"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = passages.remove_passages(_documents(spark, sf_dir).select("doc_id", "text"))
+    words = F.regexp_replace(F.trim(F.col("text"), F.lit(WHITE)), "[\\x20\\x09-\\x0D]+", " ")
+    kept = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.coalesce(words, F.lit("")))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/logtide-tokens-{uuid.uuid4().hex}"
     token_files.write(_documents(spark, sf_dir), path, _path("byte_bpe_50k.json"))
     return token_files.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_line_dedup, op5_simhash, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_line_dedup, op5_simhash, op6_suffix_dedup, op8_substring_dedup, op10_token_files)}
 
 _KEY = "translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
