@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, passages, simhash, suffixes, token_files
+from . import lines, omh, packing, passages, rules, simhash, suffixes, token_files
 from .common import WHITE, scratch_dir
 
 
@@ -21,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.with_next(_documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _path("word_bpe_49k.json"))
 
@@ -47,13 +51,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/logtide-tokens-{uuid.uuid4().hex}"
     token_files.write(_documents(spark, sf_dir), path, _path("byte_bpe_50k.json"))
     return token_files.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_line_dedup, op5_simhash, op6_suffix_dedup, op8_substring_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op3_packing, op4_line_dedup, op5_simhash, op6_suffix_dedup, op8_substring_dedup, op9_quality_rules, op10_token_files)}
 
 _KEY = "translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
