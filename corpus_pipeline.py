@@ -5,25 +5,50 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logtide.llm import lines, packing, simhash
+from logtide.llm import cotraining, lines, packing, passages, simhash
 from logtide.llm.common import scratch_dir
 from logtide.llm.queries import _path
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    model = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotraining.keep_good(docs, model)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(docs).select(*docs.columns)
+    """Lines that an earlier document has go; ``n_chars`` follows the text."""
+    return _sized(lines.dedup_lines(docs).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
     return simhash.keep_first(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of 50-word passages that an earlier document has go; ``n_chars`` follows the text."""
+    return _sized(passages.remove_passages(docs).select(*docs.columns))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in full sequences."""
     return packing.pack(docs, _path("word_bpe_49k.json"))
 
 
-STAGES = [("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", pack)]
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", pack),
+]
 ORACLE_SQL = None  # the classifier is trained and the packer is a greedy assignment: tested by brute force
 
 

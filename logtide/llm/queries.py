@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, omh, packing, passages, rules, simhash, suffixes, token_files
+from . import cotraining, lines, omh, packing, passages, pieces, rules, simhash, suffixes, token_files
 from .common import WHITE, scratch_dir
 
 
@@ -25,6 +25,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.with_next(_documents(spark, sf_dir))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.nbest_digest(_documents(spark, sf_dir), _path("piece_bpe_32k.model"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _path("word_bpe_49k.json"))
 
@@ -44,6 +48,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("data", 256).alias("kept_sha256"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotraining.score(docs, model)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = passages.remove_passages(_documents(spark, sf_dir).select("doc_id", "text"))
     words = F.regexp_replace(F.trim(F.col("text"), F.lit(WHITE)), "[\\x20\\x09-\\x0D]+", " ")
@@ -61,7 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op3_packing, op4_line_dedup, op5_simhash, op6_suffix_dedup, op8_substring_dedup, op9_quality_rules, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_sentencepiece, op3_packing, op4_line_dedup, op5_simhash, op6_suffix_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_token_files)}
 
 _KEY = "translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
