@@ -63,7 +63,8 @@ def write(
     width = 2 if max(code.size, end_id + 1) <= 1 << 16 else 4
     end = np.array([end_id], "<u4").tobytes()
 
-    sample = docs.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample_docs).select(F.substring("text", 1, 4 * sample_ids).alias("t"))
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.substring("text", 1, 4 * sample_ids).alias("t")).limit(sample_docs)
     ids = [np.frombuffer(x, "<u4")[:sample_ids] for x in code.encode([r.t for r in sample.collect()])]
     content = train_dictionary([x.astype(f"<u{width}").tobytes() for x in ids])
     digest = hashlib.sha256(content).hexdigest()

@@ -14,7 +14,7 @@ import numpy as np
 
 from .common import WHITE
 
-_MOST_WORDS = 900_000
+_MOST_WORDS, _MOST_STEMS = 600_000, 300_000
 _UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x00")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -51,13 +51,28 @@ class Encoder:
         return ("\0" + text.replace("\n", " \n")).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) + len(self.stems) > _MOST_WORDS:
+        if len(self.words) > _MOST_WORDS:
             self.words.clear()
+        if len(self.stems) > _MOST_STEMS:
             self.stems.clear()
-        cut = [self.cut(t) for t in texts]
-        self.learn(set().union(*(c for c in cut if c)).difference(self.words))
-        get = self.words.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        out: list = []
+        gaps, new, get = [], set(), self.words.get
+        for t in texts:
+            keys = self.cut(t)
+            if keys is None:
+                out.append([self.whole(t)])
+                continue
+            ids = list(map(get, keys))
+            missing = [i for i, x in enumerate(ids) if x is None]
+            if missing:
+                new.update(map(keys.__getitem__, missing))
+                gaps.append((ids, keys, missing))
+            out.append(ids)
+        self.learn(new)
+        for ids, keys, missing in gaps:
+            for i in missing:
+                ids[i] = self.words[keys[i]]
+        return list(map(b"".join, out))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
