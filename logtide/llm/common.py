@@ -1,14 +1,7 @@
-"""Helpers shared by the training-data operators: scratch tables, ordered shards, hashing.
-
-Scratch tables are Parquet folders under ``spark.checkpoint.dir`` (shared by all executors,
-so a lost executor costs a re-read and nothing more).  Only where that setting is missing,
-as in unit tests, a local folder is chosen.
-"""
+"""Helpers shared by the training-data operators: ordered shards, skew-proof joins, hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,27 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space of the contracts, `[\x20\x09-\x0D]`; ``bytes.split()`` cuts at the same six.
-WHITE = " \t\n\x0b\x0c\r"
-
+from ..scratch import materialise, scratch_dir
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="logtide-")
-        sc.setCheckpointDir(where)
-        where = sc.getCheckpointDir()
-    return where.rstrip("/")
+__all__ = ["materialise", "scratch_dir"]
 
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back: cuts lineage durably."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/logtide-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII white space of the contracts, `[\x20\x09-\x0D]`; ``bytes.split()`` cuts at the same six.
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
