@@ -26,9 +26,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     A line's key is the line without ASCII white space at both ends, A-Z lower-cased.  A key of at
     least ``min_chars`` code points that two documents hold loses its lines everywhere but in the
     smallest doc_id holding it.  Null or empty text is one empty line.  Rows that share a doc_id
-    count as one document; a null doc_id counts as the largest.  An empty table stays empty.
+    count as one document; a null doc_id counts as the largest.  An empty table stays empty.  Columns
+    of ``docs`` named like the two new ones give way to them.
     """
-    own = docs.columns
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     base = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(
         "_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     )

@@ -35,14 +35,15 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, dense: in
     Words are `[^\\x20\\x09-\\x0D]+`; windows are judged on the input and never cross documents.
     Documents that lose nothing keep their text as it is, white space and all.  Null text has no
     words and stays null.  Rows that share a doc_id are one document to each other; a null doc_id
-    counts as the largest.  An empty table stays empty.
+    counts as the largest.  An empty table stays empty.  Columns of ``docs`` named like the two new ones
+    give way to them.
     """
-    own = docs.columns
+    own = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     rows = docs.withColumns(
         {
-            "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)),
-            "th": F.hash(F.coalesce("text", F.lit(""))),
-            "data": F.coalesce("text", F.lit("")).cast("binary"),
+            "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)),
+            "_th": F.hash(F.coalesce("text", F.lit(""))),
+            "_data": F.coalesce("text", F.lit("")).cast("binary"),
         }
     )
 
@@ -53,8 +54,8 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, dense: in
     def window_keys(content: bytes) -> np.ndarray:
         return np.frombuffer(content, np.uint64)
 
-    runs = matched_windows(rows.select("doc", "th", "data"), word_hashes, pack, window_keys, length, gram, smaller_doc=True, dense=dense)
-    spans = materialise(runs.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "passages")
+    runs = matched_windows(rows.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_data").alias("data")), word_hashes, pack, window_keys, length, gram, smaller_doc=True, dense=dense)
+    spans = materialise(runs.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("lo", "n")).alias("_spans")), "passages")
 
     @F.pandas_udf("struct<text: string, n_words: long, n_removed: long>")
     def rebuilt(data, spans):
@@ -63,6 +64,6 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, dense: in
         out = [kept_words(d, [] if s is None else s, length) for d, s in zip(data, spans, strict=True)]
         return pd.DataFrame({"text": [o[0].decode() for o in out], "n_words": [o[1] for o in out], "n_removed": [o[2] for o in out]})
 
-    joined = rows.join(spans, ["doc", "th"], "left").withColumn("_new", rebuilt("data", "spans"))
+    joined = rows.join(spans, ["_doc", "_th"], "left").withColumn("_new", rebuilt("_data", "_spans"))
     changed = F.when(F.col("_new.n_removed") > 0, F.col("_new.text")).otherwise(F.col("text"))
     return joined.select(*(changed.alias("text") if c == "text" else c for c in own), "_new.n_words", "_new.n_removed")

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, lookup, materialise
@@ -168,7 +168,13 @@ def groups(docs: DataFrame, words: int = 3, dense: int = 1024) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group: one document of each stays."""
-    first = groups(docs, words).where("component_id is not null").select("component_id").distinct()
-    kept = docs.join(first.withColumnRenamed("component_id", "_first"), F.col("doc_id") == F.col("_first"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` whose doc_id names their group: one document of each stays.
+
+    Of several rows with that doc_id the one of smallest text hash stays.  Rows without a doc_id
+    cannot be named and all stay.
+    """
+    first = groups(docs, words).where("component_id is not null").select(F.col("component_id").alias("_first")).distinct()
+    named = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
+    place = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    one = named.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+    return one.unionByName(docs.where("doc_id is null"))
