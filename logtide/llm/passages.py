@@ -1,8 +1,9 @@
 """Word-level substring de-duplication: passages that an earlier document already has.
 
-Every rolling window of ``length`` words probes under its anchor gram (see ``repeats``), hits are
-extended to whole ranges of windows at once, and a word is removed if a window over it also starts
-in a document with a smaller doc_id.
+Fixed, non-overlapping blocks of each document (half a window wide) are indexed, every rolling window
+of that width probes the index, and hits are extended to maximal exact repeats, all windows of
+``length`` words around a hit at once (see ``repeats.by_block``).  A word is removed if a window over
+it also starts in a document with a smaller doc_id.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix, prefix_hash, windows_hash, word_hashes
-from .repeats import matched_windows
+from .repeats import by_block, matched_windows
 
 _LAST = (1 << 63) - 1
 
@@ -29,7 +30,7 @@ def kept_words(data: bytes, spans: list, length: int) -> tuple[bytes, int, int]:
     return b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k), len(words), int((~keep).sum())
 
 
-def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, dense: int = 20_000) -> DataFrame:
+def remove_passages(docs: DataFrame, length: int = 50, gram: int = 6, dense: int = 20_000) -> DataFrame:
     """All columns of ``docs``, ``text`` rebuilt from the kept words, plus ``n_words, n_removed``.
 
     Words are `[^\\x20\\x09-\\x0D]+`; windows are judged on the input and never cross documents.
@@ -54,7 +55,7 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int = 10, dense: in
     def window_keys(content: bytes) -> np.ndarray:
         return np.frombuffer(content, np.uint64)
 
-    runs = matched_windows(rows.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_data").alias("data")), word_hashes, pack, window_keys, length, gram, smaller_doc=True, dense=dense)
+    runs = matched_windows(rows.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col("_data").alias("data")), word_hashes, pack, window_keys, length, gram, smaller_doc=True, filing=by_block, dense=dense)
     spans = materialise(runs.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("lo", "n")).alias("_spans")), "passages")
 
     @F.pandas_udf("struct<text: string, n_words: long, n_removed: long>")

@@ -1,11 +1,18 @@
 """Exact repeated windows over a corpus: the engine under both substring de-duplicators.
 
-A window is ``length`` consecutive units (bytes or words) of one row.  Each window is filed under
-its anchor, the gram of smallest hash in it (leftmost of equals): a choice that depends on the
-window's content alone, so equal windows always meet.  Windows of a row that share an anchor form
-one *occurrence*: its windows' range, the anchor's hash and a hash of the range's whole content.
-
-1. Anchors held once are dropped after a map-side combined count.
+A window is ``length`` consecutive units (bytes or words) of one row.  Windows are filed under
+anchors, grams of smallest hash in a stretch (leftmost of equals): a choice that depends on content
+alone, so equal windows always meet.  An *occurrence* is an anchor at a place with the range of
+windows filed there, the gram's hash and a hash of the range's whole content.  Two ways to file:
+
+- ``by_window``: a window's anchor is chosen in the window itself, so each has exactly one;
+- ``by_block``: non-overlapping blocks of half a window index a row, and every rolling window of a
+  block's width probes that index.  A block and a probe of equal content choose the same gram, so
+  each block is indexed and each run of probes sent under its gram, once.  A window holds a whole
+  block wherever it lies, hence some block of one row meets its copy's probe in the other; from there
+  the match extends over all windows around the gram.
+
+1. Anchors held once, or never indexed, are dropped after a map-side combined count.
 2. Where all occurrences of an anchor have equal content, they are settled without their text.
 3. Otherwise one occurrence per content is fetched and its windows are compared with those of the
    anchor's other contents: suffixes at the window starts are put in (truncated) suffix order, and
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import lookup_weighted, materialise, mix, prefix_hash, spans_hash, windows_hash
 
-OCCURRENCE = "doc long, th int, lo int, n int, anchor long, rng long"
+OCCURRENCE = "doc long, th int, lo int, n int, anchor long, rng long, indexed boolean"
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -43,35 +50,73 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def occurrences(values: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """``lo, n, anchor, rng`` arrays for a row's units (as 64-bit values)."""
-    out: list[tuple] = []
-    step = 1 << 23
+Occurrences = tuple[np.ndarray, ...]
+Filing = Callable[[np.ndarray, int, int], Occurrences]
+
+
+def _in_stretches(values: np.ndarray, length: int, step: int, one: Callable[[np.ndarray], Occurrences]) -> Occurrences:
+    """Occurrences over stretches of at most ``step`` window starts, so places fit in 24 bits."""
+    out = []
     for at in range(0, max(0, len(values) - length + 1), step):
-        part = values[at : at + step + length - 1]
-        prefix = prefix_hash(part)
-        grams = mix(windows_hash(prefix, gram))
-        packed = (grams & ~_POS) | np.arange(len(grams), dtype=np.uint64)
-        chosen = (sliding_min(packed, length - gram + 1) & _POS).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-        after = np.concatenate([first[1:], [len(chosen)]])
-        anchor, n = chosen[first], after - first
-        whole = spans_hash(prefix, first, after - 1 + length)
-        rng = mix(whole ^ mix(((anchor - first) * (1 << 20) + n).astype(np.uint64)))
-        out.append((first + at, n, grams[anchor], rng))
+        lo, *rest = one(values[at : at + step + length - 1])
+        out.append((lo + at, *rest))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, bool))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _occurrence_rows(units: Callable[[bytes], np.ndarray], length: int, gram: int):
+def _chosen(grams: np.ndarray, width: int) -> np.ndarray:
+    """For each stretch of ``width`` grams, the place of its smallest (leftmost of equals)."""
+    packed = (grams & ~_POS) | np.arange(len(grams), dtype=np.uint64)
+    return (sliding_min(packed, width) & _POS).astype(np.int64)
+
+
+def _range_hash(prefix: np.ndarray, lo: np.ndarray, n: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Of the content of the windows [lo, lo + n), with where the gram lies in it."""
+    return mix(spans_hash(prefix, lo, lo + n - 1 + length) ^ mix(((place - lo) * (1 << 20) + n).astype(np.uint64)))
+
+
+def by_window(values: np.ndarray, length: int, gram: int) -> Occurrences:
+    """``lo, n, anchor, rng, indexed`` of a row: runs of windows with the same anchor; all are indexed."""
+
+    def one(part: np.ndarray) -> Occurrences:
+        prefix = prefix_hash(part)
+        grams = mix(windows_hash(prefix, gram))
+        chosen = _chosen(grams, length - gram + 1)
+        lo = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+        n = np.diff(np.concatenate([lo, [len(chosen)]]))
+        place = chosen[lo]
+        return lo, n, grams[place], _range_hash(prefix, lo, n, place, length), np.ones(len(lo), bool)
+
+    return _in_stretches(values, length, 1 << 23, one)
+
+
+def by_block(values: np.ndarray, length: int, gram: int) -> Occurrences:
+    """``lo, n, anchor, rng, indexed`` of a row: each gram that some rolling window of a block's width
+    chooses, with all windows of ``length`` around it; ``indexed`` if a fixed block chooses it."""
+    block = (length + 1) // 2
+
+    def one(part: np.ndarray) -> Occurrences:
+        prefix = prefix_hash(part)
+        grams = mix(windows_hash(prefix, gram))
+        chosen = _chosen(grams, block - gram + 1)
+        place = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])]
+        lo = np.maximum(0, place + gram - length)
+        n = np.minimum(place, len(part) - length) - lo + 1
+        return lo, n, grams[place], _range_hash(prefix, lo, n, place, length), np.isin(place, chosen[::block])
+
+    return _in_stretches(values, length, (1 << 23) // block * block, one)
+
+
+def _occurrence_rows(units: Callable[[bytes], np.ndarray], filing: Filing, length: int, gram: int):
     def run(batches):
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for doc, th, data in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("data"), strict=True):
-                lo, n, anchor, rng = occurrences(units(data.as_py()), length, gram)
+                lo, n, anchor, rng, indexed = filing(units(data.as_py()), length, gram)
                 if len(lo):
-                    for c, x in zip(cols, (np.full(len(lo), doc, np.int64), np.full(len(lo), th, np.int32), lo.astype(np.int32), n.astype(np.int32), anchor.view(np.int64), rng.view(np.int64)), strict=True):
+                    row = (np.full(len(lo), doc, np.int64), np.full(len(lo), th, np.int32), lo.astype(np.int32), n.astype(np.int32), anchor.view(np.int64), rng.view(np.int64), indexed)
+                    for c, x in zip(cols, row, strict=True):
                         c.append(x)
             if cols[0]:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols], [f.split()[0] for f in OCCURRENCE.split(", ")])
@@ -180,6 +225,7 @@ def matched_windows(
     length: int,
     gram: int,
     smaller_doc: bool,
+    filing: Filing = by_window,
     dense: int = 20_000,
 ) -> DataFrame:
     """Runs of windows ``doc, th, lo, n`` that occur elsewhere (or, if asked, in a smaller doc).
@@ -188,13 +234,13 @@ def matched_windows(
     takes a row and ranges (lo, n) of windows and gives contents, of which ``window_keys`` gives
     each window's 64-bit key.
     """
-    found = rows.mapInArrow(_occurrence_rows(units, length, gram), OCCURRENCE)
+    found = rows.mapInArrow(_occurrence_rows(units, filing, length, gram), OCCURRENCE)
     held = found.groupBy("anchor").agg(
-        F.count("*").alias("weight"), F.min("rng").alias("r0"), F.max("rng").alias("r1"), F.min("doc").alias("first"), F.max("doc").alias("last")
+        F.count("*").alias("weight"), F.min("rng").alias("r0"), F.max("rng").alias("r1"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("indexed").alias("indexed")
     )
     several = F.col("first") < F.col("last") if smaller_doc else F.col("weight") > 1
-    held = materialise(held.where(several).select("anchor", "weight", (F.col("r0") == F.col("r1")).alias("alike"), "first"), "anchors")
-    shared = materialise(lookup_weighted(found, held, ["anchor"]), "occurrences")
+    held = materialise(held.where(several & F.col("indexed")).select("anchor", "weight", (F.col("r0") == F.col("r1")).alias("alike"), "first"), "anchors")
+    shared = materialise(lookup_weighted(found.drop("indexed"), held, ["anchor"]), "occurrences")
 
     mixed = shared.where("not alike").select("doc", "th", "lo", "n", "anchor", "rng")
     contents = materialise(

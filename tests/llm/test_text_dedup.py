@@ -97,8 +97,18 @@ def test_longest_previous_factor():
         assert suffixes.longest_previous_factor(data).tolist() == want
 
 
-def test_anchors_are_chosen_by_content():
+def test_windows_are_filed_once_each():
     values = word_hashes(b" ".join(b"w%d" % (i % 37) for i in range(300)))
-    lo, n, anchor, rng = repeats.occurrences(values, 20, 5)
-    assert n.sum() == 300 - 20 + 1 and (lo[1:] == lo[:-1] + n[:-1]).all()
+    lo, n, anchor, rng, indexed = repeats.by_window(values, 20, 5)
+    assert n.sum() == 300 - 20 + 1 and (lo[1:] == lo[:-1] + n[:-1]).all() and indexed.all()
     assert len(set(zip(anchor.tolist(), rng.tolist(), strict=True))) < len(lo)
+
+
+def test_every_window_is_filed_under_an_indexed_block():
+    values = word_hashes(b" ".join(b"w%d" % i for i in range(300)))
+    for length in (12, 13, 50):
+        lo, n, _, _, indexed = repeats.by_block(values, length, 4)
+        filed = np.zeros(300, bool)
+        for a, m in zip(lo[indexed], n[indexed], strict=True):
+            filed[a : a + m] = True
+        assert filed[: 300 - length + 1].all() and not filed[300 - length + 1 :].any() and not indexed.all()
