@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import severity_name
@@ -40,7 +40,11 @@ def detail(template_id: Column, severity: Column, reasons: Column, new_incident:
 
 def cooled(candidates: DataFrame, settings: Settings = Settings(), key: str = "template_id") -> DataFrame:
     """The candidates that are sent: in order of (ts, id), each at least the cooldown after the key's
-    last *sent* one.  Only (key, ts, id) go to the fold; the rest is joined back on the few sent."""
+    last *sent* one.
+
+    A candidate that follows the one before it by the cooldown or more is sent whatever came earlier,
+    so a key's candidates fall into runs that are folded apart.  Only (key, ts, id) go to the fold;
+    the rest is joined back on the few sent."""
     gap = settings.cooldown_seconds
     kinds = {c: candidates.schema[c].dataType.simpleString() for c in (key, "id")}
 
@@ -53,7 +57,10 @@ def cooled(candidates: DataFrame, settings: Settings = Settings(), key: str = "t
         return pdf.iloc[keep][[key, "id"]]
 
     slim = candidates.select(key, "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    sent = slim.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, id {kinds['id']}")
+    before = Window.partitionBy(key).orderBy("at", "id")
+    opens = F.coalesce((F.col("at") - F.lag("at").over(before) >= gap * 1e6).cast("int"), F.lit(1))
+    slim = slim.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before)).drop("opens")
+    sent = slim.groupBy(key, "run").applyInPandas(run, f"{key} {kinds[key]}, id {kinds['id']}")
     return candidates.join(sent, [key, "id"], "left_semi")
 
 
