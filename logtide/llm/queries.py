@@ -87,5 +87,28 @@ judged AS (SELECT doc_id, pos, line, coalesce(doc_id > first_doc, false) AS gone
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
-"""
+""",
+    "op6_suffix_dedup": """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS p FROM docs),
+keyed AS (SELECT doc_id, p, substr(h, 2 * p - 1, 2) AS b, CASE WHEN p + 199 <= length(h) // 2 THEN md5(substr(h, 2 * p - 1, 400)) END AS k FROM bytes),
+twice AS (SELECT k FROM keyed WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+judged AS (SELECT doc_id, p, b, max(CASE WHEN twice.k IS NOT NULL THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM keyed LEFT JOIN twice ON keyed.k = twice.k),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM judged)
+SELECT d.doc_id, length(any_value(d.h)) // 2 AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+       sha256(unhex(coalesce(string_agg(b, '' ORDER BY p) FILTER (WHERE NOT gone), ''))) AS kept_sha256
+FROM docs d LEFT JOIN runs r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+    "op8_substring_dedup": r"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM docs),
+keyed AS (SELECT doc_id, p, word, CASE WHEN p + 49 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS k FROM words),
+firsts AS (SELECT k, min(doc_id) AS f FROM keyed WHERE k IS NOT NULL GROUP BY k HAVING min(doc_id) < max(doc_id)),
+judged AS (SELECT doc_id, p, word, max(CASE WHEN doc_id > f THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM keyed LEFT JOIN firsts ON keyed.k = firsts.k)
+SELECT d.doc_id, len(any_value(d.ws)) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM docs d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
+""",
 }
