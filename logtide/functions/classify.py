@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,10 +107,8 @@ class OnnxClassifier:
         path = self.model_path
 
         @F.pandas_udf("int")
-        def predicted(batches):
-            import numpy as np
+        def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             import onnxruntime
-            import pandas as pd
 
             session = onnxruntime.InferenceSession(path)
             name = session.get_inputs()[0].name
@@ -115,7 +116,6 @@ class OnnxClassifier:
                 out = session.run(None, {name: lines.fillna("").to_numpy(dtype=object)})[0]
                 yield pd.Series(np.asarray(out).reshape(len(lines), -1).argmax(axis=1).astype("int32"))
 
-        predicted.__annotations__ = {}
         return predicted(line), component(line)
 
 
