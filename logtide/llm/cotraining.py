@@ -16,6 +16,7 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,9 +209,7 @@ def keep_good(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5)
     inputs = {"data": F.coalesce("text", F.lit("")).cast("binary")}
 
     @F.pandas_udf("boolean")
-    def good(data, lang, source, size):
-        import pandas as pd
-
+    def good(data: pd.Series, lang: pd.Series, source: pd.Series, size: pd.Series) -> pd.Series:
         if model is None:
             return pd.Series([True] * len(data))
         z = [model.log_odds(text_view(d), meta_slots(a, s, None if pd.isna(n) else n))[2] for d, a, s, n in zip(data, lang, source, size, strict=True)]

@@ -9,7 +9,7 @@ it also starts in a document with a smaller doc_id.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +59,7 @@ def remove_passages(docs: DataFrame, length: int = 50, gram: int = 6, dense: int
     spans = materialise(runs.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("lo", "n")).alias("_spans")), "passages")
 
     @F.pandas_udf("struct<text: string, n_words: long, n_removed: long>")
-    def rebuilt(data, spans):
-        import pandas as pd
-
+    def rebuilt(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = [kept_words(d, [] if s is None else s, length) for d, s in zip(data, spans, strict=True)]
         return pd.DataFrame({"text": [o[0].decode() for o in out], "n_words": [o[1] for o in out], "n_removed": [o[2] for o in out]})
 

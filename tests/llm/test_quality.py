@@ -7,6 +7,8 @@ import numpy as np
 
 import corpus_pipeline
 from logtide.llm import cotraining, rules
+from test_near_dup import brute_fingerprint, brute_groups
+from test_text_dedup import WHITE, covered, low
 
 
 def brute_surface(text):
@@ -77,8 +79,47 @@ def test_views_exchange_labels():
     assert np.mean((np.array(z) > 0) == (y[80:] == 1)) > 0.98
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Each stage over all that its predecessor kept, on whole tables at the smallest scale."""
+    sf = "/root/testdata/sf0.001"
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_classifier", "line_dedup", "simhash_near_dedup", "substring_dedup", "packing"]
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    docs, outs = documents, []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        outs.append(docs)
+    texts = [{r.doc_id: r.text for r in d.collect()} for d in outs[:4]]
+    assert all(d.columns == documents.columns and d.where("n_chars <> char_length(text)").isEmpty() for d in outs[:4])
+
+    model = cotraining.fit(documents, spark.read.parquet(f"{sf}/labels.parquet"))
+    whole = {r.doc_id: r.text for r in documents.collect()}
+    kept = {r.doc_id for r in cotraining.score(documents, model).where("kept").collect()}
+    assert texts[0] == {d: whole[d] for d in kept} and 0 < len(kept) < len(whole)
+
+    held = {}
+    for d, t in texts[0].items():
+        for line in t.split("\n"):
+            k = low(line.strip(WHITE))
+            held[k] = min(d, held.get(k, d))
+    lines = {d: "\n".join(x for x in t.split("\n") if len(k := low(x.strip(WHITE))) < 10 or held[k] == d) for d, t in texts[0].items()}
+    assert texts[1] == lines
+
+    rows = sorted(lines.items())
+    found = brute_groups(rows, [brute_fingerprint(t) for _, t in rows])
+    assert texts[2] == {d: lines[d] for d in {g[2] for g in found}}
+
+    first, words = {}, {d: t.split() for d, t in texts[2].items()}
+    for d, w in words.items():
+        for i in range(len(w) - 49):
+            k = tuple(w[i : i + 50])
+            first[k] = min(d, first.get(k, d))
+    for d, w in words.items():
+        gone = covered(len(w), [i for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d], 50)
+        assert texts[3][d] == (" ".join(x for x, g in zip(w, gone, strict=True) if not g) if gone.any() else texts[2][d])
+
+    packed = outs[4].collect()
+    assert {r.doc_id for r in packed} == set(texts[3])
+    assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0)
+    assert corpus_pipeline.run(spark, sf).count() == len(packed)
