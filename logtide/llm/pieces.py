@@ -27,6 +27,15 @@ _MOST_WORDS = 300_000
 _lattices: dict[str, "Lattice"] = {}
 
 
+def _unlinked(tail: tuple | None) -> tuple:
+    """The ids of a path kept as links ``(ids, rest)``."""
+    out: list[int] = []
+    while tail:
+        out += tail[0]
+        tail = tail[1]
+    return tuple(out)
+
+
 class Lattice:
     """Piece lattices over one vocabulary: ``pieces`` are (text, score) by id, ``byte_ids`` 256 ids or none."""
 
@@ -74,16 +83,18 @@ class Lattice:
         for end in range(1, len(text) + 1):
             best[end] = max(best[start] + score for start, score, _ in into[end])
         out: list[tuple[float, tuple]] = []
-        heap = [(-best[-1], (), len(text), 0.0)]
+        made = 0  # of equal scores, paths nearer the start and then later ones go first
+        heap: list = [(-best[-1], len(text), made, 0.0, None)]
         while heap:
-            bound, tail, at, done = heapq.heappop(heap)
+            bound, at, _, done, tail = heapq.heappop(heap)
             if len(out) >= n and -bound < out[n - 1][0]:
                 break
             if at == 0:
-                out.append((done, tail))
+                out.append((done, _unlinked(tail)))
                 continue
             for start, score, ids in into[at]:
-                heapq.heappush(heap, (-(done + score + best[start]), ids + tail, start, done + score))
+                made -= 1
+                heapq.heappush(heap, (-(done + score + best[start]), start, made, done + score, (ids, tail)))
             if len(heap) > 4096 and len(out) >= n:
                 break  # endless ties beyond the n-th: those found are as good
         return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
