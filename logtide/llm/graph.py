@@ -1,8 +1,8 @@
 """Connected components on Spark: alternating large-star and small-star rounds.
 
 After Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014).  Each round
-rewires edges towards smaller ids by one aggregation and one salted join, and is written to the
-shared scratch folder, so nothing is collected and a lost executor costs one stage.
+rewires edges towards smaller ids by one aggregation and one join that deals a hub's edges out, and is
+written to the shared scratch folder, so nothing is collected and a lost executor costs one stage.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise
+from .common import lookup_weighted, materialise
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -19,8 +19,8 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
         sides = edges
     else:
         sides = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    wired = lookup(sides, least, ["u"], how="inner")
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")).select("u", F.least("u", "m").alias("m"), "weight")
+    wired = lookup_weighted(sides, materialise(least, "stars"), ["u"])
     if small:  # here u is the larger end, v the smaller
         return wired.select(F.col("v").alias("x"), "m").union(wired.select(F.col("u").alias("x"), "m")).where("x <> m").distinct()
     return wired.where("v > u").select(F.col("v").alias("x"), "m").distinct()
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     before = None
     while True:
-        large = _stars(now, small=False).select(F.col("x").alias("u"), F.col("m").alias("v"))
+        large = materialise(_stars(now, small=False).select(F.col("x").alias("u"), F.col("m").alias("v")), "edges")
         now = materialise(_stars(large, small=True).select(F.col("x").alias("u"), F.col("m").alias("v")), "edges")
         seal = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seal == before:

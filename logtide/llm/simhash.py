@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, lookup, materialise
+from .common import documents, lookup_weighted, materialise
 from .graph import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -129,10 +129,10 @@ def links(fps: DataFrame, dense: int = 1024) -> DataFrame:
     ``fps`` holds distinct fingerprints in a durable table (it is read twice).
     """
     probes = fps.select("fp").mapInArrow(_probes, "key long, fp long, stored boolean")
-    met = probes.groupBy("key").agg(F.count("*").alias("n"), F.max("stored").alias("any")).where("n > 1 and any").select("key", "n")
-    rows = materialise(lookup(probes, met, ["key"], salts=4, how="inner"), "buckets")
+    met = probes.groupBy("key").agg(F.count("*").alias("weight"), F.max("stored").alias("any")).where("weight > 1 and any").select("key", "weight")
+    rows = materialise(lookup_weighted(probes, materialise(met, "bucket-sizes"), ["key"]), "buckets")
     small = (
-        rows.where(F.col("n") <= dense)
+        rows.where(F.col("weight") <= dense)
         .groupBy("key")
         .agg(
             F.collect_list(F.when(F.col("stored"), F.col("fp"))).alias("table"),
@@ -141,7 +141,7 @@ def links(fps: DataFrame, dense: int = 1024) -> DataFrame:
         .mapInArrow(_verify, "u long, v long")
     )
     large = (
-        rows.where(F.col("n") > dense)
+        rows.where(F.col("weight") > dense)
         .select("key", "fp", "stored")
         .mapInArrow(_variants, "key long, variant long, fp long, centre boolean")
         .groupBy("key", "variant")
@@ -159,12 +159,13 @@ def groups(docs: DataFrame, words: int = 3, dense: int = 1024) -> DataFrame:
     like any other.  Null doc_ids are kept but never the smallest, unless a group has no other.
     """
     stored = materialise(fingerprints(docs, words), "simhash")
-    heads = materialise(stored.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    heads = materialise(stored.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-distinct")
     root = connected_components(links(heads, dense))
-    rooted = heads.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = materialise(lookup(rooted.select("fp", "root"), named, ["root"]).select("fp", "component_id"), "simhash-named")
-    return lookup(stored, ids, ["fp"]).select("doc_id", "fp", "component_id")
+    rooted = heads.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = materialise(rooted, "simhash-rooted")
+    named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("weight")), "simhash-named")
+    ids = lookup_weighted(rooted.select("fp", "root", "copies"), named, ["root"]).select("fp", "component_id", F.col("copies").alias("weight"))
+    return lookup_weighted(stored, materialise(ids, "simhash-ids"), ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
