@@ -99,6 +99,39 @@ class Lattice:
                 break  # endless ties beyond the n-th: those found are as good
         return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
 
+    def best_and_gap(self, text: str) -> tuple[float, float, tuple]:
+        """Score and ids of the best segmentation, and how far below it the second best lies.
+
+        The forward pass keeps the two best scores of every place; a best path that stands alone is
+        read off its links, which is the path A* takes first.  Ties are left to A*.
+        """
+        get, scores, n = self.ids.get, self.scores, len(text)
+        best, second, link = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1), [(0, ())] * (n + 1)
+        for start in range(n):
+            b, s = best[start], second[start]
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                i = get(text[start:end])
+                if i is not None:
+                    ids, score = (i,), scores[i]
+                elif end == start + 1:
+                    ids = tuple(self.byte_ids[v] for v in text[start].encode()) if self.byte_ids else (self.unknown,)
+                    score = self.unknown_score
+                else:
+                    continue
+                if b + score > best[end]:
+                    second[end], best[end], link[end] = max(best[end], s + score), b + score, (start, ids)
+                elif b + score > second[end]:
+                    second[end] = b + score
+        gap = best[n] - second[n]
+        if gap <= 1e-9 * (1 - best[n]):
+            two = self.nbest(text, 2)
+            return two[0][0], two[0][0] - two[1][0], two[0][1]
+        parts, at = [], n
+        while at:
+            at, ids = link[at]
+            parts.append(ids)
+        return best[n], gap, tuple(i for ids in reversed(parts) for i in ids)
+
     def words(self, text: str) -> list[str]:
         marked = MARK + text.replace(" ", MARK) if text else ""
         return _UNITS.findall(marked) if self.in_words else [marked] * bool(marked)
@@ -109,9 +142,8 @@ class Lattice:
         if len(self.known) > _MOST_WORDS:
             self.known.clear()
         for w in set(words).difference(self.known):
-            two = self.nbest(w, 2)
-            gap = two[0][0] - two[1][0] if len(two) > 1 else np.inf
-            self.known[w] = (two[0][0], gap, np.array(two[0][1], "<u4").tobytes())
+            score, gap, path = self.best_and_gap(w)
+            self.known[w] = (score, gap, np.array(path, "<u4").tobytes())
         if not words:
             return [(0.0, b"")]
         scores, gaps, ids = zip(*map(self.known.__getitem__, words), strict=True)
