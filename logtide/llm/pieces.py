@@ -44,6 +44,8 @@ class Lattice:
         self.scores = [p[1] if p else 0.0 for p in pieces]
         self.byte_ids, self.unknown = byte_ids, unknown
         self.longest = max(map(len, self.ids), default=1)
+        #: Every beginning of a piece, with the piece's id or -1: where a lattice can still go on.
+        self.ways = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.unknown_score = min((p[1] for p in pieces if p), default=0.0) - 10.0
         self.in_words = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.bytes = [p[0].replace(MARK, " ").encode() if p else b"" for p in pieces]
@@ -105,17 +107,19 @@ class Lattice:
         The forward pass keeps the two best scores of every place; a best path that stands alone is
         read off its links, which is the path A* takes first.  Ties are left to A*.
         """
-        get, scores, n = self.ids.get, self.scores, len(text)
+        get, scores, n = self.ways.get, self.scores, len(text)
         best, second, link = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1), [(0, ())] * (n + 1)
         for start in range(n):
             b, s = best[start], second[start]
             for end in range(start + 1, min(n, start + self.longest) + 1):
                 i = get(text[start:end])
-                if i is not None:
+                if i is not None and i >= 0:
                     ids, score = (i,), scores[i]
                 elif end == start + 1:
                     ids = tuple(self.byte_ids[v] for v in text[start].encode()) if self.byte_ids else (self.unknown,)
                     score = self.unknown_score
+                elif i is None:
+                    break
                 else:
                     continue
                 if b + score > best[end]:
