@@ -10,7 +10,7 @@ WORD = r"<[a-z]+>|[a-z0-9]+|[^\sa-z0-9]"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit("(?U)" + WORD), F.lit(0))
 
 
 def token_hash(token: Column) -> Column:

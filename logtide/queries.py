@@ -3,6 +3,11 @@
 Logs are derived from ``events`` (``sources.logs``).  Where mining would make a result
 inexpressible in SQL, the masked line stands for the template; the mined versions are
 registered too, without SQL.
+
+DuckDB's regular expressions are ASCII, so ``mask_documents``, ``classify_documents`` and
+``word_frequency`` compare the rows of ASCII text alone; ``mask_all_documents``,
+``classify_all_documents``, ``word_frequency_all`` and ``word_frequency_documents`` read every
+row and have no SQL.
 """
 
 from __future__ import annotations
@@ -40,6 +45,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whatever its script; null text counts as empty."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.logs_of_events(_table(spark, sf_dir, "events"))
 
@@ -127,6 +137,11 @@ def mask_documents(spark, sf_dir):
     return docs.select("doc_id", F.md5(masking.mask(F.col("text"))).alias("masked_md5"))
 
 
+@query()
+def mask_all_documents(spark, sf_dir):
+    return _whole_documents(spark, sf_dir).select("doc_id", F.md5(masking.mask(F.col("text"))).alias("masked_md5"))
+
+
 @query(f"SELECT page_id, {masking.mask_sql('url')} AS masked FROM pages")
 def mask_page_urls(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", masking.mask(F.col("url")).alias("masked"))
@@ -223,6 +238,12 @@ def classify_documents(spark, sf_dir):
     return docs.select("doc_id", classify.severity(F.col("text")).alias("severity"), classify.component(F.col("text")).alias("component"))
 
 
+@query()
+def classify_all_documents(spark, sf_dir):
+    docs = _whole_documents(spark, sf_dir)
+    return docs.select("doc_id", classify.severity(F.col("text")).alias("severity"), classify.component(F.col("text")).alias("component"))
+
+
 @query(f"WITH {_SQL_CLASSED} SELECT severity, count(*) AS count FROM classed GROUP BY severity")
 def severity_hist(spark, sf_dir):
     return readmodels.severity_histogram(_classed(spark, sf_dir))
@@ -451,6 +472,16 @@ def word_frequency(spark, sf_dir):
     return tokenizer.word_frequency(_table(spark, sf_dir, "benchmark").where(F.col("text").rlike(ASCII)), "text")
 
 
+@query()
+def word_frequency_all(spark, sf_dir):
+    return tokenizer.word_frequency(_table(spark, sf_dir, "benchmark"), "text")
+
+
+@query()
+def word_frequency_documents(spark, sf_dir):
+    return tokenizer.word_frequency(_table(spark, sf_dir, "documents"), "text")
+
+
 @query(f"WITH {_SQL_CLASSED}, w AS (SELECT DISTINCT {_SQL_WORDS.format('masked')} AS token FROM classed) SELECT token, {_SQL_SLOT} AS slot, ('0x' || substr(md5(token), 1, 1))::INTEGER & 2 <> 0 AS positive FROM w")
 def token_hash_slot(spark, sf_dir):
     tokens = _classed(spark, sf_dir).select("masked").distinct().select(F.explode(vectors.words(F.col("masked"))).alias("token")).distinct()
