@@ -1,13 +1,14 @@
 """Quality classifier by co-training (Blum and Mitchell, 1998).
 
 Two views of a document, its text and its metadata (language, source, size), get a logistic
-classifier each.  Over rounds each view labels the pool documents it is surest of for the other.
-Held-out documents calibrate both views (Platt), and all documents are scored by the sum of the
-calibrated log-odds less the prior's, counted once.
-
-The classifiers are fitted on bounded samples (``most_labelled`` labelled and ``most_pool`` other
-documents of smallest hash), whose features, at most ``DIMS`` floats each, come to the driver; the
-pass over all documents ships two weight vectors.
+classifier each.  In each round each view labels every unlabelled document that it is sure of for
+the other, which moves on by gradients over the labelled and all those documents.  Held-out documents
+calibrate both views (Platt), and all documents are scored by the sum of the calibrated log-odds less
+the prior's, counted once.
+
+Labelled documents are a bounded sample (``most_labelled`` of smallest hash), whose features come to
+the driver.  The unlabelled ones are never sampled: their features are written once to the shared
+folder, each step passes over them with two weight vectors and only sums of gradients come back.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .rules import grams
 
 GRAMS = 512
@@ -101,43 +103,83 @@ class CoTrained:
         return one, two, one + two - self.prior
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, at_once: int = 200, sure: float = 0.95) -> CoTrained | None:
-    """Fit on rows with label 1, 0 or -1 (pool); None unless both classes have ten rows."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def pool_sums(views: tuple, teachers: list, students: list, sure: float) -> np.ndarray:
+    """Of unlabelled rows: for each view and class the number of rows that the other view is sure of and
+    the sum of their gradients; then each view's largest squared norm.
+
+    ``teachers`` are the weights and slopes that label, ``students`` the weights that learn.
+    """
+    out = []
+    for me, other in ((0, 1), (1, 0)):
+        w, (a, b) = teachers[other]
+        p = _sigmoid(a * (views[other] @ w[:-1] + w[-1]) + b)
+        for y, rows in ((0, p <= 1 - sure), (1, p >= sure)):
+            x = views[me][rows]
+            miss = _sigmoid(x @ students[me][:-1] + students[me][-1]) - y
+            out += [[len(x)], miss @ x, [miss.sum()]]
+    out.append([float((v * v).sum(axis=1).max(initial=0)) + 1 for v in views])
+    return np.concatenate(out).astype(np.float64)
+
+
+def merged(sums: list[np.ndarray]) -> np.ndarray:
+    """The sums of several parts of the pool as of one."""
+    every = np.array(sums)
+    return np.concatenate([every[:, :-2].sum(axis=0), every[:, -2:].max(axis=0)])
+
+
+def exchange(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool, rounds: int = 4, sure: float = 0.95, steps: int = 12) -> CoTrained | None:
+    """Fit on rows with label 1 or 0; ``pool(teachers, students, sure)`` gives the ``pool_sums`` of all unlabelled rows.
+
+    None unless both classes have ten rows.  Of a class, the labelled rows together and the pseudo-labelled
+    rows together weigh alike, however many they are.
+    """
     if (label == 1).sum() < 10 or (label == 0).sum() < 10:
         return None
-    known = np.flatnonzero(label >= 0)
+    known = np.arange(len(label))
     held, train = known[::4], np.setdiff1d(known, known[::4])
     if len(set(label[held])) < 2 or len(set(label[train])) < 2:
         held = train = known
-    pool = np.flatnonzero(label < 0)
     views = (text, meta)
-    seen = [(train, label[train]), (train, label[train])]
+    weight = [fit_logistic(v[train], label[train]) for v in views]
+    ones = [np.column_stack([v[train], np.ones(len(train), np.float32)]) for v in views]
+    own = [float((x * x).sum(axis=1).max()) for x in ones]
+    y, ridge = label[train], 1e-4
 
-    def fitted():
-        weight = [fit_logistic(v[i], y) for v, (i, y) in zip(views, seen, strict=True)]
-        slopes = [platt(v[held] @ w[:-1] + w[-1], label[held]) for v, w in zip(views, weight, strict=True)]
-        return weight, slopes
+    def slopes():
+        return [platt(v[held] @ w[:-1] + w[-1], label[held]) for v, w in zip(views, weight, strict=True)]
 
-    weight, slopes = fitted()
     for _ in range(rounds):
-        if not len(pool):
+        teachers = list(zip(weight, slopes(), strict=True))
+        ahead = list(weight)
+        for t in range(steps):
+            got = pool(teachers, ahead, sure)
+            norms, at, sure_of = got[-2:], 0, 0
+            for me, x in enumerate(ones):
+                d, step = x.shape[1], ridge * ahead[me]
+                miss = _sigmoid(x @ ahead[me]) - y
+                for c in (0, 1):
+                    n, sums = got[at], got[at + 1 : at + 1 + d]
+                    mean = miss[y == c] @ x[y == c] / (y == c).sum()
+                    step = step + 0.5 * ((mean + sums / n) / 2 if n else mean)
+                    at, sure_of = at + 1 + d, sure_of + n
+                new = (ahead[me] - 4.0 / (max(own[me], norms[me]) + ridge) * step).astype(np.float32)
+                ahead[me], weight[me] = new + np.float32(t / (t + 3)) * (new - weight[me]), new
+            if not sure_of:
+                break
+        if not sure_of:
             break
-        taken = np.zeros(len(pool), bool)
-        for me, other in ((0, 1), (1, 0)):
-            a, b = slopes[me]
-            p = 1 / (1 + np.exp(-np.clip(a * (views[me][pool] @ weight[me][:-1] + weight[me][-1]) + b, -30, 30)))
-            order = np.argsort(-np.abs(p - 0.5), kind="stable")[:at_once]
-            pick = order[np.maximum(p[order], 1 - p[order]) >= sure]
-            if len(pick):
-                i, y = seen[other]
-                seen[other] = np.concatenate([i, pool[pick]]), np.concatenate([y, (p[pick] >= 0.5).astype(label.dtype)])
-                taken[pick] = True
-        if not taken.any():
-            break
-        pool = pool[~taken]
-        weight, slopes = fitted()
-    up, down = (label[known] == 1).sum(), (label[known] == 0).sum()
-    return CoTrained(weight[0], weight[1], tuple(slopes), math.log(up / down))
+    up, down = (label == 1).sum(), (label == 0).sum()
+    return CoTrained(weight[0], weight[1], tuple(slopes()), math.log(up / down))
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, sure: float = 0.95) -> CoTrained | None:
+    """``exchange`` over rows in memory with label 1, 0 or -1 (unlabelled)."""
+    known, free = label >= 0, label < 0
+    return exchange(text[known], meta[known], label[known], lambda *a: pool_sums((text[free], meta[free]), *a), rounds, sure)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -153,31 +195,54 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _features(batches):
     for b in batches:
-        out = []
+        out, slots = [], []
         for data, lang, source, size in zip(*(b.column(c).to_pylist() for c in ("data", "lang", "source", "n_chars")), strict=True):
-            meta = np.zeros(META, np.float32)
-            meta[meta_slots(lang, source, size)] = 1
-            out.append(np.concatenate([text_view(data), meta]).tobytes())
-        yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "x"])
+            out.append(text_view(data).tobytes())
+            slots.append(np.array(meta_slots(lang, source, size), np.int16).tobytes())
+        yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary()), pa.array(slots, pa.binary())], ["doc_id", "x", "slots"])
+
+
+def _matrices(x: list, slots: list) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of rows of ``_features``."""
+    meta = np.zeros((len(x), META), np.float32)
+    meta[np.arange(len(x))[:, None], np.frombuffer(b"".join(slots), np.int16).reshape(len(x), 3)] = 1
+    return np.frombuffer(b"".join(x), np.float32).reshape(len(x), GRAMS + 4), meta
+
+
+def _pool_of(stored: DataFrame):
+    """The ``pool`` of ``exchange`` over stored features; one row of sums a task comes to the driver."""
+
+    def pool(teachers, students, sure):
+        def run(batches):
+            parts = [pool_sums(_matrices(b.column("x").to_pylist(), b.column("slots").to_pylist()), teachers, students, sure) for b in batches if b.num_rows]
+            if parts:
+                yield pa.record_batch([pa.array([merged(parts).tobytes()], pa.binary())], ["sums"])
+
+        got = [np.frombuffer(bytes(r.sums)) for r in stored.mapInArrow(run, "sums binary").collect()]
+        none = pool_sums((np.zeros((0, GRAMS + 4), np.float32), np.zeros((0, META), np.float32)), teachers, students, sure)
+        return merged([none, *got])
+
+    return pool
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_pool: int = 4000) -> CoTrained | None:
-    """Co-train on bounded samples of ``docs``; ``labels`` has doc_id and quality (1 good, 0 not)."""
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> CoTrained | None:
+    """Co-train on a bounded sample of labelled rows and all other rows of ``docs``; ``labels`` has
+    doc_id and quality (1 good, 0 not).  Labelled rows outside the sample count as unlabelled."""
     rows = _rows(docs)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
-    first = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    others = rows.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_pool)
-    asked = dict(map(tuple, first.collect())) | {r.doc_id: -1 for r in others.collect()}
+    asked = dict(map(tuple, known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).collect()))
     if not asked:
         return None
-    ids = docs.sparkSession.createDataFrame(list(asked.items()), "doc_id long, y int")
-    sample = rows.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").mapInArrow(_features, "doc_id long, x binary")
-    got = sorted(((r.doc_id, bytes(r.x)) for r in sample.dropDuplicates(["doc_id"]).collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    if not got:
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in asked], "doc_id long"))
+    kinds = "doc_id long, x binary, slots binary"
+    sample = rows.join(ids, "doc_id", "left_semi").mapInArrow(_features, kinds)
+    got = sorted(sample.dropDuplicates(["doc_id"]).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    y = np.array([asked[r.doc_id] for r in got])
+    if (y == 1).sum() < 10 or (y == 0).sum() < 10:
         return None
-    x = np.frombuffer(b"".join(r[1] for r in got), np.float32).reshape(len(got), DIMS)
-    y = np.array([asked[r[0]] for r in got])
-    return co_train(x[:, : GRAMS + 4], x[:, GRAMS + 4 :], y)
+    text, meta = _matrices([bytes(r.x) for r in got], [bytes(r.slots) for r in got])
+    rest = rows.join(ids, "doc_id", "left_anti").mapInArrow(_features, kinds).select("x", "slots")
+    return exchange(text, meta, y, _pool_of(materialise(rest, "unlabelled")))
 
 
 def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:
