@@ -1,8 +1,8 @@
 """Registered queries over the test tables and their SQL counterparts.
 
 Logs are derived from ``events`` (``sources.logs``).  Where mining would make a result
-inexpressible in SQL, the masked line stands for the template; the mined versions are
-registered too, without SQL.
+inexpressible in SQL, the masked line stands for the template and no line is in a new incident.
+The mined versions, with incidents, are registered as ``pipeline_*`` without SQL.
 
 DuckDB's regular expressions are ASCII, so ``mask_documents``, ``classify_documents`` and
 ``word_frequency`` compare the rows of ASCII text alone; ``mask_all_documents``,
@@ -60,7 +60,7 @@ def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged lines with the masked line as template."""
+    """Judged lines with the masked line as template and without incidents, as the SQL has them."""
     lines = _classed(spark, sf_dir).withColumn("template", F.col("masked")).withColumn("template_id", templates.template_id(F.col("masked")))
     rated = features.rate_z(lines, "template_id", HOURLY)
     place = F.struct("ts", "id")
@@ -575,6 +575,54 @@ def pipeline_alerts(spark, sf_dir):
     return _run(spark, sf_dir).alerts
 
 
+@query()
+def pipeline_anomaly_reasons(spark, sf_dir):
+    lines = _run(spark, sf_dir).lines
+    return lines.where("is_anomaly").select("id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query()
+def pipeline_rollup(spark, sf_dir):
+    return _rolled(readmodels.rollup(_run(spark, sf_dir).lines))
+
+
+@query()
+def pipeline_top_templates(spark, sf_dir):
+    return _rolled(readmodels.top_templates(readmodels.rollup(_run(spark, sf_dir).lines)))
+
+
+@query()
+def pipeline_top_anomalous_templates(spark, sf_dir):
+    return _rolled(readmodels.top_templates(readmodels.rollup(_run(spark, sf_dir).lines), 5, order="anomaly"))
+
+
+def _health(result):
+    return readmodels.health(result.lines, clustering.new_incidents(result.clusters))
+
+
+@query()
+def pipeline_health(spark, sf_dir):
+    return _health(_run(spark, sf_dir))
+
+
+@query()
+def pipeline_prometheus(spark, sf_dir):
+    result = _run(spark, sf_dir)
+    return sinks.prometheus(_health(result), readmodels.severity_histogram(result.lines)).select("line")
+
+
+@query()
+def pipeline_ingest_stats(spark, sf_dir):
+    result = _run(spark, sf_dir)
+    return readmodels.ingest_stats(result.lines, result.alerts)
+
+
+@query()
+def pipeline_store_stats(spark, sf_dir):
+    result = _run(spark, sf_dir)
+    return readmodels.store_stats(readmodels.rollup(result.lines), result.lines.where("is_anomaly"), result.alerts)
+
+
 @query()
 def generated_incidents(spark, sf_dir):
     """The generator's 5000 lines end to end: the injected pattern is among the promoted clusters."""
