@@ -1,7 +1,7 @@
 """Subword vocabulary (BPE) and its greedy encoder.
 
-Word counts come from Spark; merges run on the driver over the counted words, whose number
-``most_words`` bounds.  Encoding runs on distinct words and is joined back.
+Word counts come from Spark; merges run on the driver over all counted words, so its memory grows
+with the distinct words (not with the texts).  Encoding runs on distinct words and is joined back.
 """
 
 from __future__ import annotations
@@ -119,8 +119,8 @@ def merge_loop(counts: dict[str, int], vocab_size: int, min_freq: int, max_merge
     return ids
 
 
-def train(texts: DataFrame, text: str, vocab_size: int = 2000, min_freq: int = 2, max_merges: int = 4000, most_words: int = 50_000) -> Vocabulary:
-    """Fit on the ``most_words`` most frequent words; rarer ones than ``min_freq`` go, placeholders stay."""
+def train(texts: DataFrame, text: str, vocab_size: int = 2000, min_freq: int = 2, max_merges: int = 4000) -> Vocabulary:
+    """Fit on every word that occurs ``min_freq`` times; rarer ones go, placeholders stay."""
     found = word_frequency(texts, text).where((F.col("count") >= min_freq) | F.col("word").rlike("^<.*>$"))
-    top = found.orderBy(F.desc("count"), "word").limit(most_words).collect()
-    return Vocabulary(merge_loop({r.word: r["count"] for r in top}, vocab_size, min_freq, max_merges))
+    counts = {r.word: r["count"] for r in found.toLocalIterator()}
+    return Vocabulary(merge_loop(counts, vocab_size, min_freq, max_merges))
