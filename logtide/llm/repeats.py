@@ -15,8 +15,8 @@ windows filed there, the gram's hash and a hash of the range's whole content.  T
 1. Anchors held once, or never indexed, are dropped after a map-side combined count.
 2. Where all occurrences of an anchor have equal content, they are settled without their text.
 3. Otherwise one occurrence per content is fetched and its windows are compared with those of the
-   anchor's other contents: suffixes at the window starts are put in (truncated) suffix order, and
-   each looks to the nearest equal-by-``length`` suffixes before and after it.
+   anchor's other contents: windows of ``length`` are grouped by a
+   64-bit hash, so equal ones lie together; this is no suffix order.
 4. Anchors with very many contents send their windows' hashes through an ordinary aggregation.
 
 Only hashes, ranges and the fetched contents are shuffled besides the text's single exchange; hot
@@ -143,8 +143,8 @@ def _fetch_rows(pack: Callable[[bytes, list], list[bytes]]):
 def _suffix_matches(keys: np.ndarray, docs: np.ndarray, smaller_doc: bool) -> np.ndarray:
     """Which windows have a match: elsewhere at all, or in a smaller document.
 
-    Suffixes are put in order by their first ``length`` units, ties by document and place; in a run
-    of equal ones the previous and next smaller places are its neighbours and its first member.
+    Windows are sorted by the hash of their ``length`` units, ties by document and place; a run of
+    equal hashes is a group of equal windows.
     """
     order = np.lexsort((docs, keys))
     k, d = keys[order], docs[order]

@@ -1,9 +1,8 @@
-"""Byte-level substring de-duplication over suffix order.
+"""Byte-level substring de-duplication by window hashes.
 
-In a suffix array, a suffix's longest match lies next to it; among the earlier places (longest
-previous factor, LPF) it lies at the previous or next smaller place in suffix order.  A byte range
-repeats iff some suffix's match is at least ``length`` long, so order by the first ``length`` bytes
-decides, and ``repeats`` brings the suffixes that can match together so no machine sorts them all.
+A byte range repeats iff its windows of ``length`` bytes occur elsewhere, so equal window hashes
+decide; ``repeats`` brings the windows that can match together so no machine holds them all.
+``longest_previous_factor`` is the textbook suffix-order array for small strings; no query calls it.
 """
 
 from __future__ import annotations
