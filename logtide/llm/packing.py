@@ -89,9 +89,8 @@ def pack(
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in tokens.in_slices(texts):
-                for doc_id, ids in zip(doc_ids[a:b], code.encode(texts[a:b]), strict=True):
+            for part in tokens.slices(batch):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), code.encode(part.column("text")), strict=True):
                     ids += end
                     whole, before = len(ids) // 4, 0
                     while before < whole:

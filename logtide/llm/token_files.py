@@ -11,7 +11,8 @@ Layout under one folder:
 
 Texts are encoded and compressed before the only shuffle, which carries the frames to ordered
 shards.  A task holds one block at a time.  The dictionary is fitted on a bounded sample
-(``sample_docs`` documents of smallest hash, ``sample_ids`` ids each); every document is written.
+(``sample_docs`` documents of smallest hash, of each a run of ``sample_ids`` ids whose place in the
+whole document a hash chooses); every document is written.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ BLOCKS = (
 
 
 def train_dictionary(serialised: list[bytes], size: int = 64 << 10) -> bytes:
-    """A zstandard dictionary for serialised id arrays; raw content where samples are too few."""
+    """A zstandard dictionary for serialised id arrays; where they are too few to train on, their bytes
+    themselves serve as a raw-content dictionary."""
     samples = [s for s in serialised if s]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -59,25 +61,34 @@ def write(
     written, ordered by their bytes; an empty table writes a dictionary and no blocks.
     """
     spark, docs = docs.sparkSession, documents(docs)
-    code = tokens.encoder(tokenizer_path)
-    width = 2 if max(code.size, end_id + 1) <= 1 << 16 else 4
+    width = 2 if max(tokens.encoder(tokenizer_path).size, end_id + 1) <= 1 << 16 else 4
     end = np.array([end_id], "<u4").tobytes()
 
+    def sampled(batches):
+        code = tokens.encoder(tokenizer_path)
+        for batch in batches:
+            for part in tokens.slices(batch):
+                runs = []
+                for ids in code.encode(part.column("text")):
+                    ids = np.frombuffer(ids, "<u4")
+                    at = zlib.crc32(ids.tobytes()) % max(1, len(ids) - sample_ids + 1)
+                    runs.append(ids[at : at + sample_ids].astype(f"<u{width}").tobytes())
+                yield pa.record_batch([part.column("doc_id"), pa.array(runs, pa.binary())], ["doc_id", "ids"])
+
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.substring("text", 1, 4 * sample_ids).alias("t")).limit(sample_docs)
-    ids = [np.frombuffer(x, "<u4")[:sample_ids] for x in code.encode([r.t for r in sample.collect()])]
-    content = train_dictionary([x.astype(f"<u{width}").tobytes() for x in ids])
+    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(sampled, "doc_id long, ids binary")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "ids").limit(sample_docs).collect()
+    content = train_dictionary([bytes(r.ids) for r in sample])
     digest = hashlib.sha256(content).hexdigest()
     spark.createDataFrame([(digest, width, bytearray(content))], "dict_hash string, width int, content binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def compress(batches):
         code, packer = tokens.encoder(tokenizer_path), zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content))
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in tokens.in_slices(texts):
-                ids = [x + end for x in code.encode(texts[a:b])]
+            for part in tokens.slices(batch):
+                ids = [x + end for x in code.encode(part.column("text"))]
                 frames = [packer.compress(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) for x in ids]
-                yield pa.record_batch([pa.array(doc_ids[a:b], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
+                yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
 
     def blocks(batches):
         shard = None
@@ -116,7 +127,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False, doc_ids: list[i
 
     ``start`` counts the ids of all documents before it: blocks carry the count within their
     shard, and the shards' totals (as many rows as there were shards) are summed here.
-    With ``doc_ids`` only the blocks that can hold them are read.
+    With ``doc_ids`` (a list that fits a plan) only the blocks that hold them are unpacked.  Null
+    doc_ids come back as such, empty documents as their end id, an empty table as no rows.
     """
     stored = spark.read.parquet(f"{path}/dictionary").first()
     content, digest, width = bytes(stored.content), stored.dict_hash, stored.width
@@ -129,11 +141,9 @@ def read(spark: SparkSession, path: str, with_ids: bool = False, doc_ids: list[i
         starts[r.shard] = total
         total += r.n
     wanted = None if doc_ids is None else set(doc_ids)
-    if wanted is not None:
-        near = F.lit(False)
-        for d in sorted(wanted):
-            near |= (F.col("first_doc_id") <= d) & (F.col("last_doc_id") >= d)
-        table = table.where(near)
+    if wanted is not None:  # the ends reach the Parquet scan, the list of ids settles each block
+        few = F.lit(sorted(wanted)).cast("array<long>")
+        table = table.where((F.col("first_doc_id") <= max(wanted, default=0)) & (F.col("last_doc_id") >= min(wanted, default=0)) & F.arrays_overlap("doc_ids", few))
 
     def unpack(batches):
         opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))

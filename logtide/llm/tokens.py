@@ -1,21 +1,29 @@
 """Exact, cached encoding with the ``tokenizers`` library inside Spark tasks.
 
 Both kinds of public vocabulary cut text before any merge: at white space, and between letters
-and what follows them.  A text's ids are therefore the ids of its words in order.  Each Python
-worker keeps the ids of the words it has met (bounded), and the library encodes only new stems,
-many at a time.  Texts whose white space is not plain are given to the library whole.
+and what follows them.  A text's ids are therefore the ids of its words in order.  Arrow splits a
+slice of texts and numbers its distinct words, so Python handles each distinct word once; a word is
+a stem of letters and a tail of punctuation, and the library encodes only stems that this worker has
+not met, many at a time.  A worker keeps two generations of stems, each bounded in bytes.  Texts whose white space is not
+plain are given to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import string
+import sys
 
 import numpy as np
-
-from .common import WHITE
-
-_MOST_WORDS, _MOST_STEMS = 600_000, 300_000
-_UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x00")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: What one generation of a worker's stems may hold, as sizes of keys and values.
+_MOST_BYTES = 40 << 20
+#: White space other than the six ASCII characters (and what Python or the library may take for it).
+_OTHER_SPACE = r"\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_ODD = f"[{_OTHER_SPACE}]"
+_UNEVEN = rf"^$|^[ \n]|[ \n]$|  | \n|\n |\n\n|[\t\r\x0b\x0c\x00{_OTHER_SPACE}]"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -35,79 +43,121 @@ class Encoder:
         self.edge = np.zeros(self.size, bool)
         for piece, i in vocabulary.items():
             self.edge[i] = piece.startswith("Ġ") if self.spaced else piece.endswith("</w>")
-        self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str] | None:
-        """Keys of a text's words; for spaced vocabularies a leading \\0 (start of text) or \\n stands
-        for what precedes a word instead of a space.  None: white space isn't plain."""
-        if not text.isascii() or not text.isprintable():
-            if len(text) - sum(map(len, text.split())) != sum(map(text.count, WHITE)):
-                return None
-        if not self.spaced:
-            return text.split()
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNEVEN):
-            return None
-        return ("\0" + text.replace("\n", " \n")).split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > _MOST_WORDS:
-            self.words.clear()
-        if len(self.stems) > _MOST_STEMS:
-            self.stems.clear()
-        out: list = []
-        gaps, new, get = [], set(), self.words.get
-        for t in texts:
-            keys = self.cut(t)
-            if keys is None:
-                out.append([self.whole(t)])
-                continue
-            ids = list(map(get, keys))
-            missing = [i for i, x in enumerate(ids) if x is None]
-            if missing:
-                new.update(map(keys.__getitem__, missing))
-                gaps.append((ids, keys, missing))
-            out.append(ids)
-        self.learn(new)
-        for ids, keys, missing in gaps:
-            for i in missing:
-                ids[i] = self.words[keys[i]]
-        return list(map(b"".join, out))
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.held = 0
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text; a caller bounds the slice (``slices``)."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        odd = pc.match_substring_regex(texts, _UNEVEN if self.spaced else _ODD).to_numpy(zero_copy_only=False)
+        if odd.any():
+            plain = iter(self.plain(texts.filter(pa.array(~odd))))
+            whole = iter(texts.filter(pa.array(odd)).to_pylist())
+            return [self.whole(next(whole)) if o else next(plain) for o in odd.tolist()]
+        return self.plain(texts)
+
+    def plain(self, texts: pa.Array) -> list[bytes]:
+        """Texts of plain white space: words by number, ids gathered for all words at once."""
+        if not len(texts):
+            return []
+        if self.spaced:  # a leading \0 (start of text) or \n stands for what precedes a word instead of a space
+            marked = pc.binary_join_element_wise("\0", pc.replace_substring(texts, "\n", " \n"), "")
+            words = pc.split_pattern(marked, " ")
+        else:
+            words = pc.ascii_split_whitespace(texts)
+        numbered = words.values.dictionary_encode()
+        ids, ends = self.words(numbered.dictionary)
+        ids, ends = gather(ids, ends, numbered.indices.to_numpy())
+        raw, bounds = ids.tobytes(), (4 * ends[words.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Add words: each is a lead, a stem of letters and a closing comma or stop, or else itself."""
-        parts = []
-        for w in words:
-            body = w.lstrip("\0\n") if self.spaced else w
-            tail = body[-1:] if body[-1:] in (",", ".") and body[-2:-1].isalpha() else ""
-            stem = body[: len(body) - len(tail)]
-            if not self.spaced and stem.isascii():
-                stem = stem.lower()
-            if self.spaced:
-                stem = (w[0] if w[:1] in ("\0", "\n") else " ") + stem
-            parts.append((w, stem, tail))
-        self.learn_stems({p[1] for p in parts}.difference(self.stems))
-        ends = {"": b"", ",": self.whole(","), ".": self.whole(".")}
-        self.words.update((w, self.stems[stem] + ends[tail]) for w, stem, tail in parts)
-
-    def learn_stems(self, stems: set[str]) -> None:
-        plain = [s for s in stems if (s[0] == " " and s[1:].isalpha() if self.spaced else s.isalpha())]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            text = "".join(part) if self.spaced else " ".join(part)
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, with where each word's begin and end.
+
+        A word is a lead and letters (its stem) and closing punctuation, or else a stem as it is."""
+        stem = pc.utf8_rtrim(words, string.punctuation)
+        letters = pc.utf8_is_alpha(pc.utf8_ltrim(stem, "\0\n") if self.spaced else stem)
+        stem = pc.if_else(letters, stem if self.spaced else pc.ascii_lower(stem), words)
+        cut = pc.subtract(pc.binary_length(words), pc.binary_length(stem)).to_numpy()
+        tail = np.zeros(len(words), np.int64)
+        where = np.flatnonzero(cut)
+        ends = [w[-n:] for w, n in zip(strings(words.take(pa.array(where))), cut[where].tolist(), strict=True)]
+        stems = stem.dictionary_encode()
+        names = strings(stems.dictionary)
+        self.learn(names)
+        for t in set(ends).difference(self.tails):
+            self.tails[t] = self.whole(t)
+            self.held += 200 + len(t)
+        number = {t: i for i, t in enumerate(dict.fromkeys(ends), 1)}
+        tail[where] = [number[t] for t in ends]
+        known = [*map(self.stems.__getitem__, names), b"", *map(self.tails.__getitem__, number)]
+        both = np.empty(2 * len(words), np.int64)
+        both[::2], both[1::2] = stems.indices.to_numpy(), tail + len(names)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, at = gather(np.frombuffer(b"".join(known), "<u4"), np.concatenate([[0], np.cumsum(size)]), both)
+        return ids, at[::2]
+
+    def learn(self, names: list[str]) -> None:
+        """Have all of ``names`` in the table.  A full table becomes the old one, from which stems that
+        come again return; the rest of it goes when the next table is full."""
+        if self.held > _MOST_BYTES:
+            self.stems, self.old, self.tails, self.held = {}, self.stems, {}, 0
+        stems = set(names).difference(self.stems)
+        again = stems.intersection(self.old)
+        self.stems.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self.held += sum(map(sys.getsizeof, stems)) + 150 * len(stems)
+        self.add(stems - again if again else stems)
+
+    def add(self, stems: set[str]) -> None:
+        """Encode stems: those of one kind many at a time, cut where a word begins or ends."""
+        ahead, bare, other = [], [], []
+        for s in stems:
+            body = s[1:] if self.spaced and s[:1] in ("\0", "\n") else s
+            (other if not body.isalpha() else ahead if len(body) == len(s) else bare).append(s)
+        for i in range(0, len(ahead), 2000):
+            part = ahead[i : i + 2000]
+            text = "".join(" " + s for s in part) if self.spaced else " ".join(part)
             ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.edge[ids]) + (not self.spaced)
-            bounds = [*(4 * at).tolist(), 4 * len(ids)] if self.spaced else [0, *(4 * at).tolist()]
-            if len(bounds) != len(part) + 1:  # a stem the rule does not fit: one by one
-                self.stems.update((s, self.whole(s)) for s in part)
-                continue
-            raw = ids.tobytes()
+            at = 4 * (np.flatnonzero(self.edge[ids]) + (not self.spaced))
+            self.keep(part, ids.tobytes(), [*at.tolist(), 4 * len(ids)] if self.spaced else [0, *at.tolist()])
+        if bare:
+            line = np.frombuffer(self.whole("\n"), "<u4")
+        for i in range(0, len(bare), 2000):
+            part = bare[i : i + 2000]
+            ids = np.array(self.library.encode("".join("\n" + s[1:] for s in part), add_special_tokens=False).ids, "<u4")
+            at = 4 * np.flatnonzero(ids == line[0])
+            self.keep(part, ids.tobytes(), [*at.tolist(), 4 * len(ids)])
+            for s in part:
+                if s[0] == "\0":
+                    self.stems[s] = self.stems[s][4:]
+        for s in other:
+            self.stems[s] = self.whole((s[1:] if s[:1] == "\0" else s if s[:1] == "\n" else " " + s) if self.spaced else s)
+
+    def keep(self, part: list[str], raw: bytes, bounds: list[int]) -> None:
+        """Cut the ids of joined stems apart; where the cuts do not fit, encode one by one."""
+        if len(bounds) == len(part) + 1:
             self.stems.update((s, raw[a:b]) for s, a, b in zip(part, bounds, bounds[1:], strict=False))
-        for s in stems.difference(plain):
-            self.stems[s] = self.whole(s[1:] if self.spaced and s[0] == "\0" else s)
+        else:
+            self.stems.update((s, self.whole("\n" + s[1:] if s[:1] in ("\0", "\n") else " " + s if self.spaced else s)) for s in part)
+
+
+def strings(texts: pa.Array) -> list[str]:
+    """The strings of an array without nulls, cut from one decoded buffer."""
+    at = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy())]).tolist()
+    whole = "" if not len(texts) else pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "")[0].as_py()
+    return [whole[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def gather(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of ``ids`` that begin and end at ``ends``, those numbered ``at`` one after another."""
+    n = np.diff(ends)[at]
+    out = np.concatenate([[0], np.cumsum(n)])
+    return ids[np.repeat(ends[:-1][at] - out[:-1], n) + np.arange(out[-1])], out
 
 
 def encoder(path: str) -> Encoder:
@@ -117,13 +167,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def in_slices(texts: list, most: int = 4_000_000):
-    """Index ranges of about ``most`` characters, so a batch of long texts stays small in memory."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8_000_000):
+    """Parts of a batch with about ``most`` bytes of text each, so long texts stay small in memory."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    start, n = 0, batch.num_rows
+    while start < n:
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, min(n, int(np.searchsorted(ends, done + most, side="right"))))
+        yield batch.slice(start, end - start)
+        start = end
