@@ -82,39 +82,76 @@ def test_token_files(spark, docs, none, rows, tmp_path):
 
 
 def brute_nbest(lattice, text, n):
-    """All segmentations of a short text, best first."""
-    marked = pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+    """All segmentations of a marked, short text: the n best, equal scores in order of ids."""
     out = []
-    for cuts in itertools.product([0, 1], repeat=max(0, len(marked) - 1)):
-        edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(marked)]
-        total, ok = 0.0, True
+    for cuts in itertools.product([0, 1], repeat=max(0, len(text) - 1)):
+        edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(text)]
+        total, ids = 0.0, ()
         for a, b in itertools.pairwise(edges):
-            part = marked[a:b]
+            part = text[a:b]
             if part in lattice.ids:
                 total += lattice.scores[lattice.ids[part]]
+                ids += (lattice.ids[part],)
             elif len(part) == 1:
                 total += lattice.unknown_score
+                ids += lattice.spell(part)
             else:
-                ok = False
                 break
-        if ok and marked:
-            out.append(total)
-    return sorted(out, reverse=True)[:n] or [0.0]
-
-
-def test_nbest_is_exact():
-    lattice = pieces.Lattice.from_model(P.path("piece_bpe_32k.model"))
-    small = pieces.Lattice([("a", -1.0), ("b", -1.5), ("ab", -1.9), ("aba", -2.4), ("▁", -2.0), ("▁a", -2.2), ("▁ab", -2.6), ("ba", -2.1)], None)
-    for model in (lattice, small):
-        for text in ("", "a", "ab ab", "abab ba", "the cat", "aab b", "  a", "é漢 a"):
-            got = model.encode(text, 5)
-            assert np.allclose([g[0] for g in got], brute_nbest(model, text, 5)), text
-            assert len({g[1] for g in got}) == len(got)
-            if model is lattice:
+        else:
+            out.append((round(float(total), 9), ids))
+    return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+
+
+SMALL = [("a", -1.0), ("b", -1.5), ("ab", -1.9), ("aba", -2.4), ("▁", -2.0), ("▁a", -2.2), ("▁ab", -2.6), ("ba", -2.1)]
+ADDITIVE = [("a" * k, -1.0 * k) for k in (3, 1, 2)] + [("▁", -1.0)]
+
+
+@pytest.fixture(scope="module")
+def public():
+    return pieces.Lattice.from_model(P.path("piece_bpe_32k.model"))
+
+
+def marked(text):
+    return pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+
+
+def test_nbest_is_exact(public):
+    models = (public, pieces.Lattice(SMALL, None), pieces.Lattice(ADDITIVE, None))
+    for model in models:
+        for text in ("", "a", "ab ab", "abab ba", "the cat", "aab b", "  a", "é漢 a", "aaaaaaaaa", "aa aaa", "b#a"):
+            want = brute_nbest(model, marked(text), 5)
+            assert [(round(s, 9), ids) for s, ids in model.nbest(marked(text), 5)] == (want if text else [(0.0, ())]), text
+            (got,) = model.encode([text], 5)
+            assert np.allclose([s for s, _ in got], [w[0] for w in want] or [0.0]), text
+            assert tuple(got[0][1].tolist()) == (want[0][1] if want else ())
+            assert len({tuple(ids.tolist()) for _, ids in got}) == len(got)
+            if model is public:
                 assert all(model.decode(ids) == text for _, ids in got)
+        together = model.encode(["ab ab", "", "the cat", "é漢 a"], 4)
+        for text, best in zip(["ab ab", "", "the cat", "é漢 a"], together, strict=True):
+            assert [(s, i.tolist()) for s, i in best] == [(s, i.tolist()) for s, i in model.encode([text], 4)[0]]
+
+
+def test_ties_are_bounded_and_in_order_of_ids():
+    model = pieces.Lattice(ADDITIVE, None)
+    for long in (41, 60, 2000):  # every segmentation has the same score
+        got = model.nbest("a" * long, 3)
+        assert [s for s, _ in got] == [-float(long)] * 3
+        assert got[0][1] == (0,) * (long // 3) + {0: (), 1: (1,), 2: (1, 1)}[long % 3]
+        assert [i for _, i in got] == sorted(i for _, i in got)
+        (texts,) = model.encode(["a" * long], 3)
+        assert len({tuple(i.tolist()) for _, i in texts}) == 3
+    many = model.encode(["a" * 45 + " " + "a" * 44] * 3, 4)
+    assert all(len(b) == 4 and len({s for s, _ in b}) == 1 for b in many)
+
+
+def test_equal_texts_keep_earlier_choices():
+    model = pieces.Lattice([("a", -1.0), ("aa", -2.0), ("▁", -1.0)], None)
+    (got,) = model.encode(["aa aa aa"], 3)  # each unit has two segmentations of one score
+    assert [i.tolist() for _, i in got] == [[2, 0, 0, 2, 0, 0, 2, 0, 0], [2, 0, 0, 2, 0, 0, 2, 1], [2, 0, 0, 2, 1, 2, 0, 0]]
 
 
-def test_decoding_agrees_with_the_library(docs, none, rows):
+def test_decoding_agrees_with_the_library(spark, docs, none, rows):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
@@ -125,3 +162,5 @@ def test_decoding_agrees_with_the_library(docs, none, rows):
     for r in [r for r in found if r.doc_id in (1, 4, 16)][:6]:
         assert library.decode(np.frombuffer(bytes(r.ids), "<u4").tolist()) == texts[r.doc_id]
     assert pieces.encode_nbest(none, P.path("piece_bpe_32k.model")).count() == 0
+    held = spark.createDataFrame([(1, "x▁y"), (2, "x y")], "doc_id long, text string")
+    assert {(r.doc_id, r.decoded) for r in pieces.encode_nbest(held, P.path("piece_bpe_32k.model")).collect()} == {(1, False), (2, True)}
