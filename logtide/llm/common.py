@@ -22,6 +22,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``docs`` does not have in any case, like those wanted."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(docs: DataFrame, *new: str) -> list[str]:
+    """The columns of ``docs`` but for those named, in any case, like new ones."""
+    return [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone (null text: empty), whatever else the table carries."""
     return docs.select(

@@ -1,23 +1,15 @@
-"""Exact repeated windows over a corpus: the engine under both substring de-duplicators.
+"""Exact repeated windows over a corpus: what both substring de-duplicators share.
 
 A window is ``length`` consecutive units (bytes or words) of one row.  Windows are filed under
-anchors, grams of smallest hash in a stretch (leftmost of equals): a choice that depends on content
-alone, so equal windows always meet.  An *occurrence* is an anchor at a place with the range of
-windows filed there, the gram's hash and a hash of the range's whole content.  Two ways to file:
-
-- ``by_window``: a window's anchor is chosen in the window itself, so each has exactly one;
-- ``by_block``: non-overlapping blocks of half a window index a row, and every rolling window of a
-  block's width probes that index.  A block and a probe of equal content choose the same gram, so
-  each block is indexed and each run of probes sent under its gram, once.  A window holds a whole
-  block wherever it lies, hence some block of one row meets its copy's probe in the other; from there
-  the match extends over all windows around the gram.
-
-1. Anchors held once, or never indexed, are dropped after a map-side combined count.
-2. Where all occurrences of an anchor have equal content, they are settled without their text.
-3. Otherwise one occurrence per content is fetched and its windows are compared with those of the
-   anchor's other contents: windows of ``length`` are grouped by a
-   64-bit hash, so equal ones lie together; this is no suffix order.
-4. Anchors with very many contents send their windows' hashes through an ordinary aggregation.
+anchors so that equal windows always meet.  An *occurrence* is an anchor at a place with the range of
+windows filed there and a hash of the range's whole content.  ``matched`` then works on occurrences:
+
+1. Anchors held once are dropped after a map-side combined count.
+2. Copies collapse: occurrences of an anchor with equal content are one, and where all of an
+   anchor's are equal nothing is left to compare.
+3. Of the others one occurrence per content is fetched, and a task compares the contents of an
+   anchor by the operator's own method (suffix order, or extension of block hits).
+4. Anchors with over ``dense`` contents send their windows' hashes through an ordinary aggregation.
 
 Only hashes, ranges and the fetched contents are shuffled besides the text's single exchange; hot
 keys are looked up by a broadcast of at most ``HOT`` rows.
@@ -34,7 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import lookup_weighted, materialise, mix, prefix_hash, spans_hash, windows_hash
 
-OCCURRENCE = "doc long, th int, lo int, n int, anchor long, rng long, indexed boolean"
+#: ``off`` is where the anchor lies in the content, for operators that need it.
+OCCURRENCE = "doc long, th int, lo int, n int, off int, anchor long, rng long"
+#: Which repeated windows go: all; all but the first by (doc, th, lo); those that a smaller doc has.
+ANYWHERE, LATER, SMALLER_DOC = "anywhere", "later", "smaller doc"
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -51,7 +46,7 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 
 
 Occurrences = tuple[np.ndarray, ...]
-Filing = Callable[[np.ndarray, int, int], Occurrences]
+Compare = Callable[[list[tuple]], tuple[np.ndarray, np.ndarray] | None]
 
 
 def _in_stretches(values: np.ndarray, length: int, step: int, one: Callable[[np.ndarray], Occurrences]) -> Occurrences:
@@ -61,7 +56,7 @@ def _in_stretches(values: np.ndarray, length: int, step: int, one: Callable[[np.
         lo, *rest = one(values[at : at + step + length - 1])
         out.append((lo + at, *rest))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, bool))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -71,13 +66,14 @@ def _chosen(grams: np.ndarray, width: int) -> np.ndarray:
     return (sliding_min(packed, width) & _POS).astype(np.int64)
 
 
-def _range_hash(prefix: np.ndarray, lo: np.ndarray, n: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+def range_hash(prefix: np.ndarray, lo: np.ndarray, n: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     """Of the content of the windows [lo, lo + n), with where the gram lies in it."""
     return mix(spans_hash(prefix, lo, lo + n - 1 + length) ^ mix(((place - lo) * (1 << 20) + n).astype(np.uint64)))
 
 
 def by_window(values: np.ndarray, length: int, gram: int) -> Occurrences:
-    """``lo, n, anchor, rng, indexed`` of a row: runs of windows with the same anchor; all are indexed."""
+    """``lo, n, off, anchor, rng`` of a row: each window's anchor is the gram of smallest hash in it, so runs
+    of windows share one and each window has exactly one."""
 
     def one(part: np.ndarray) -> Occurrences:
         prefix = prefix_hash(part)
@@ -86,37 +82,22 @@ def by_window(values: np.ndarray, length: int, gram: int) -> Occurrences:
         lo = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
         n = np.diff(np.concatenate([lo, [len(chosen)]]))
         place = chosen[lo]
-        return lo, n, grams[place], _range_hash(prefix, lo, n, place, length), np.ones(len(lo), bool)
+        return lo, n, place - lo, grams[place], range_hash(prefix, lo, n, place, length)
 
     return _in_stretches(values, length, 1 << 23, one)
 
 
-def by_block(values: np.ndarray, length: int, gram: int) -> Occurrences:
-    """``lo, n, anchor, rng, indexed`` of a row: each gram that some rolling window of a block's width
-    chooses, with all windows of ``length`` around it; ``indexed`` if a fixed block chooses it."""
-    block = (length + 1) // 2
-
-    def one(part: np.ndarray) -> Occurrences:
-        prefix = prefix_hash(part)
-        grams = mix(windows_hash(prefix, gram))
-        chosen = _chosen(grams, block - gram + 1)
-        place = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])]
-        lo = np.maximum(0, place + gram - length)
-        n = np.minimum(place, len(part) - length) - lo + 1
-        return lo, n, grams[place], _range_hash(prefix, lo, n, place, length), np.isin(place, chosen[::block])
-
-    return _in_stretches(values, length, (1 << 23) // block * block, one)
-
+def occurrence_rows(filed: Callable[[dict], Occurrences], *columns: str):
+    """A ``mapInArrow`` function: ``filed`` gives ``lo, n, off, anchor, rng`` of a row's ``columns``."""
 
-def _occurrence_rows(units: Callable[[bytes], np.ndarray], filing: Filing, length: int, gram: int):
     def run(batches):
         for b in batches:
             cols: list[list] = [[], [], [], [], [], [], []]
-            for doc, th, data in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("data"), strict=True):
-                lo, n, anchor, rng, indexed = filing(units(data.as_py()), length, gram)
+            for doc, th, *row in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), *(b.column(c) for c in columns), strict=True):
+                lo, n, off, anchor, rng = filed(*(x.as_py() for x in row))
                 if len(lo):
-                    row = (np.full(len(lo), doc, np.int64), np.full(len(lo), th, np.int32), lo.astype(np.int32), n.astype(np.int32), anchor.view(np.int64), rng.view(np.int64), indexed)
-                    for c, x in zip(cols, row, strict=True):
+                    out = (np.full(len(lo), doc, np.int64), np.full(len(lo), th, np.int32), lo.astype(np.int32), n.astype(np.int32), off.astype(np.int32), anchor.view(np.int64), rng.view(np.int64))
+                    for c, x in zip(cols, out, strict=True):
                         c.append(x)
             if cols[0]:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols], [f.split()[0] for f in OCCURRENCE.split(", ")])
@@ -130,7 +111,7 @@ def _fetch_rows(pack: Callable[[bytes, list], list[bytes]]):
     def run(batches):
         for b in batches:
             for doc, th, data, asked in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("data"), b.column("asked").to_pylist(), strict=True):
-                got = pack(data.as_py(), [(a["lo"], a["n"]) for a in asked])
+                got = pack(data.as_py(), [(a["lo"], a["n"], a["off"]) for a in asked])
                 m = len(asked)
                 yield pa.record_batch(
                     [pa.array([a["anchor"] for a in asked], pa.int64()), pa.array([doc] * m, pa.int64()), pa.array([th] * m, pa.int32()), pa.array([a["lo"] for a in asked], pa.int32()), pa.array(got, pa.binary())],
@@ -140,37 +121,18 @@ def _fetch_rows(pack: Callable[[bytes, list], list[bytes]]):
     return run
 
 
-def _suffix_matches(keys: np.ndarray, docs: np.ndarray, smaller_doc: bool) -> np.ndarray:
-    """Which windows have a match: elsewhere at all, or in a smaller document.
+def _compared(compare: Compare, held_bytes: int):
+    """Contents in order of anchor, doc, th and lo in; runs of matched windows ``doc, th, lo, n`` out.
 
-    Windows are sorted by the hash of their ``length`` units, ties by document and place; a run of
-    equal hashes is a group of equal windows.
-    """
-    order = np.lexsort((docs, keys))
-    k, d = keys[order], docs[order]
-    same = k[1:] == k[:-1]
-    found = np.zeros(len(k), bool)
-    if smaller_doc:
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(k)), 0))
-        found = d[head] < d
-    else:
-        found[1:] |= same
-        found[:-1] |= same
-    out = np.empty(len(k), bool)
-    out[order] = found
-    return out
-
-
-def _compare(window_keys: Callable[[bytes], np.ndarray], smaller_doc: bool, held_bytes: int = 16 << 20):
-    """Contents sorted by anchor in; spans of matched windows ``doc, th, lo, n`` out."""
+    ``compare`` takes whole anchors and gives each content's number of windows and, for all windows
+    one after another, whether they match."""
 
     def judged(rows: list[tuple]):
-        keys = [window_keys(r[4]) for r in rows]
-        sizes = [len(k) for k in keys]
-        found = _suffix_matches(np.concatenate(keys), np.repeat(np.array([r[1] for r in rows], np.int64), sizes), smaller_doc)
-        # Runs of matched windows, none across two contents
+        if len(rows) < 2:
+            return None
+        sizes, found = compare(rows)
         row = np.repeat(np.arange(len(rows)), sizes)
-        place = np.arange(len(row)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = np.flatnonzero(found)
         if not len(at):
             return None
@@ -217,56 +179,49 @@ def _window_rows(window_keys: Callable[[bytes], np.ndarray]):
     return run
 
 
-def matched_windows(
+def matched(
     rows: DataFrame,
-    units: Callable[[bytes], np.ndarray],
+    found: DataFrame,
     pack: Callable[[bytes, list], list[bytes]],
+    compare: Compare,
     window_keys: Callable[[bytes], np.ndarray],
-    length: int,
-    gram: int,
-    smaller_doc: bool,
-    filing: Filing = by_window,
-    dense: int = 20_000,
+    rule: str,
+    dense: int,
+    held_bytes: int = 2 << 20,
 ) -> DataFrame:
-    """Runs of windows ``doc, th, lo, n`` that occur elsewhere (or, if asked, in a smaller doc).
+    """Runs of windows ``doc, th, lo, n`` that go by ``rule``, from the occurrences ``found``.
 
     ``rows`` has ``doc long, th int, data binary``; equal (doc, th) must mean equal rows.  ``pack``
-    takes a row and ranges (lo, n) of windows and gives contents, of which ``window_keys`` gives
-    each window's 64-bit key.
+    takes a row and (lo, n, off) and gives contents, of which ``compare`` judges the windows and
+    ``window_keys`` gives their 64-bit hashes.
     """
-    found = rows.mapInArrow(_occurrence_rows(units, filing, length, gram), OCCURRENCE)
+    place = F.struct("doc", "th", "lo")
+    by_doc = rule == SMALLER_DOC
     held = found.groupBy("anchor").agg(
-        F.count("*").alias("weight"), F.min("rng").alias("r0"), F.max("rng").alias("r1"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("indexed").alias("indexed")
+        F.count("*").alias("weight"), F.min("rng").alias("r0"), F.max("rng").alias("r1"), F.min("doc").alias("first"), F.max("doc").alias("last"), *([F.min(place).alias("one")] if rule == LATER else [])
     )
-    several = F.col("first") < F.col("last") if smaller_doc else F.col("weight") > 1
-    held = materialise(held.where(several & F.col("indexed")).select("anchor", "weight", (F.col("r0") == F.col("r1")).alias("alike"), "first"), "anchors")
-    shared = materialise(lookup_weighted(found.drop("indexed"), held, ["anchor"]), "occurrences")
+    held = held.where(F.col("first") < F.col("last") if by_doc else F.col("weight") > 1).select("anchor", "weight", (F.col("r0") == F.col("r1")).alias("alike"), "first", *(["one"] if rule == LATER else []))
+    shared = materialise(lookup_weighted(found, materialise(held, "anchors"), ["anchor"]), "occurrences")
 
-    mixed = shared.where("not alike").select("doc", "th", "lo", "n", "anchor", "rng")
-    contents = materialise(
-        mixed.groupBy("anchor", "rng").agg(F.count("*").alias("weight"), F.min("doc").alias("first"), F.min(F.struct("doc", "th", "lo")).alias("one")), "contents"
-    )
+    mixed = shared.where("not alike").select("doc", "th", "lo", "n", "off", "anchor", "rng")
+    contents = materialise(mixed.groupBy("anchor", "rng").agg(F.count("*").alias("weight"), F.min("doc").alias("first"), F.min(place).alias("one")), "contents")
     judged = lookup_weighted(mixed, contents, ["anchor", "rng"])
-    many = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > dense).select("anchor", F.lit(True).alias("many"))
-    if smaller_doc:
-        settled = shared.where("alike and doc > first").select("doc", "th", "lo", "n").union(judged.where("doc > first").select("doc", "th", "lo", "n"))
-        asked = judged.where("doc = first")
-    else:
-        settled = shared.where("alike").select("doc", "th", "lo", "n").union(judged.where("weight > 1").select("doc", "th", "lo", "n"))
-        asked = judged.where(F.struct("doc", "th", "lo") == F.col("one"))
-    asked = asked.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "n", "anchor")).alias("asked"))
-    fetched = rows.join(asked, ["doc", "th"]).mapInArrow(_fetch_rows(pack), "anchor long, doc long, th int, lo int, content binary")
-    fetched = materialise(fetched, "fetched")
-    manys = materialise(many, "many-contents")
-    if manys.isEmpty():
+    runs = ("doc", "th", "lo", "n")
+    gone = {ANYWHERE: F.lit(True), LATER: place != F.col("one") if rule == LATER else None, SMALLER_DOC: F.col("doc") > F.col("first")}[rule]
+    settled = shared.where("alike").where(gone).select(*runs).union(judged.where("weight > 1" if rule == ANYWHERE else place != F.col("one") if rule == LATER else "doc > first").select(*runs))
+    asked = judged.where("doc = first" if by_doc else place == F.col("one")).groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "n", "off", "anchor")).alias("asked"))
+    fetched = materialise(rows.join(asked, ["doc", "th"]).mapInArrow(_fetch_rows(pack), "anchor long, doc long, th int, lo int, content binary"), "fetched")
+    many = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > dense).select("anchor")
+    many = materialise(many, "many-contents")
+    if many.isEmpty():
         few, windows = fetched, None
     else:
-        few = fetched.join(manys, "anchor", "left_anti")
-        windows = fetched.join(manys.select("anchor"), "anchor", "left_semi").mapInArrow(_window_rows(window_keys), "key long, doc long, th int, lo int")
-    compared = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(window_keys, smaller_doc), "doc long, th int, lo int, n int")
-    out = settled.union(compared)
+        few = fetched.join(many, "anchor", "left_anti")
+        windows = fetched.join(many, "anchor", "left_semi").mapInArrow(_window_rows(window_keys), "key long, doc long, th int, lo int")
+    order = few.repartition("anchor").sortWithinPartitions("anchor", "doc", "th", "lo")
+    out = settled.union(order.mapInArrow(_compared(compare, held_bytes), "doc long, th int, lo int, n int"))
     if windows is not None:
-        same = materialise(windows.groupBy("key").agg(F.count("*").alias("weight"), F.min("doc").alias("first"), F.max("doc").alias("last")).where("weight > 1"), "windows")
-        hits = lookup_weighted(windows, same, ["key"])
-        out = out.union(hits.where("doc > first" if smaller_doc else "true").select("doc", "th", "lo", F.lit(1).alias("n")))
+        same = windows.groupBy("key").agg(F.count("*").alias("weight"), F.min("doc").alias("first"), *([F.min(place).alias("one")] if rule == LATER else [])).where("weight > 1")
+        hits = lookup_weighted(windows, materialise(same, "windows"), ["key"]).where(gone)
+        out = out.union(hits.select("doc", "th", "lo", F.lit(1).alias("n")))
     return out

@@ -60,7 +60,7 @@ def brute_bytes(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize("dense", [20_000, 1])
+@pytest.mark.parametrize("dense", [4000, 1])
 def test_bytes(docs, none, rows, dense):
     done = suffixes.remove_repeats(docs, length=60, gram=12, dense=dense)
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.data))) for r in done.collect())
@@ -68,6 +68,28 @@ def test_bytes(docs, none, rows, dense):
     assert suffixes.remove_repeats(none, length=60, gram=12).count() == 0
 
 
+@pytest.mark.parametrize("dense", [4000, 1])
+def test_bytes_keep_the_first_copy(spark, rows, dense):
+    unique = {}
+    for i, t in rows:
+        if i is not None and i not in unique:
+            unique[i] = t
+    docs = spark.createDataFrame(list(unique.items()), "doc_id long, text string")
+    done = suffixes.remove_repeats(docs, length=60, gram=12, dense=dense, keep_first=True)
+    seen, want = set(), Counter()
+    for i in sorted(unique):
+        b = (unique[i] or "").encode()
+        starts = []
+        for s in range(len(b) - 60 + 1):
+            w = b[s : s + 60]
+            if w in seen:
+                starts.append(s)
+            seen.add(w)
+        gone = covered(len(b), starts, 60)
+        want[(i, int(gone.sum()), sha(bytes(x for x, g in zip(b, gone, strict=True) if not g)))] += 1
+    assert Counter((r.doc_id, r.n_removed, sha(bytes(r.data))) for r in done.collect()) == want
+
+
 def brute_words(rows, length):
     texts = [(LAST if i is None else i, (t or "").encode().split()) for i, t in rows]
     first = {}
@@ -82,9 +104,9 @@ def brute_words(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("length", "dense"), [(50, 20_000), (12, 20_000), (12, 1)])
+@pytest.mark.parametrize(("length", "dense"), [(50, 256), (13, 256), (12, 256), (12, 1), (2, 256)])
 def test_words(docs, none, rows, length, dense):
-    done = passages.remove_passages(docs, length=length, gram=5, dense=dense)
+    done = passages.remove_passages(docs, length=length, dense=dense)
     assert set(docs.columns) <= set(done.columns)
     got = Counter((r.doc_id, r.n_words, r.n_removed, sha(b" ".join((r.text or "").encode().split()))) for r in done.collect())
     assert got == brute_words(rows, length)
@@ -99,16 +121,8 @@ def test_longest_previous_factor():
 
 def test_windows_are_filed_once_each():
     values = word_hashes(b" ".join(b"w%d" % (i % 37) for i in range(300)))
-    lo, n, anchor, rng, indexed = repeats.by_window(values, 20, 5)
-    assert n.sum() == 300 - 20 + 1 and (lo[1:] == lo[:-1] + n[:-1]).all() and indexed.all()
+    lo, n, off, anchor, rng = repeats.by_window(values, 20, 5)
+    assert n.sum() == 300 - 20 + 1 and (lo[1:] == lo[:-1] + n[:-1]).all() and (off >= 0).all()
     assert len(set(zip(anchor.tolist(), rng.tolist(), strict=True))) < len(lo)
 
 
-def test_every_window_is_filed_under_an_indexed_block():
-    values = word_hashes(b" ".join(b"w%d" % i for i in range(300)))
-    for length in (12, 13, 50):
-        lo, n, _, _, indexed = repeats.by_block(values, length, 4)
-        filed = np.zeros(300, bool)
-        for a, m in zip(lo[indexed], n[indexed], strict=True):
-            filed[a : a + m] = True
-        assert filed[: 300 - length + 1].all() and not filed[300 - length + 1 :].any() and not indexed.all()
