@@ -43,8 +43,9 @@ def cooled(candidates: DataFrame, settings: Settings = Settings(), key: str = "t
     last *sent* one.
 
     A candidate that follows the one before it by the cooldown or more is sent whatever came earlier,
-    so a key's candidates fall into runs that are folded apart.  Only (key, ts, id) go to the fold;
-    the rest is joined back on the few sent."""
+    so a key's candidates fall into runs that are folded apart.  Time is cut into slots of the cooldown:
+    such a gap can only lie between slots, so runs are found on each slot's first and last time, not on
+    the candidates.  Only (key, ts, id) go to the fold; the rest is joined back on the few sent."""
     gap = settings.cooldown_seconds
     kinds = {c: candidates.schema[c].dataType.simpleString() for c in (key, "id")}
 
@@ -56,11 +57,15 @@ def cooled(candidates: DataFrame, settings: Settings = Settings(), key: str = "t
             i = max(i + 1, int(np.searchsorted(at, at[i] + gap * 1e6, side="left")))
         return pdf.iloc[keep][[key, "id"]]
 
-    slim = candidates.select(key, "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    before = Window.partitionBy(key).orderBy("at", "id")
-    opens = F.coalesce((F.col("at") - F.lag("at").over(before) >= gap * 1e6).cast("int"), F.lit(1))
-    slim = slim.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before)).drop("opens")
-    sent = slim.groupBy(key, "run").applyInPandas(run, f"{key} {kinds[key]}, id {kinds['id']}")
+    if gap <= 0:
+        return candidates
+    slot = F.floor(F.col("at") / F.lit(gap * 1e6)).cast("long")
+    slim = candidates.select(key, "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).withColumn("slot", slot)
+    spans = slim.groupBy(key, "slot").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    before = Window.partitionBy(key).orderBy("slot")
+    opens = F.coalesce((F.col("lo") - F.lag("hi").over(before) >= gap * 1e6).cast("int"), F.lit(1))
+    runs = spans.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before)).select(key, "slot", "run")
+    sent = slim.join(runs, [key, "slot"]).groupBy(key, "run").applyInPandas(run, f"{key} {kinds[key]}, id {kinds['id']}")
     return candidates.join(sent, [key, "id"], "left_semi")
 
 

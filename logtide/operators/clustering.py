@@ -25,21 +25,21 @@ def gate(severity: Column, is_new: Column, reasons: Column) -> Column:
 
 def leader_fold(vectors: np.ndarray, weights: list[int], similarity: float) -> list[int]:
     """Assign vectors in order: the most similar leader (first of equals) at or over the threshold
-    takes it and moves towards it by its weight; else it leads a new cluster."""
-    sums: list[np.ndarray] = []
-    assigned: list[int] = []
+    takes it and moves towards it by its weight; else it leads a new cluster.
+
+    Centres are kept normalised in one array, so each vector costs one product with it.
+    """
+    sums = np.zeros((16, vectors.shape[1] if vectors.ndim == 2 else 0))
+    centres, n, assigned = np.zeros_like(sums), 0, []
     for v, w in zip(vectors, weights, strict=True):
-        best = -1
-        if sums:
-            centres = np.array([s / (np.linalg.norm(s) or 1.0) for s in sums])
-            cosines = centres @ v
-            best = int(np.argmax(cosines))
-            if cosines[best] < similarity:
-                best = -1
-        if best < 0:
-            best = len(sums)
-            sums.append(np.zeros(len(v)))
-        sums[best] = sums[best] + w * v
+        cosines = centres[:n] @ v
+        best = int(np.argmax(cosines)) if n else -1
+        if best < 0 or cosines[best] < similarity:
+            if n == len(sums):
+                sums, centres = (np.concatenate([x, np.zeros_like(x)]) for x in (sums, centres))
+            best, n = n, n + 1
+        sums[best] += w * v
+        centres[best] = sums[best] / (np.linalg.norm(sums[best]) or 1.0)
         assigned.append(best)
     return assigned
 
@@ -101,14 +101,21 @@ def new_incidents(found: DataFrame) -> DataFrame:
     return found.where("promoted and new_incident")
 
 
-def line_flags(gated: DataFrame, assigned: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``id, cluster_id, new_incident`` of gated lines: from the promoting line on, within the window."""
+def promotions(gated: DataFrame, assigned: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``cluster_id, promoted_from`` (a struct of ts and id, null if never) ``, since``: the line that
+    promotes a cluster and its first time.  Spark keeps ``min_cluster_size`` rows a cluster per task
+    before it shuffles."""
     lines = gated.join(assigned.select("template_id", "cluster_id"), "template_id")
     early = Window.partitionBy("cluster_id").orderBy("ts", "id")
-    promoted = (
-        lines.select("cluster_id", "ts", "id").withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= settings.min_cluster_size)
-        .groupBy("cluster_id").agg(F.max("_n").alias("_have"), F.max(F.struct("ts", "id")).alias("_from"), F.min("ts").alias("_first"))
+    first = lines.select("cluster_id", "ts", "id").withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= settings.min_cluster_size)
+    return first.groupBy("cluster_id").agg(
+        F.max(F.when(F.col("_n") == settings.min_cluster_size, F.struct("ts", "id"))).alias("promoted_from"), F.min("ts").alias("since")
     )
-    since = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp"))) / 1e6
-    flag = (F.col("_have") >= settings.min_cluster_size) & (F.struct("ts", "id") >= F.col("_from")) & (since <= settings.new_incident_seconds)
-    return lines.join(promoted, "cluster_id").select("id", "cluster_id", flag.alias("new_incident"))
+
+
+def flagged(lines: DataFrame, is_gated: Column, settings: Settings = Settings()) -> DataFrame:
+    """Lines with their template's cluster: ``cluster_id`` of gated lines alone, and ``new_incident``
+    from the promoting line on, within the window."""
+    since = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("since").cast("timestamp"))) / 1e6
+    flag = is_gated & (F.struct("ts", "id") >= F.col("promoted_from")) & (since <= settings.new_incident_seconds)
+    return lines.withColumns({"new_incident": F.coalesce(flag, F.lit(False)), "cluster_id": F.when(is_gated, F.col("cluster_id"))}).drop("promoted_from", "since")

@@ -7,11 +7,13 @@ tree is a grouping key (token count and capped leading tokens), which makes the
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import Settings
+from .features import window_index
 
 WILD = "<*>"
 EMPTY = "<empty>"
@@ -61,26 +63,36 @@ def capped_buckets(strings: DataFrame, settings: Settings = Settings()) -> DataF
 
 
 def fold(strings: list[list[str]], threshold: float, groups: list[list[str]] | None = None) -> tuple[list[int], list[list[str]]]:
-    """Fold token lists, in order, into groups: the most similar (first of equals) at or over the
-    threshold takes a string and turns its differing places wild; else the string opens a group."""
+    """Fold token lists of one length, in order, into groups: the most similar (first of equals) at or over
+    the threshold takes a string and turns its differing places wild; else the string opens a group.
+
+    Words are numbered, so a string meets all groups in one comparison of arrays.
+    """
     groups = [] if groups is None else groups
-    assigned = []
+    if not strings:
+        return [], groups
+    numbers: dict[str, int] = {WILD: 0}
+    number = lambda toks: [numbers.setdefault(t, len(numbers)) for t in toks]
+    table = np.zeros((max(16, 2 * len(groups)), len(strings[0])), np.int64)
+    for g, have in enumerate(groups):
+        table[g] = number(have)
+    n, assigned = len(groups), []
     for toks in strings:
-        best, best_score = -1, -1.0
-        for g, have in enumerate(groups):
-            hits = sum(1 for a, b in zip(have, toks, strict=True) if a == b or a == WILD or b == WILD)
-            score = hits / len(toks) if toks else 1.0
-            if score > best_score:
-                best, best_score = g, score
-                if score == 1.0:
-                    break
-        if best >= 0 and best_score >= threshold:
-            groups[best] = [a if a == b else WILD for a, b in zip(groups[best], toks, strict=True)]
+        row = np.array(number(toks), np.int64)
+        have = table[:n]
+        same = (have == row) | (have == 0) | (row == 0)
+        scores = same.mean(axis=1) if len(row) else np.ones(n)
+        best = int(scores.argmax()) if n else -1
+        if best >= 0 and scores[best] >= threshold:
+            table[best] = np.where(have[best] == row, row, 0)
         else:
-            best = len(groups)
-            groups.append(list(toks))
+            if n == len(table):
+                table = np.concatenate([table, np.zeros_like(table)])
+            best, n = n, n + 1
+            table[best] = row
         assigned.append(best)
-    return assigned, groups
+    words = list(numbers)
+    return assigned, [[words[i] for i in r] for r in table[:n].tolist()]
 
 
 def mine(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -89,6 +101,11 @@ def mine(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Final templates: one id for all lines of a group, whatever the group looked like at the time.
     ``seed`` is the group's first string, the stable key that streams use.
     """
+    return mine_strings(distinct_masked(lines), settings)
+
+
+def mine_strings(strings: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``mine`` over the distinct strings of ``distinct_masked``."""
     threshold = settings.template_similarity
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,7 +117,7 @@ def mine(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
             seeds.setdefault(a, m)
         return pd.DataFrame({"masked": pdf["masked"], "template": [texts[a] for a in assigned], "seed": [seeds[a] for a in assigned]})
 
-    keyed = capped_buckets(distinct_masked(lines), settings).select("masked", "toks", "n_tokens", F.array_join("prefix", " ").alias("prefix"), "first.ts", "first.id")
+    keyed = capped_buckets(strings, settings).select("masked", "toks", "n_tokens", F.array_join("prefix", " ").alias("prefix"), "first.ts", "first.id")
     found = keyed.groupBy("n_tokens", "prefix").applyInPandas(run, "masked string, template string, seed string")
     return found.withColumn("template_id", template_id(F.col("template")))
 
@@ -120,10 +137,19 @@ def first_rows(lines: DataFrame, keep: int) -> DataFrame:
     return early.groupBy("template_id").agg(F.min(F.struct("ts", "id")).alias("first"), F.max(F.struct("ts", "id")).alias("upto"))
 
 
-def matched_counts(lines: DataFrame) -> DataFrame:
-    """Adds ``matched_count``, the line's running number in its template, and ``is_new``."""
-    w = Window.partitionBy("template_id").orderBy("ts", "id")
-    return lines.withColumn("matched_count", F.row_number().over(w).cast("long")).withColumn("is_new", F.col("matched_count") == 1)
+def matched_counts(lines: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+    """Adds ``matched_count``, the line's running number in its template, and ``is_new``.
+
+    Lines are numbered within slices of time, and the lines of earlier slices come from a running sum
+    over each template's slices, so a hot template is dealt over its slices.
+    """
+    sliced = lines.withColumn("_slice", window_index(F.col("ts"), slice_seconds))
+    counts = sliced.groupBy("template_id", "_slice").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("template_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("template_id", "_slice").orderBy("ts", "id"))
+    out = sliced.withColumn("_place", place).join(counts, ["template_id", "_slice"]).withColumn("matched_count", (F.col("_before") + F.col("_place")).cast("long"))
+    return out.withColumn("is_new", F.col("matched_count") == 1).drop("_slice", "_place", "_before")
 
 
 def template_count(lines: DataFrame, wanted: str) -> DataFrame:

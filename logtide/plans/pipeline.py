@@ -27,21 +27,25 @@ def masked(lines: DataFrame) -> DataFrame:
     return lines.withColumn("masked", masking.mask(F.col("line")))
 
 
+def explained(rated: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Rated lines with is_new, is_rare, reasons and is_anomaly."""
+    place = F.struct("ts", "id")
+    early = templates.first_rows(rated, settings.rare_template_threshold)
+    out = rated.join(early, "template_id").withColumns({"is_new": place == F.col("first"), "is_rare": place <= F.col("upto")}).drop("first", "upto")
+    why = anomaly.reasons(F.col("severity"), F.col("is_new"), F.col("is_rare"), F.col("rate_z"), settings)
+    return out.withColumn("reasons", why).withColumn("is_anomaly", F.size("reasons") > 0)
+
+
 def judged(lines: DataFrame, settings: Settings = Settings(), with_variables: bool = False) -> DataFrame:
     """Lines (``id, line, source, ts``) with template, severity, component, rate_z, reasons and is_anomaly.
 
-    Shuffles: distinct masked strings, the templates' join, (template, window) order, and each
-    template's first rows; the masked line is computed once and travels with the row.
+    Masked and classed lines are written once: ids that a source makes up stay what they are, and mining,
+    rates and rules read them without masking anew.
     """
-    lines = masked(lines)
+    severity, component = classifier(settings.classifier_backend, settings.onnx_model_path).columns(F.col("line"), F.lit(None).cast("string"))
+    lines = materialise(masked(lines).withColumns({"severity": severity, "component": component}), "masked")
     with_template = templates.with_templates(lines, materialise(templates.mine(lines, settings), "templates"))
-    severity, component = classifier(settings.classifier_backend, settings.onnx_model_path).columns(F.col("line"), F.col("template"))
-    rated = features.rate_z(with_template.withColumns({"severity": severity, "component": component}), "template_id", settings)
-    early = templates.first_rows(rated, settings.rare_template_threshold)
-    place = F.struct("ts", "id")
-    out = rated.join(early, "template_id").withColumns({"is_new": place == F.col("first"), "is_rare": place <= F.col("upto")}).drop("first", "upto")
-    why = anomaly.reasons(F.col("severity"), F.col("is_new"), F.col("is_rare"), F.col("rate_z"), settings)
-    out = out.withColumn("reasons", why).withColumn("is_anomaly", F.size("reasons") > 0)
+    out = explained(materialise(features.rate_z(with_template, "template_id", settings), "rated"), settings)
     return out.withColumn("variables", masking.extract_variables(F.col("line"))) if with_variables else out
 
 
@@ -49,17 +53,19 @@ def run(lines: DataFrame, settings: Settings = Settings(), with_variables: bool
     """The whole chain; ``lines`` of the result also carry cluster_id and new_incident.
 
     Judged lines are written once, as every later table reads them; so is the small assignment
-    of templates to clusters.
+    of templates to clusters.  A line's cluster and flag follow from its template and its place, so
+    nothing is joined on line ids.
     """
     found = materialise(judged(lines, settings, with_variables), "judged")
-    gated = found.where(clustering.gate(F.col("severity"), F.col("is_new"), F.col("reasons")))
+    is_gated = clustering.gate(F.col("severity"), F.col("is_new"), F.col("reasons"))
+    gated = found.where(is_gated)
     assigned = materialise(clustering.assign(gated, settings), "assigned")
-    flags = clustering.line_flags(gated, assigned, settings)
-    full = found.join(flags, "id", "left").withColumn("new_incident", F.coalesce("new_incident", F.lit(False)))
-    full = full.join(assigned.select("template_id", "embedding"), "template_id", "left")
+    since = materialise(clustering.promotions(gated, assigned, settings), "promotions")
+    by_template = assigned.join(since, "cluster_id", "left")
+    full = clustering.flagged(found.join(by_template, "template_id", "left"), is_gated, settings)
     return Result(full, clustering.clusters(gated, assigned, settings), alerts.alerts(full, settings))
 
 
-def projected(lines: DataFrame) -> DataFrame:
+def projected(lines: DataFrame, *more: str) -> DataFrame:
     """The persisted projection of parsed lines."""
-    return lines.select("id", "source", "ts", "template", "template_id", "severity", "component", "cluster_id", "is_anomaly", F.col("reasons").alias("anomaly_reasons"))
+    return lines.select("id", "source", "ts", "template", "template_id", "severity", "component", "cluster_id", "is_anomaly", F.col("reasons").alias("anomaly_reasons"), *more)

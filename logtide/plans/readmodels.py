@@ -85,3 +85,13 @@ def ingest_stats(lines: DataFrame, alerts: DataFrame) -> DataFrame:
 def store_stats(rolled: DataFrame, anomalies: DataFrame, alerts: DataFrame) -> DataFrame:
     counts = [t.agg(F.count("*").alias(n)) for t, n in ((rolled, "templates"), (anomalies, "anomalies"), (alerts, "alerts"))]
     return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))
+
+
+def full_stats(lines: DataFrame, alerts: DataFrame, incidents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row: the health record, lines in new incidents, alerts, and the severity and top-component
+    counts as arrays of (name, count)."""
+    listed = lambda rows, key, order: rows.agg(F.sort_array(F.collect_list(F.struct(order.alias("_o"), F.col(key).alias("name"), "count"))).alias("l"))
+    severities = listed(severity_histogram(lines), "severity", F.col("severity")).select(F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["count"].alias("count"))).alias("severities"))
+    components = listed(top_components(lines), "component", -F.col("count")).select(F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["count"].alias("count"))).alias("components"))
+    counters = ingest_stats(lines, alerts).select("new_incidents", "alerts")
+    return health(lines, incidents, settings=settings).join(F.broadcast(counters)).join(F.broadcast(severities)).join(F.broadcast(components))

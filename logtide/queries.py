@@ -1,8 +1,9 @@
 """Registered queries over the test tables and their SQL counterparts.
 
-Logs are derived from ``events`` (``sources.logs``).  Where mining would make a result
-inexpressible in SQL, the masked line stands for the template and no line is in a new incident.
-The mined versions, with incidents, are registered as ``pipeline_*`` without SQL.
+Logs are derived from ``events`` (``sources.logs``) or generated.  ``pipeline_*``, ``generated_*``,
+``incident_clusters`` and ``new_incidents`` run the whole chain over mined templates with clusters and
+alerts; their SQL (``oracle``) folds recursively.  Queries named without such a part take the masked
+line for the template and know no incidents.
 
 DuckDB's regular expressions are ASCII, so ``mask_documents``, ``classify_documents`` and
 ``word_frequency`` compare the rows of ASCII text alone; ``mask_all_documents``,
@@ -15,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .functions import classify, masking, vectors
 from .operators import alerts, anomaly, clustering, features, templates, tokenizer
 from .plans import pipeline, readmodels
+from .scratch import materialise
 from .settings import Settings
 from .sources import logs as source
 from .sources import sinks
@@ -60,14 +63,12 @@ def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged lines with the masked line as template and without incidents, as the SQL has them."""
+    """Judged lines with the masked line as template and without incidents, as the SQL has them.
+
+    Masked and judged lines are each written once, as what follows reads them more than once."""
     lines = _classed(spark, sf_dir).withColumn("template", F.col("masked")).withColumn("template_id", templates.template_id(F.col("masked")))
-    rated = features.rate_z(lines, "template_id", HOURLY)
-    place = F.struct("ts", "id")
-    early = templates.first_rows(rated, HOURLY.rare_template_threshold)
-    out = rated.join(early, "template_id").withColumns({"is_new": place == F.col("first"), "is_rare": place <= F.col("upto")}).drop("first", "upto")
-    out = out.withColumn("reasons", anomaly.reasons(F.col("severity"), F.col("is_new"), F.col("is_rare"), F.col("rate_z")))
-    return out.withColumn("is_anomaly", F.size("reasons") > 0).withColumn("new_incident", F.lit(False))
+    rated = features.rate_z(materialise(lines, "classed"), "template_id", HOURLY)
+    return materialise(pipeline.explained(rated, HOURLY).withColumn("new_incident", F.lit(False)), "judged")
 
 
 # ---- SQL building blocks ---------------------------------------------------------------
@@ -212,11 +213,38 @@ def matched_counts(spark, sf_dir):
     return templates.matched_counts(lines).select("id", "matched_count", "is_new")
 
 
-@query()
+_SQL_CHAIN = oracle.chain(_SQL_CLASSED, HOURLY)
+
+
+@query(f"{_SQL_CHAIN} SELECT template_id, template, count(*) AS count FROM lines GROUP BY ALL")
 def drain_templates(spark, sf_dir):
+    strings = materialise(templates.distinct_masked(pipeline.masked(_logs(spark, sf_dir))), "strings")
+    found = templates.with_templates(strings, templates.mine_strings(strings))
+    return found.groupBy("template_id", "template").agg(F.sum("n_lines").alias("count"))
+
+
+@query(f"{_SQL_CHAIN} SELECT count(*) AS count FROM lines WHERE template_id = (SELECT template_id FROM lines GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
+def template_count(spark, sf_dir):
     lines = pipeline.masked(_logs(spark, sf_dir))
-    found = templates.with_templates(lines, templates.mine(lines))
-    return found.groupBy("template_id", "template").agg(F.count("*").alias("count"))
+    found = materialise(templates.with_templates(lines, templates.mine(lines)).select("template_id"), "ids")
+    top = found.groupBy("template_id").count().orderBy(F.desc("count"), "template_id").first()
+    return templates.template_count(found, top.template_id if top else "")
+
+
+NARROW = Settings(prefix_depth=6, max_children=20)
+
+
+@query(f"WITH RECURSIVE {_SQL_CLASSED}, {oracle.tree(NARROW)} SELECT masked, CAST(n_tokens AS INTEGER) AS n_tokens, array_to_string(prefix, ' ') AS prefix FROM tree")
+def drain_fanout_cap(spark, sf_dir):
+    """The parse-tree leaf where a level holds more tokens than it admits."""
+    strings = materialise(templates.distinct_masked(_classed(spark, sf_dir)), "strings")
+    return templates.capped_buckets(strings, NARROW).select("masked", "n_tokens", F.array_join("prefix", " ").alias("prefix"))
+
+
+@query(f"WITH RECURSIVE {_SQL_CLASSED}, {oracle.tree(NARROW)}, {oracle.mined(NARROW)} SELECT masked, template, template_id FROM mined")
+def drain_with_cap(spark, sf_dir):
+    strings = materialise(templates.distinct_masked(_classed(spark, sf_dir)), "strings")
+    return templates.mine_strings(strings, NARROW).select("masked", "template", "template_id")
 
 
 # ---- classification --------------------------------------------------------------------
@@ -551,47 +579,120 @@ def wordpiece_encode(spark, sf_dir):
     return tokenizer.train(strings, "masked", 1500, min_freq=1).encode(strings, "masked", "masked").select("masked", F.array_join("tokens", " ").alias("tokens"), F.size("ids").alias("n_ids"))
 
 
+# ---- the whole chain -------------------------------------------------------------------
+
+GENERATED = 5000
+_SQL_GENERATED = (
+    f"logs AS (SELECT g.*, make_timestamp({source.START * 1_000_000} + CAST(id AS BIGINT) * 250000) AS ts FROM ({_sql_generator(GENERATED)}) g), classed AS (SELECT *, {masking.mask_sql('line')} AS masked, "
+    f"{classify.severity_sql('line')} AS severity, {classify.component_sql('line')} AS component, epoch_us(ts) // 60000000 AS widx FROM logs)"
+)
+_SQL_GENERATED_CHAIN = oracle.chain(_SQL_GENERATED, Settings())
+
+
 def _run(spark, sf_dir):
     return pipeline.run(_logs(spark, sf_dir), HOURLY)
 
 
-@query()
+def _run_generated(spark):
+    return pipeline.run(source.generate(spark, GENERATED))
+
+
+def _micros(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+_CLUSTER = "id, label, members, dominant_component, max_severity, first_us, last_us, new_incident, sample_template, promoted"
+
+
+def _cluster_rows(found):
+    return found.withColumns({"first_us": _micros("first_seen"), "last_us": _micros("last_seen")}).select(*_CLUSTER.split(", "))
+
+
+@query(f"{_SQL_CHAIN} SELECT {_CLUSTER} FROM clusters")
 def incident_clusters(spark, sf_dir):
-    return _run(spark, sf_dir).clusters.drop("centroid")
+    return _cluster_rows(_run(spark, sf_dir).clusters)
 
 
-@query()
+@query(f"{_SQL_CHAIN}, sums AS (SELECT l.sums, l.heads FROM leaders l ORDER BY k DESC LIMIT 1), spread AS (SELECT unnest(sums) AS s, unnest(heads) AS head FROM sums) SELECT 'cl_' || substr(md5(head), 1, 12) AS id, i - 1 AS at, round(s[i] / sqrt(list_inner_product(s, s)), 6) AS value FROM (SELECT s, head, unnest(range(1, len(s) + 1)) AS i FROM spread)")
+def cluster_centroids(spark, sf_dir):
+    at = F.posexplode("centroid").alias("at", "value")
+    return _run(spark, sf_dir).clusters.select("id", at).select("id", F.col("at").cast("long").alias("at"), F.round("value", 6).alias("value"))
+
+
+@query(f"{_SQL_GENERATED_CHAIN} SELECT {_CLUSTER} FROM clusters WHERE promoted")
+def generated_incidents(spark, sf_dir):
+    """The generator's lines end to end: the injected pattern is among the promoted clusters."""
+    return _cluster_rows(_run_generated(spark).clusters.where("promoted"))
+
+
+@query(f"{_SQL_GENERATED_CHAIN} SELECT {_CLUSTER} FROM clusters WHERE promoted AND new_incident")
 def new_incidents(spark, sf_dir):
-    return clustering.new_incidents(_run(spark, sf_dir).clusters).drop("centroid")
+    return _cluster_rows(clustering.new_incidents(_run_generated(spark).clusters))
 
 
-@query()
+_LINE = "id, source, epoch_us(ts) AS ts_us, template, template_id, severity, component, cluster_id, reasons <> '' AS is_anomaly, reasons AS anomaly_reasons, new_incident"
+
+
+def _line_rows(lines):
+    shown = pipeline.projected(lines, "new_incident").withColumns({"ts_us": _micros("ts"), "anomaly_reasons": F.array_join("anomaly_reasons", ",")})
+    return shown.drop("ts")
+
+
+@query(f"{_SQL_CHAIN} SELECT {_LINE} FROM flagged")
 def pipeline_lines(spark, sf_dir):
-    return pipeline.projected(_run(spark, sf_dir).lines)
+    return _line_rows(_run(spark, sf_dir).lines)
 
 
-@query()
+@query(f"{_SQL_GENERATED_CHAIN} SELECT {_LINE} FROM flagged")
+def generated_pipeline_lines(spark, sf_dir):
+    return _line_rows(_run_generated(spark).lines)
+
+
+@query(f"{_SQL_CHAIN} SELECT id, z FROM (SELECT id, round(z, 5) AS z FROM flagged)")
+def pipeline_rate_z(spark, sf_dir):
+    return _run(spark, sf_dir).lines.select("id", F.round("rate_z", 5).alias("z"))
+
+
+def _alert_rows(alerts_):
+    return alerts_.select("id", "template_id", "severity", F.array_join("channels", ",").alias("channels"), "title", "detail")
+
+
+@query(_SQL_CHAIN + oracle.ALERTS)
 def pipeline_alerts(spark, sf_dir):
-    return _run(spark, sf_dir).alerts
+    return _alert_rows(_run(spark, sf_dir).alerts)
 
 
-@query()
+@query(_SQL_GENERATED_CHAIN + oracle.ALERTS)
+def generated_alerts(spark, sf_dir):
+    return _alert_rows(_run_generated(spark).alerts)
+
+
+@query(f"{_SQL_CHAIN} SELECT id, template_id, severity, channels, title, detail FROM (SELECT k.ts AS sent_at, a.* FROM ({oracle.ALERTS}) a JOIN candidates k ON a.id = 'alert_' || substr(md5(k.template_id || ':' || k.id), 1, 12)) ORDER BY sent_at DESC, id DESC LIMIT 50")
+def recent_alerts(spark, sf_dir):
+    return _alert_rows(readmodels.recent_alerts(_run(spark, sf_dir).alerts))
+
+
+@query(f"{_SQL_CHAIN} SELECT id, reasons FROM flagged WHERE reasons <> ''")
 def pipeline_anomaly_reasons(spark, sf_dir):
     lines = _run(spark, sf_dir).lines
     return lines.where("is_anomaly").select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query()
+_SQL_MINED_ROLLUP = f"""{_SQL_CHAIN}, rolled AS (SELECT template_id, any_value(template) AS template, count(*) AS count, max(severity) AS max_severity, arg_max(component, struct_pack(ts := ts, id := id)) AS component,
+  count(*) FILTER (WHERE reasons <> '') AS anomaly_count, min(ts) AS first_seen, max(ts) AS last_seen FROM flagged GROUP BY template_id)"""
+
+
+@query(f"{_SQL_MINED_ROLLUP} SELECT {_ROLLED} FROM rolled")
 def pipeline_rollup(spark, sf_dir):
     return _rolled(readmodels.rollup(_run(spark, sf_dir).lines))
 
 
-@query()
+@query(f"{_SQL_MINED_ROLLUP} SELECT {_ROLLED} FROM rolled ORDER BY count DESC, first_seen, template_id LIMIT 20")
 def pipeline_top_templates(spark, sf_dir):
     return _rolled(readmodels.top_templates(readmodels.rollup(_run(spark, sf_dir).lines)))
 
 
-@query()
+@query(f"{_SQL_MINED_ROLLUP} SELECT {_ROLLED} FROM rolled ORDER BY anomaly_count DESC, first_seen, template_id LIMIT 5")
 def pipeline_top_anomalous_templates(spark, sf_dir):
     return _rolled(readmodels.top_templates(readmodels.rollup(_run(spark, sf_dir).lines), 5, order="anomaly"))
 
@@ -600,30 +701,68 @@ def _health(result):
     return readmodels.health(result.lines, clustering.new_incidents(result.clusters))
 
 
-@query()
+_SQL_MINED_HEALTH = """, tail AS (SELECT ts FROM flagged ORDER BY ts DESC, id DESC LIMIT 20000),
+health AS (SELECT (SELECT round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6, 1) FROM tail) AS logs_per_second,
+  round(avg(CASE WHEN severity >= 4 THEN 1.0::DOUBLE ELSE 0 END), 4) AS error_rate, count(*) AS total_logs, count(*) FILTER (WHERE reasons <> '') AS anomalies,
+  count(DISTINCT template_id) AS unique_templates, (SELECT count(*) FROM clusters WHERE promoted AND new_incident) AS new_incident_types, CAST(0 AS BIGINT) AS consumer_lag FROM flagged)"""
+_SQL_MINED_PROMETHEUS = """, parts AS (
+  SELECT unnest(['logs_total counter', 'logs_per_second gauge', 'error_rate gauge', 'anomalies_total counter', 'unique_templates gauge', 'new_incident_types gauge', 'consumer_lag gauge']) AS name,
+         unnest([CAST(total_logs AS VARCHAR), CAST(logs_per_second AS VARCHAR), CAST(error_rate AS VARCHAR), CAST(anomalies AS VARCHAR), CAST(unique_templates AS VARCHAR), CAST(new_incident_types AS VARCHAR), CAST(consumer_lag AS VARCHAR)]) AS value FROM health)
+SELECT '# TYPE logtide_' || name AS line FROM parts
+UNION ALL SELECT 'logtide_' || split_part(name, ' ', 1) || ' ' || value FROM parts
+UNION ALL SELECT 'logtide_logs_by_severity{severity="' || severity || '"} ' || count(*) FROM flagged GROUP BY severity"""
+_SQL_MINED_STATS = " SELECT count(*) AS total, count(*) FILTER (WHERE reasons <> '') AS anomalies, count(*) FILTER (WHERE new_incident) AS new_incidents, (SELECT count(*) FROM sent) AS alerts FROM flagged"
+
+
+@query(f"{_SQL_CHAIN}{_SQL_MINED_HEALTH} SELECT * FROM health")
 def pipeline_health(spark, sf_dir):
     return _health(_run(spark, sf_dir))
 
 
-@query()
-def pipeline_prometheus(spark, sf_dir):
-    result = _run(spark, sf_dir)
+@query(f"{_SQL_GENERATED_CHAIN}{_SQL_MINED_HEALTH} SELECT * FROM health")
+def generated_health(spark, sf_dir):
+    return _health(_run_generated(spark))
+
+
+def _prometheus(result):
     return sinks.prometheus(_health(result), readmodels.severity_histogram(result.lines)).select("line")
 
 
-@query()
+@query(f"{_SQL_CHAIN}{_SQL_MINED_HEALTH}{_SQL_MINED_PROMETHEUS}")
+def pipeline_prometheus(spark, sf_dir):
+    return _prometheus(_run(spark, sf_dir))
+
+
+@query(f"{_SQL_GENERATED_CHAIN}{_SQL_MINED_HEALTH}{_SQL_MINED_PROMETHEUS}")
+def generated_prometheus(spark, sf_dir):
+    return _prometheus(_run_generated(spark))
+
+
+@query(_SQL_CHAIN + _SQL_MINED_STATS)
 def pipeline_ingest_stats(spark, sf_dir):
     result = _run(spark, sf_dir)
     return readmodels.ingest_stats(result.lines, result.alerts)
 
 
-@query()
+@query(_SQL_GENERATED_CHAIN + _SQL_MINED_STATS)
+def generated_ingest_stats(spark, sf_dir):
+    result = _run_generated(spark)
+    return readmodels.ingest_stats(result.lines, result.alerts)
+
+
+@query(f"{_SQL_CHAIN} SELECT count(DISTINCT template_id) AS templates, count(*) FILTER (WHERE reasons <> '') AS anomalies, (SELECT count(*) FROM sent) AS alerts FROM flagged")
 def pipeline_store_stats(spark, sf_dir):
     result = _run(spark, sf_dir)
     return readmodels.store_stats(readmodels.rollup(result.lines), result.lines.where("is_anomaly"), result.alerts)
 
 
-@query()
-def generated_incidents(spark, sf_dir):
-    """The generator's 5000 lines end to end: the injected pattern is among the promoted clusters."""
-    return pipeline.run(source.generate(spark, 5000)).clusters.where("promoted").drop("centroid")
+@query(
+    f"""{_SQL_GENERATED_CHAIN}{_SQL_MINED_HEALTH}, stats AS ({_SQL_MINED_STATS}), hist AS (SELECT string_agg(severity || '=' || n, ',' ORDER BY severity) AS severities FROM (SELECT severity, count(*) AS n FROM flagged GROUP BY 1)),
+top AS (SELECT string_agg(component || '=' || n, ',' ORDER BY n DESC, component) AS components FROM (SELECT component, count(*) AS n FROM flagged GROUP BY 1 ORDER BY n DESC, component LIMIT 8))
+SELECT h.*, s.new_incidents, s.alerts, severities, components FROM health h, stats s, hist, top"""
+)
+def full_stats(spark, sf_dir):
+    result = _run_generated(spark)
+    row = readmodels.full_stats(result.lines, result.alerts, clustering.new_incidents(result.clusters))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["name"].cast("string"), F.lit("="), x["count"])), ",")
+    return row.withColumns({"severities": shown("severities"), "components": shown("components")})
