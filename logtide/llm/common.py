@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import materialise, scratch_dir
+from ..scratch import materialise, scratch_path
 
-__all__ = ["materialise", "scratch_dir"]
+__all__ = ["materialise", "scratch_path"]
 
 #: ASCII white space of the contracts, `[\x20\x09-\x0D]`; ``bytes.split()`` cuts at the same six.
 WHITE = " \t\n\x0b\x0c\r"
@@ -39,6 +39,11 @@ def own_columns(docs: DataFrame, *new: str) -> list[str]:
     return [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and back-ticks too."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone (null text: empty), whatever else the table carries."""
     return docs.select(
@@ -58,7 +63,8 @@ def lookup_weighted(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     """Inner join of ``left`` to ``right``, whose ``weight`` says how many left rows each key has.
 
     Keys (longs) that own more than a ``HOT``-th of all weight are at most ``HOT`` rows: these alone
-    are broadcast, and their left rows go through the shuffle under spread-out stand-in keys.
+    are broadcast, and their left rows go through the shuffle under spread-out stand-in keys.  Lesser
+    keys that outgrow a task are left to Spark's adaptive skew join, which splits their left rows.
     ``right`` is a durable table (read three times), unique by ``keys``; ``left`` is read once.
     """
     total = right.agg(F.sum("weight")).first()[0] or 0
@@ -77,18 +83,6 @@ def lookup_weighted(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return both.where("_hot is not null").select(*left.columns, *(F.col(f"_hot.{v}").alias(v) for v in values))
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, how: str = "left") -> DataFrame:
-    """Join ``left`` to ``right`` (at most one row a key) where a key may own a third of ``left``.
-
-    ``right`` is repeated ``salts`` times and each left row picks one copy by its own content,
-    so a hot key is dealt over ``salts`` tasks and no key is broadcast or collected.
-    """
-    rest = [c for c in left.columns if c not in keys] or keys
-    salt = F.pmod(F.xxhash64(F.lit(17), *rest), F.lit(salts))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
 def shard_bounds(ids: DataFrame, shards: int) -> list[int]:
     """At most ``shards - 1`` ascending doc_ids that cut the table into even, ordered shards.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, quoted
 from .rules import grams
 
 GRAMS = 512
@@ -227,7 +227,11 @@ def _pool_of(stored: DataFrame):
 
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> CoTrained | None:
     """Co-train on a bounded sample of labelled rows and all other rows of ``docs``; ``labels`` has
-    doc_id and quality (1 good, 0 not).  Labelled rows outside the sample count as unlabelled."""
+    doc_id and quality (1 good, 0 not).  Labelled rows outside the sample count as unlabelled.
+
+    Null or empty text has no text features, null metadata is a value of its own, texts are taken whole.
+    Of a labelled doc_id that repeats one row is taken, and of its labels the lesser.  None where either
+    class has under ten documents, as with empty tables; other columns do not matter."""
     rows = _rows(docs)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
     asked = dict(map(tuple, known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).collect()))
@@ -270,7 +274,10 @@ def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> D
 
 
 def keep_good(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, all columns unchanged."""
+    """The rows of ``docs`` that the classifier does not reject, all columns unchanged.
+
+    Null text counts as empty, missing or null metadata as a value of its own; without a model every row
+    stays; repeated rows each get the same verdict; an empty table stays empty; texts are taken whole."""
     columns = docs.columns
     inputs = {"data": F.coalesce("text", F.lit("")).cast("binary")}
 
@@ -282,4 +289,4 @@ def keep_good(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5)
         return pd.Series([1 / (1 + math.exp(-min(30.0, max(-30.0, x)))) >= threshold for x in z])
 
     view = [(F.col(c) if c in columns else F.lit(None)).cast(t) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]
-    return docs.where(good(inputs["data"], *view)).select(*columns)
+    return docs.where(good(inputs["data"], *view)).select(*map(quoted, columns))

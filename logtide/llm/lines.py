@@ -1,9 +1,10 @@
 """Line de-duplication with DataFrame functions alone.
 
-Lines are exploded and normalised to keys, keys are hashed (128 bits), and for each hash the
-smallest and largest doc_id say at once whether two documents hold it and which one keeps it.
-Only these aggregates are shuffled, after map-side combining; a hot line is dealt over salts when
-its verdict goes back to its documents, and a document's dropped positions rebuild its text.
+Lines are exploded and normalised to keys, keys are hashed (128 bits) and each hash's distinct
+documents are counted: that there are two or more its smallest and largest doc_id say at once, for
+higher thresholds each task first combines (hash, document).  The smallest doc_id keeps the line.  Hot
+lines get their verdict by broadcast (``lookup_weighted``), and a document's dropped positions rebuild
+its text.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, lookup, lower_ascii, materialise
+from .common import WHITE, free_names, lookup_weighted, lower_ascii, materialise, own_columns, quoted
 
 _LAST = (1 << 63) - 1
 
@@ -20,45 +21,44 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """All columns of ``docs`` with ``text`` rebuilt, plus ``n_lines`` (before) and ``n_dropped``.
 
     A line's key is the line without ASCII white space at both ends, A-Z lower-cased.  A key of at
-    least ``min_chars`` code points that two documents hold loses its lines everywhere but in the
-    smallest doc_id holding it.  Null or empty text is one empty line.  Rows that share a doc_id
-    count as one document; a null doc_id counts as the largest.  An empty table stays empty.  Columns
-    of ``docs`` named like the two new ones give way to them.
+    least ``min_chars`` code points that ``min_docs`` documents hold loses its lines everywhere but in
+    the smallest doc_id holding it.  Null or empty text is one empty line.  Rows that share a doc_id
+    count as one document; a null doc_id counts as the largest.  Very long texts are taken whole; an
+    empty table stays empty.  Columns of ``docs`` named like the two new ones, in any case, give way to
+    them; all others stay.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    base = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(
-        "_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    )
-    base = base.withColumn("_row", F.xxhash64("text"))
-    key = lower_ascii(F.trim(F.col("_line"), F.lit(WHITE)))
+    own = own_columns(docs, "n_lines", "n_dropped")
+    doc, row, lines, gone = free_names(docs, "_doc", "_row", "_lines", "_gone")
+    base = docs.select(*(F.coalesce("text", F.lit("")).alias(c) if c.lower() == "text" else quoted(c) for c in own))
+    base = base.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), row: F.xxhash64("text")})
+    key = lower_ascii(F.trim(F.col("line"), F.lit(WHITE)))
     held = (
-        base.select("_doc", "_row", F.posexplode(_lines(F.col("text"))).alias("_pos", "_line"))
-        .select("_doc", "_row", "_pos", key.alias("_key"))
-        .where(F.char_length("_key") >= min_chars)
-        .select("_doc", "_row", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
-    )
-    shared = (
-        held.groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).where("_first < _last").drop("_last")
+        base.select(F.col(doc).alias("doc"), F.col(row).alias("row"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+        .select("doc", "row", "pos", key.alias("key"))
+        .where(F.char_length("key") >= min_chars)
+        .select("doc", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    shared = materialise(shared, "lines")
+    if min_docs <= 2:
+        counts = held.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("weight")).where("first < last")
+    else:
+        each = held.groupBy("h1", "h2", "doc").agg(F.count("*").alias("n"))
+        counts = each.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("docs"), F.sum("n").alias("weight")).where(F.col("docs") >= min_docs)
+    shared = materialise(counts.select("h1", "h2", "first", "weight"), "lines")
     dropped = (
-        lookup(held, shared, ["_h1", "_h2"], how="inner")
-        .where("_doc > _first")
-        .groupBy("_doc", "_row")
-        .agg(F.collect_set("_pos").alias("_gone"))
+        lookup_weighted(held, shared, ["h1", "h2"])
+        .where("doc > first")
+        .groupBy(F.col("doc").alias(doc), F.col("row").alias(row))
+        .agg(F.collect_set("pos").alias(gone))
     )
-    lines = _lines(F.col("text"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    kept = F.transform(left, lambda i: F.get("_lines", i))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.transform(left, lambda i: F.get(lines, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return (
-        base.join(dropped, ["_doc", "_row"], "left")
-        .withColumn("_lines", lines)
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .select(*own, "n_lines", "n_dropped")
+        base.join(dropped, [doc, row], "left")
+        .withColumn(lines, _lines(F.col("text")))
+        .select(*(text.alias(c) if c.lower() == "text" else quoted(c) for c in own), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
     )

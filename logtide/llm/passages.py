@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, materialise, mix, own_columns, prefix_hash, shuffle_partitions, windows_hash, word_hashes
+from .common import free_names, materialise, mix, own_columns, prefix_hash, quoted, shuffle_partitions, windows_hash, word_hashes
 from .repeats import OCCURRENCE, SMALLER_DOC, matched, occurrence_rows, range_hash
 
 _LAST = (1 << 63) - 1
@@ -238,7 +238,7 @@ def remove_passages(docs: DataFrame, length: int = 50, dense: int = 256) -> Data
     ``docs`` named like the two new ones, in any case, give way to them; all others stay.
     """
     own = own_columns(docs, "n_words", "n_removed")
-    docs = docs.select(*own)
+    docs = docs.select(*map(quoted, own))
     doc, th, data, spans, new = free_names(docs, "_doc", "_th", "_data", "_spans", "_new")
     rows = docs.withColumns(
         {
@@ -257,4 +257,4 @@ def remove_passages(docs: DataFrame, length: int = 50, dense: int = 256) -> Data
 
     joined = rows.join(found, [doc, th], "left").withColumn(new, rebuilt(data, spans))
     changed = F.when(F.col(f"{new}.n_removed") > 0, F.col(f"{new}.text")).otherwise(F.col("text"))
-    return joined.select(*(changed.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in own), F.col(f"{new}.n_words"), F.col(f"{new}.n_removed"))
+    return joined.select(*(changed.alias(c) if c.lower() == "text" else quoted(c) for c in own), F.col(f"{new}.n_words"), F.col(f"{new}.n_removed"))

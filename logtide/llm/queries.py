@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cotraining, lines, omh, packing, passages, pieces, rules, simhash, suffixes, token_files
-from .common import WHITE, scratch_dir
+from .common import WHITE, scratch_path
 
 
 def _path(name: str) -> str:
@@ -66,7 +64,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/logtide-tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     token_files.write(_documents(spark, sf_dir), path, _path("byte_bpe_50k.json"))
     return token_files.read(spark, path)
 
@@ -90,15 +88,21 @@ FROM judged GROUP BY doc_id
 """,
     "op6_suffix_dedup": """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-bytes AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS p FROM docs),
-keyed AS (SELECT doc_id, p, substr(h, 2 * p - 1, 2) AS b, CASE WHEN p + 199 <= length(h) // 2 THEN md5(substr(h, 2 * p - 1, 400)) END AS k FROM bytes),
-twice AS (SELECT k FROM keyed WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
-judged AS (SELECT doc_id, p, b, max(CASE WHEN twice.k IS NOT NULL THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
-  FROM keyed LEFT JOIN twice ON keyed.k = twice.k),
-runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM judged)
-SELECT d.doc_id, length(any_value(d.h)) // 2 AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
-       sha256(unhex(coalesce(string_agg(b, '' ORDER BY p) FILTER (WHERE NOT gone), ''))) AS kept_sha256
-FROM docs d LEFT JOIN runs r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+heads AS (SELECT doc_id, unnest(range(1, length(h) // 2 - 198)) AS p, h FROM docs WHERE length(h) >= 400),
+short AS (SELECT doc_id, p, hash(substr(h, 2 * p - 1, 64)) AS k FROM heads),
+some AS (SELECT k FROM short GROUP BY k HAVING count(*) > 1),
+long AS (SELECT s.doc_id, s.p, md5(substr(d.h, 2 * s.p - 1, 400)) AS k FROM short s SEMI JOIN some USING (k) JOIN docs d ON d.doc_id = s.doc_id),
+twice AS (SELECT k FROM long GROUP BY k HAVING count(*) > 1),
+hits AS (SELECT doc_id, p FROM long SEMI JOIN twice USING (k)),
+opens AS (SELECT doc_id, p, coalesce(p > lag(p) OVER w + 200, true) AS fresh FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT doc_id, p, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM opens),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY ALL),
+gaps AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS since FROM spans),
+cut AS (SELECT g.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(d.h, 2 * since - 1, 2 * (a - since)), '' ORDER BY a) AS front, max(b) AS last
+  FROM gaps g JOIN docs d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 1) - 1))) AS kept_sha256
+FROM docs d LEFT JOIN cut ON cut.doc_id = d.doc_id
 """,
     "op8_substring_dedup": r"""
 WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),

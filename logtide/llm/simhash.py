@@ -1,4 +1,4 @@
-"""SimHash fingerprints and near-duplicate groups by multi-index hashing.
+"""SimHash fingerprints, near-duplicate groups and their removal by multi-index hashing.
 
 64-bit fingerprints are cut into two 32-bit segments.  Two fingerprints within 3 bits differ by
 at most one bit in one of them, so each fingerprint is stored in two exact segment tables and
@@ -9,6 +9,11 @@ Copies collapse to one row a fingerprint first.  A bucket of at most ``dense`` f
 verified in one small matrix and only a spanning forest of its links goes on.  A larger bucket
 is not compared pair by pair: its members meet at explicit ball variants of the other segment
 (radius 1 and 2), whose groups the ball's size bounds.  Both ways are exact.
+
+``keep_first`` works on five-word shingles and a similarity of 0.8, which is wider than 3 bits: after a
+pass at 3 bits has removed what large groups of copies hold, a second one covers 8 bits (and most of 9
+and 10) by three segments and balls of radius 2: both sides come to the variants one bit away.  Links only say which
+texts to compare; a document goes if its shingles are similar to those of one that stays.
 """
 
 from __future__ import annotations
@@ -19,13 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, lookup_weighted, materialise
+from .common import documents, free_names, lookup_weighted, materialise, mix, prefix_hash, quoted, windows_hash, word_hashes
 from .graph import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 #: Linked: at most so many differing bits, which two segments with balls of radius 1 cover.
 BITS = 3
+#: A wider link: three segments (first bit, bits) with balls of radius 2.  They meet all pairs within 8
+#: bits and most of those with 9 or 10, which are taken too, as their texts are compared in any case.
+WIDE_BITS, WIDE = 10, ((0, 21), (21, 21), (42, 22))
 
 
 def fingerprint(data: bytes, words: int = 3) -> int:
@@ -76,30 +84,55 @@ def _probes(batches):
             yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(who).view(np.int64)), pa.array(np.concatenate(stored))], ["key", "fp", "stored"])
 
 
-def _verify(batches):
-    """Per bucket, verified links as a forest ``u, v``; arrays of stored and probing fingerprints in."""
+def _wide_probes(batches):
+    """Bucket rows ``key, fp`` of the wide link: every segment with its variants one bit away."""
+    one = np.uint64(1)
     for b in batches:
-        us, vs = [], []
-        for table, probes in zip(b.column("table").to_pylist(), b.column("probes").to_pylist(), strict=True):
-            a = np.array(table + probes, np.int64).view(np.uint64)
-            t = len(table)
-            if len(a) == 2:
-                if (int(a[0]) ^ int(a[1])).bit_count() <= BITS:
-                    us.append(int(a[0])), vs.append(int(a[1]))
-                continue
-            near = np.bitwise_count(a[:t, None] ^ a[None, :]) <= BITS
-            label = np.arange(len(a))
-            while True:  # smallest label over verified links until nothing changes
-                new = label.copy()
-                new[:t] = np.minimum(label[:t], np.where(near, label[None, :], len(a)).min(axis=1))
-                new = np.minimum(new, np.where(near, new[:t, None], len(a)).min(axis=0))
-                if (new == label).all():
-                    break
-                label = new
-            away = np.flatnonzero(label != np.arange(len(a)))
-            us += a[label[away]].tolist()
-            vs += a[away].tolist()
-        yield pa.record_batch([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (us, vs)], ["u", "v"])
+        fp = b.column("fp").to_numpy().view(np.uint64)
+        keys = []
+        for number, (first, bits) in enumerate(WIDE):
+            seg = ((fp >> np.uint64(first)) & np.uint64((1 << bits) - 1)) | np.uint64(number << 32)
+            keys += [seg, *(seg ^ (one << np.uint64(i)) for i in range(bits))]
+        if len(fp):
+            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(fp, len(keys)).view(np.int64))], ["key", "fp"])
+
+
+def _forest(a: np.ndarray, t: int, bits: int) -> np.ndarray:
+    """Smallest label over links within ``bits`` between the first ``t`` fingerprints and all; a stretch of rows at a time."""
+    label = np.arange(len(a))
+    step = max(1, (1 << 20) // len(a))
+    while True:
+        new = label.copy()
+        for i in range(0, t, step):
+            near = np.bitwise_count(a[i : min(t, i + step), None] ^ a[None, :]) <= bits
+            rows = np.minimum(new[i : i + len(near)], np.where(near, new[None, :], len(a)).min(axis=1))
+            new[i : i + len(near)] = rows
+            new = np.minimum(new, np.where(near, rows[:, None], len(a)).min(axis=0))
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _verify(bits: int):
+    """Per bucket, verified links as a forest ``u, v``; arrays of stored and probing fingerprints in."""
+
+    def run(batches):
+        for b in batches:
+            us, vs = [], []
+            for table, probes in zip(b.column("table").to_pylist(), b.column("probes").to_pylist(), strict=True):
+                if len(table) + len(probes) == 2:
+                    u, v = (x & (1 << 64) - 1 for x in [*table, *probes])
+                    if (u ^ v).bit_count() <= bits:
+                        us.append(u), vs.append(v)
+                    continue
+                a = np.array(table + probes, np.int64).view(np.uint64)
+                label = _forest(a, len(table), bits)
+                away = np.flatnonzero(label != np.arange(len(a)))
+                us += a[label[away]].tolist()
+                vs += a[away].tolist()
+            yield pa.record_batch([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (us, vs)], ["u", "v"])
+
+    return run
 
 
 def _variants(batches):
@@ -138,7 +171,7 @@ def links(fps: DataFrame, dense: int = 1024) -> DataFrame:
             F.collect_list(F.when(F.col("stored"), F.col("fp"))).alias("table"),
             F.collect_list(F.when(~F.col("stored"), F.col("fp"))).alias("probes"),
         )
-        .mapInArrow(_verify, "u long, v long")
+        .mapInArrow(_verify(BITS), "u long, v long")
     )
     large = (
         rows.where(F.col("weight") > dense)
@@ -152,6 +185,18 @@ def links(fps: DataFrame, dense: int = 1024) -> DataFrame:
     return small.union(large).where("u <> v").distinct()
 
 
+def wide_links(fps: DataFrame) -> DataFrame:
+    """Links ``u, v`` that join fingerprints within 8 bits, and most within ``WIDE_BITS`` (distinct ones in).
+
+    A bucket is compared in one task, in stretches; the tables hold 21 bits, so a bucket grows with
+    the corpus and for over some 10**8 fingerprints they should be cut from longer ones.
+    """
+    rows = fps.select("fp").mapInArrow(_wide_probes, "key long, fp long")
+    buckets = rows.groupBy("key").agg(F.collect_list("fp").alias("table")).where(F.size("table") > 1)
+    buckets = buckets.withColumn("probes", F.array().cast("array<long>"))
+    return buckets.mapInArrow(_verify(WIDE_BITS), "u long, v long").where("u <> v").distinct()
+
+
 def groups(docs: DataFrame, words: int = 3, dense: int = 1024) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest doc_id reachable over links, itself included.
 
@@ -168,14 +213,130 @@ def groups(docs: DataFrame, words: int = 3, dense: int = 1024) -> DataFrame:
     return lookup_weighted(stored, materialise(ids, "simhash-ids"), ["fp"]).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group: one document of each stays.
+def shingles(data: bytes, words: int = 5) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's lower-cased word shingles (fewer words: of all of them), sorted."""
+    h = word_hashes(data.translate(_LOWER))
+    return np.unique(mix(windows_hash(prefix_hash(h), min(words, len(h))))) if len(h) else h
+
+
+def _classes(docs: DataFrame, words: int) -> DataFrame:
+    """``fp, key, least, th``: texts of equal words are one class, named by its least (doc_id, text hash)."""
+
+    def run(batches):
+        for b in batches:
+            fps, keys = [], []
+            for t in b.column("data"):
+                t = t.as_py()
+                fps.append(fingerprint(t, words))
+                keys.append(xxhash.xxh64_intdigest(b" ".join(t.translate(_LOWER).split())))
+            yield pa.record_batch([b.column("doc_id"), b.column("th"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, keys))], ["doc_id", "th", "fp", "key"])
+
+    rows = docs.select("doc_id", "th", "data").mapInArrow(run, "doc_id long, th long, fp long, key long")
+    named = rows.groupBy("fp", "key").agg(F.min(F.struct("doc_id", "th")).alias("one"))
+    return named.select("fp", "key", F.col("one.doc_id").alias("least"), F.col("one.th").alias("th"))
+
+
+def _judge(similarity: float):
+    """Rows of whole components in order in; the names of those similar to an earlier one that stays out."""
+
+    def run(batches):
+        now, stay = None, []
+        for b in batches:
+            out = []
+            for root, least, th, x in zip(*(b.column(c).to_pylist() for c in ("root", "least", "th")), b.column("set"), strict=True):
+                if root != now:
+                    now, stay = root, []
+                mine = np.frombuffer(x.as_py(), np.uint64)
+                for other in stay:
+                    if min(len(mine), len(other)) < similarity * max(len(mine), len(other)):
+                        continue
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if both >= similarity * (len(mine) + len(other) - both):
+                        out.append((least, th))
+                        break
+                else:
+                    stay.append(mine)
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["least", "th"])
+
+    return run
+
+
+def _similar(similarity: float):
+    """Adds ``alike`` to rows with ``set`` and their leader's ``head``."""
+
+    def run(batches):
+        for b in batches:
+            alike = []
+            for x, y in zip(b.column("set"), b.column("head"), strict=True):
+                a, c = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(a, c, assume_unique=True))
+                alike.append(both >= similarity * (len(a) + len(c) - both))
+            yield pa.record_batch([*(b.column(c) for c in ("root", "least", "th", "set")), pa.array(alike, pa.bool_())], ["root", "least", "th", "set", "alike"])
+
+    return run
+
+
+def _removed(docs: DataFrame, classes: DataFrame, edges: DataFrame, words: int, similarity: float, whole: int = 2000) -> DataFrame:
+    """``least, th`` of classes to remove: of linked classes, in order of doc_id, each that is similar to
+    one that stays.  Components of over ``whole`` classes are first compared with their least alone, by
+    all tasks, up to sixteen times while they stay so large; then each goes through one task."""
+    rooted = materialise(classes.join(connected_components(edges).withColumnRenamed("node", "fp"), "fp"), "near-rooted")
+    rooted = materialise(rooted.union(_same_print(classes, rooted)).select("root", "least", "th"), "near-classes")
+
+    def sets(batches):
+        for b in batches:
+            found = [shingles(t.as_py(), words).tobytes() for t in b.column("data")]
+            yield pa.record_batch([*(b.column(c) for c in ("root", "least", "th")), pa.array(found, pa.binary())], ["root", "least", "th", "set"])
+
+    texts = docs.select(F.col("doc_id").alias("least"), "th", "data").join(rooted, ["least", "th"]).dropDuplicates(["least", "th"])
+    left = materialise(texts.mapInArrow(sets, "root long, least long, th long, set binary"), "near-sets")
+    gone = []
+    for _ in range(16):
+        sizes = materialise(left.groupBy("root").agg(F.count("*").alias("weight"), F.min(F.struct("least", "th")).alias("one")).where(F.col("weight") > whole), "near-large")
+        if sizes.isEmpty():
+            break
+        heads = left.join(sizes.select("root", "weight", "one.least", "one.th"), ["root", "least", "th"]).dropDuplicates(["root"])
+        heads = materialise(heads.select("root", "weight", F.col("set").alias("head")), "near-heads")
+        round_ = materialise(lookup_weighted(left, heads, ["root"]).mapInArrow(_similar(similarity), "root long, least long, th long, set binary, alike boolean"), "near-round")
+        first = sizes.select("root", "one.least", "one.th")
+        gone.append(round_.where("alike").select("root", "least", "th").join(first, ["root", "least", "th"], "left_anti").select("least", "th"))
+        rest = left.join(sizes, "root", "left_anti").unionByName(round_.where("not alike").drop("alike"))
+        left = materialise(rest, "near-left")
+    order = left.repartition("root").sortWithinPartitions("root", "least", "th")
+    out = order.mapInArrow(_judge(similarity), "least long, th long")
+    for g in gone:
+        out = out.union(g)
+    return materialise(out, "near-removed")
+
+
+def _same_print(classes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Classes of one fingerprint that no link names: they are a component of their own."""
+    several = classes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    return classes.join(several, "fp", "left_semi").join(rooted.select("fp").distinct(), "fp", "left_anti").withColumn("root", F.col("fp")).select(*rooted.columns)
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one document of each group stays.
 
-    Of several rows with that doc_id the one of smallest text hash stays.  Rows without a doc_id
-    cannot be named and all stay.
+    Texts of equal words (A-Z lower-cased) are copies; the least doc_id stays, of its repeated rows one.
+    Others that are linked by their fingerprints (first within 3 bits, then within 8 to 10) go if the
+    Jaccard similarity of their ``words``-word shingles to a document with a smaller doc_id that stays
+    is ``similarity`` or more.  So every document that goes has a similar one that stays.  Null and blank
+    texts are copies of each other; rows that share a doc_id but not the text are documents of their
+    own; rows without a doc_id cannot be named and all stay; an empty table stays empty; columns are
+    unchanged whatever their names.
     """
-    first = groups(docs, words).where("component_id is not null").select(F.col("component_id").alias("_first")).distinct()
-    named = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
-    place = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    one = named.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
-    return one.unionByName(docs.where("doc_id is null"))
+    rows = documents(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("data"))
+    classes = materialise(_classes(rows, words), "near-prints")
+    for find in (links, wide_links):
+        edges = find(classes.select("fp").distinct())
+        removed = _removed(rows, classes, edges, words, similarity)
+        classes = materialise(classes.join(removed, ["least", "th"], "left_anti").select("fp", "key", "least", "th"), "near-kept")
+    first, hashed, place = free_names(docs, "_first", "_th", "_place")
+    stay = classes.select(F.col("least").alias(first), F.col("th").alias(hashed))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.join(stay, (F.col("doc_id").cast("long") == F.col(first)) & (text == F.col(hashed)), "left_semi")
+    order = Window.partitionBy("doc_id", text).orderBy("text")
+    one = named.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*map(quoted, docs.columns))
+    return one.union(docs.where("doc_id is null"))

@@ -44,6 +44,18 @@ def docs(spark, rows):
     return spark.createDataFrame(full, SCHEMA).repartition(3)
 
 
+#: Names that operators use inside, or return, in other cases too.
+CLASHES = ["_doc", "_row", "_lines", "_gone", "_spans", "_first", "_place", "_new", "_th", "_data", "_hot", "_light", "N_LINES", "n_Dropped", "N_words", "n_removed", "fp", "root", "places", "a.b"]
+
+
+@pytest.fixture(scope="session")
+def clashing(spark, rows):
+    """The rows with a column for each of ``CLASHES``."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    return spark.createDataFrame([(i, t, None, "s", None, *(f"{c}={i}" for c in CLASHES)) for i, t in rows], schema).repartition(3)
+
+
+
 @pytest.fixture(scope="session")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)

@@ -44,11 +44,53 @@ def test_groups(docs, none, rows):
     got = sorted(((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.groups(docs).collect()), key=str)
     assert got == brute_groups(rows, prints)
     assert simhash.groups(none).count() == 0
-    kept = simhash.keep_first(docs)
+
+
+def shingle_set(text, words=5):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_copies():
+    """Texts of 120 words with one to ten words changed, in groups, among others of the same words."""
+    r = random.Random(9)
+    words = ["w%d" % i for i in range(400)]
+    out = []
+    for _ in range(12):
+        base = [r.choice(words) for _ in range(120)]
+        out.append(" ".join(base))
+        for n in (1, 2, 3, 8):
+            copy = list(base)
+            for at in r.sample(range(120), n):
+                copy[at] = r.choice(words)
+            out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("whole", [2000, 2])
+def test_kept_documents_are_not_alike_and_removed_ones_are(spark, docs, none, rows, monkeypatch, whole):
+    original = simhash._removed
+    monkeypatch.setattr(simhash, "_removed", lambda *a: original(*a, whole=whole))
+    extra = [(1000 + i, t) for i, t in enumerate(near_copies())]
+    everything = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
+    kept = simhash.keep_first(everything)
     assert kept.columns == docs.columns
-    named = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert sorted(named) == sorted({g[2] for g in got if g[2] is not None})
-    assert kept.where("doc_id is null").count() == sum(d is None for d, _ in rows)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    named = [x for x in got if x[0] is not None]
+    assert len(named) == len(set(named)) and sum(d is None for d, _ in got) == sum(d is None for d, _ in rows)
+    sets = {x: shingle_set(x[1]) for x in {*rows, *extra} if x[0] is not None}
+    stay = {x: sets[x] for x in named}
+    gone = [x for x in sets if x not in stay]
+    assert all(any(likeness(sets[x], s) >= 0.8 for s in stay.values()) for x in gone)  # clean documents stay
+    close = [(a, b) for a in stay for b in stay if a < b and likeness(stay[a], stay[b]) >= 0.8]
+    near = [(a, b) for a in sets for b in sets if a[0] < b[0] and likeness(sets[a], sets[b]) >= 0.8]
+    assert len(close) <= 0.1 * len(near) and len(gone) > 20
+    assert simhash.keep_first(none).count() == 0
 
 
 @pytest.mark.parametrize("dense", [1024, 3])
@@ -114,3 +156,27 @@ def test_order_minhash_is_sensitive_to_order_and_edits():
 def test_occurrence_numbers():
     k = np.array([5, 7, 5, 5, 7], np.uint64) << np.uint64(40)
     assert omh._occurrence_numbers(k).tolist() == [0, 0, 1, 2, 1]
+
+
+def test_signature_equals_a_plain_order_minhash():
+    """Each component hashes, in text order, the k-mers of smallest numbered hash: counted with dictionaries."""
+    sketch = omh.OrderMinHash(k=4, picks=3, sketches=8)
+    m64 = (1 << 64) - 1
+    mixed = lambda x: int(omh.mix(np.array([x & m64], np.uint64))[0])
+    for text in ("abcabcabcabd", "the cat sat on the mat, the cat sat", "aaaaaaaaaaaa", "xyz", "é漢😀ab" * 3):
+        k = min(4, len(text))
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        hashes = omh.mix(omh.windows_hash(omh.prefix_hash(omh.mix(points.astype(np.uint64) + np.uint64(1))), k)).tolist()
+        seen, numbered = {}, []
+        for i in range(len(text) - k + 1):
+            kmer = text[i : i + k]
+            numbered.append(mixed(hashes[i] + seen.get(kmer, 0)) >> 32)
+            seen[kmer] = seen.get(kmer, 0) + 1
+        want = []
+        for flip, times in zip(sketch.flip.tolist(), sketch.times.tolist(), strict=True):
+            order = sorted(range(len(numbered)), key=lambda i: ((((numbered[i] ^ flip) * times) & 0xFFFFFFFF), i))[:3]
+            out = 4
+            for i in sorted(order):
+                out = mixed(out * 31 + hashes[i])
+            want.append((out >> 48) | 1)
+        assert sketch.signature(text).tolist() == want, text

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from logtide.llm import lines, passages, repeats, suffixes
+from logtide.llm import cotraining, lines, passages, repeats, simhash, suffixes
 from logtide.llm.common import word_hashes
 
 LAST = (1 << 63) - 1
@@ -126,3 +126,36 @@ def test_windows_are_filed_once_each():
     assert len(set(zip(anchor.tolist(), rng.tolist(), strict=True))) < len(lo)
 
 
+
+
+def kept_values(done, names):
+    return all(r[c] == f"{c}={r.doc_id}" for r in done.collect() for c in names)
+
+
+def test_clashing_names(clashing, rows):
+    names = clashing.columns[5:]
+    done = lines.dedup_lines(clashing)
+    mine = [c for c in names if c.lower() not in ("n_lines", "n_dropped")]
+    assert len({c.lower() for c in done.columns}) == len(done.columns) and kept_values(done.select("doc_id", *(f"`{c}`" for c in mine)), mine)
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, sha(r.text.encode())) for r in done.collect()) == brute_lines(rows)
+    done = passages.remove_passages(clashing)
+    mine = [c for c in names if c.lower() not in ("n_words", "n_removed")]
+    assert len({c.lower() for c in done.columns}) == len(done.columns) and kept_values(done.select("doc_id", *(f"`{c}`" for c in mine)), mine)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, sha(b" ".join((r.text or "").encode().split()))) for r in done.collect()) == brute_words(rows, 50)
+    for kept in (simhash.keep_first(clashing), cotraining.keep_good(clashing, None)):
+        assert kept.columns == clashing.columns and kept_values(kept.select("doc_id", *(f"`{c}`" for c in names)), names)
+    assert suffixes.remove_repeats(clashing).count() == len(rows)
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_line_threshold(docs, rows, least):
+    done = lines.dedup_lines(docs, min_docs=least)
+    held = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            held[low(line.strip(WHITE))].add(LAST if i is None else i)
+    gone = Counter()
+    for i, t in rows:
+        keys = [low(x.strip(WHITE)) for x in (t or "").split("\n")]
+        gone[(i, sum(len(k) >= 10 and len(held[k]) >= least and (LAST if i is None else i) > min(held[k]) for k in keys))] += 1
+    assert Counter((r.doc_id, r.n_dropped) for r in done.collect()) == gone
