@@ -30,10 +30,23 @@ def logs_of_events(events: DataFrame) -> DataFrame:
     )
 
 
+#: Columns that say where a text record was read.
+PLACE = ("_file", "_offset")
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Non-empty text lines with the file and the start of the split that they come from."""
+    placed = lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_offset"))
+    return placed.where("line <> ''")
+
+
 def stamped(lines: DataFrame, source: Column | str = "unknown", ts: Column | None = None) -> DataFrame:
-    """Raw records of a ``line`` column: id from content and place, arrival time now unless given."""
+    """Raw records of a ``line`` column: a 128-bit id of content and place, arrival time now unless given.
+
+    Places differ from one reading to the next; what joins records writes them first (``pipeline.judged``)."""
     source = F.lit(source) if isinstance(source, str) else source
-    ident = F.concat(F.lit("log_"), F.substring(F.md5(F.concat_ws(":", F.monotonically_increasing_id(), "line")), 1, 12))
+    place = [F.col(c) for c in PLACE if c in lines.columns]
+    ident = F.concat(F.lit("log_"), F.md5(F.concat_ws(":", *place, F.monotonically_increasing_id(), "line")))
     return lines.select(ident.alias("id"), "line", source.alias("source"), (F.current_timestamp() if ts is None else ts).alias("ts"))
 
 
@@ -44,14 +57,12 @@ def from_lines(spark: SparkSession, lines: Iterable[str], source: str = "unknown
 
 def read_text(spark: SparkSession, path: str, source: str = "file") -> DataFrame:
     """Text files, one line a record; empty lines are skipped, invalid UTF-8 is replaced."""
-    return stamped(spark.read.text(path).select(F.col("value").alias("line")).where("line <> ''"), source)
+    return stamped(_placed(spark.read.text(path)), source)
 
 
 def stream_text(spark: SparkSession, path: str, source: str = "file", files_per_trigger: int = 100) -> DataFrame:
-    """The same as a stream that follows a folder."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select(F.col("value").alias("line")).where("line <> ''")
-    ident = F.concat(F.lit("log_"), F.substring(F.md5(F.col("line")), 1, 12))
-    return lines.select(ident.alias("id"), "line", F.lit(source).alias("source"), F.current_timestamp().alias("ts"))
+    """The same as a stream that follows a folder; equal lines get ids of their own."""
+    return stamped(_placed(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)), source)
 
 
 def from_batches(batches: DataFrame) -> DataFrame:
