@@ -17,13 +17,13 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, quoted
+from .common import materialise
 from .rules import grams
+from .tokens import slices
 
 GRAMS = 512
 META = 256
@@ -194,19 +194,27 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _features(batches):
-    for b in batches:
-        out, slots = [], []
-        for data, lang, source, size in zip(*(b.column(c).to_pylist() for c in ("data", "lang", "source", "n_chars")), strict=True):
-            out.append(text_view(data).tobytes())
-            slots.append(np.array(meta_slots(lang, source, size), np.int16).tobytes())
-        yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary()), pa.array(slots, pa.binary())], ["doc_id", "x", "slots"])
+    for batch in batches:
+        for b in slices(batch, "data"):
+            out, slots = [], []
+            for data, lang, source, size in zip(b.column("data"), *(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True):
+                out.append(text_view(data.as_py()).tobytes())
+                slots.append(np.array(meta_slots(lang, source, size), np.int16).tobytes())
+            yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary()), pa.array(slots, pa.binary())], ["doc_id", "x", "slots"])
 
 
-def _matrices(x: list, slots: list) -> tuple[np.ndarray, np.ndarray]:
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    """All values of a binary column one after another, without a copy."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
+def _matrices(x: pa.Array, slots: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Both views of rows of ``_features``."""
     meta = np.zeros((len(x), META), np.float32)
-    meta[np.arange(len(x))[:, None], np.frombuffer(b"".join(slots), np.int16).reshape(len(x), 3)] = 1
-    return np.frombuffer(b"".join(x), np.float32).reshape(len(x), GRAMS + 4), meta
+    meta[np.arange(len(x))[:, None], _flat(slots, np.int16).reshape(len(x), 3)] = 1
+    return _flat(x, np.float32).reshape(len(x), GRAMS + 4), meta
 
 
 def _pool_of(stored: DataFrame):
@@ -214,7 +222,11 @@ def _pool_of(stored: DataFrame):
 
     def pool(teachers, students, sure):
         def run(batches):
-            parts = [pool_sums(_matrices(b.column("x").to_pylist(), b.column("slots").to_pylist()), teachers, students, sure) for b in batches if b.num_rows]
+            parts = []
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    b = batch.slice(at, 2048)
+                    parts.append(pool_sums(_matrices(b.column("x"), b.column("slots")), teachers, students, sure))
             if parts:
                 yield pa.record_batch([pa.array([merged(parts).tobytes()], pa.binary())], ["sums"])
 
@@ -244,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000) -> CoTrai
     y = np.array([asked[r.doc_id] for r in got])
     if (y == 1).sum() < 10 or (y == 0).sum() < 10:
         return None
-    text, meta = _matrices([bytes(r.x) for r in got], [bytes(r.slots) for r in got])
+    text, meta = _matrices(pa.array([bytes(r.x) for r in got], pa.binary()), pa.array([bytes(r.slots) for r in got], pa.binary()))
     rest = rows.join(ids, "doc_id", "left_anti").mapInArrow(_features, kinds).select("x", "slots")
     return exchange(text, meta, y, _pool_of(materialise(rest, "unlabelled")))
 
@@ -258,17 +270,18 @@ def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> D
     """
 
     def run(batches):
-        for b in batches:
-            out = []
-            for data, lang, source, size in zip(*(b.column(c).to_pylist() for c in ("data", "lang", "source", "n_chars")), strict=True):
-                if model is None:
-                    out.append((None, None, None, True))
-                else:
-                    p = [1 / (1 + math.exp(-min(30.0, max(-30.0, z)))) for z in model.log_odds(text_view(data), meta_slots(lang, source, size))]
-                    out.append((*p, p[2] >= threshold))
-            kinds = [pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.record_batch([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "text_p", "meta_p", "quality_p", "kept"])
+        for batch in batches:
+            for b in slices(batch, "data"):
+                out = []
+                for data, lang, source, size in zip(b.column("data"), *(b.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True):
+                    if model is None:
+                        out.append((None, None, None, True))
+                    else:
+                        p = _sigmoid(np.array(model.log_odds(text_view(data.as_py()), meta_slots(lang, source, size)))).tolist()
+                        out.append((*p, p[2] >= threshold))
+                kinds = [pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.record_batch([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "text_p", "meta_p", "quality_p", "kept"])
 
     return _rows(docs).mapInArrow(run, "doc_id long, text_p double, meta_p double, quality_p double, kept boolean")
 
@@ -278,15 +291,19 @@ def keep_good(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5)
 
     Null text counts as empty, missing or null metadata as a value of its own; without a model every row
     stays; repeated rows each get the same verdict; an empty table stays empty; texts are taken whole."""
-    columns = docs.columns
-    inputs = {"data": F.coalesce("text", F.lit("")).cast("binary")}
-
-    @F.pandas_udf("boolean")
-    def good(data: pd.Series, lang: pd.Series, source: pd.Series, size: pd.Series) -> pd.Series:
-        if model is None:
-            return pd.Series([True] * len(data))
-        z = [model.log_odds(text_view(d), meta_slots(a, s, None if pd.isna(n) else n))[2] for d, a, s, n in zip(data, lang, source, size, strict=True)]
-        return pd.Series([1 / (1 + math.exp(-min(30.0, max(-30.0, x)))) >= threshold for x in z])
-
-    view = [(F.col(c) if c in columns else F.lit(None)).cast(t) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]
-    return docs.where(good(inputs["data"], *view)).select(*map(quoted, columns))
+    if model is None:
+        return docs
+    names = [c.lower() for c in docs.columns]
+    text, *others = (names.index(c) if c in names else None for c in ("text", "lang", "source", "n_chars"))
+
+    def run(batches):
+        for batch in batches:
+            data = batch.column(text).fill_null("")
+            at = 0
+            for b in slices(pa.record_batch([data], ["data"]), "data"):
+                part, at = batch.slice(at, b.num_rows), at + b.num_rows
+                rows = zip(b.column("data"), *([None] * b.num_rows if i is None else part.column(i).to_pylist() for i in others), strict=True)
+                z = [model.log_odds(text_view(t.as_py().encode()), meta_slots(*m))[2] for t, *m in rows]
+                yield part.filter(pa.array(_sigmoid(np.array(z)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -90,8 +90,8 @@ FROM judged GROUP BY doc_id
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 heads AS (SELECT doc_id, unnest(range(1, length(h) // 2 - 198)) AS p, h FROM docs WHERE length(h) >= 400),
 short AS (SELECT doc_id, p, hash(substr(h, 2 * p - 1, 64)) AS k FROM heads),
-some AS (SELECT k FROM short GROUP BY k HAVING count(*) > 1),
-long AS (SELECT s.doc_id, s.p, md5(substr(d.h, 2 * s.p - 1, 400)) AS k FROM short s SEMI JOIN some USING (k) JOIN docs d ON d.doc_id = s.doc_id),
+twin AS (SELECT k FROM short GROUP BY k HAVING count(*) > 1),
+long AS (SELECT s.doc_id, s.p, md5(substr(d.h, 2 * s.p - 1, 400)) AS k FROM short s SEMI JOIN twin USING (k) JOIN docs d ON d.doc_id = s.doc_id),
 twice AS (SELECT k FROM long GROUP BY k HAVING count(*) > 1),
 hits AS (SELECT doc_id, p FROM long SEMI JOIN twice USING (k)),
 opens AS (SELECT doc_id, p, coalesce(p > lag(p) OVER w + 200, true) AS fresh FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY p)),

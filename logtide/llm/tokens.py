@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: What one generation of a worker's stems may hold, as sizes of keys and values.
-_MOST_BYTES = 40 << 20
+_MOST_BYTES = 24 << 20
 #: White space other than the six ASCII characters (and what Python or the library may take for it).
 _OTHER_SPACE = r"\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 _ODD = f"[{_OTHER_SPACE}]"
@@ -167,7 +167,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8_000_000):
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000):
     """Parts of a batch with about ``most`` bytes of text each, so long texts stay small in memory."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     start, n = 0, batch.num_rows
