@@ -124,9 +124,11 @@ def classifier(backend: str = "lexical", model_path: str = "") -> Classifier:
     return OnnxClassifier(model_path) if backend == "onnx" and model_path else LexicalClassifier()
 
 
-def severity_sql(line: str) -> str:
-    """``severity`` in portable SQL."""
-    token = f"regexp_extract({line}, '\\b({'|'.join(LEVEL_TOKENS)})\\b', 1)"
+def severity_sql(line: str, unicode: bool = False) -> str:
+    """``severity`` in portable SQL, for ASCII text or for any."""
+    edge = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+    pattern = rf"(?:^|{edge})({'|'.join(LEVEL_TOKENS)})(?:$|{edge})" if unicode else rf"\b({'|'.join(LEVEL_TOKENS)})\b"
+    token = f"regexp_extract({line}, '{pattern}', 1)"
     names = " ".join(f"WHEN lower({token}) IN ({', '.join(repr(n) for n in names)}) THEN {o}" for o, names in LEVEL_NAMES.items())
     cues = " ".join(f"WHEN {' OR '.join(f'contains(lower({line}), {c!r})' for c in cues)} THEN {o}" for o, cues in CUES)
     return f"CAST(CASE WHEN {token} <> '' THEN CASE {names} ELSE 2 END {cues} ELSE 2 END AS INTEGER)"

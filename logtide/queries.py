@@ -5,10 +5,8 @@ Logs are derived from ``events`` (``sources.logs``) or generated.  ``pipeline_*`
 alerts; their SQL (``oracle``) folds recursively.  Queries named without such a part take the masked
 line for the template and know no incidents.
 
-DuckDB's regular expressions are ASCII, so ``mask_documents``, ``classify_documents`` and
-``word_frequency`` compare the rows of ASCII text alone; ``mask_all_documents``,
-``classify_all_documents``, ``word_frequency_all`` and ``word_frequency_documents`` read every
-row and have no SQL.
+Every query reads its whole table.  DuckDB's regular expressions know ASCII boundaries alone; the
+SQL over documents in any script works around that (``masking.mask_sql``, ``classify.severity_sql``).
 """
 
 from __future__ import annotations
@@ -26,7 +24,6 @@ from .sources import logs as source
 from .sources import sinks
 
 HOURLY = Settings(window_seconds=3600)
-ASCII = r"^[\x00-\x7F]*$"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -132,14 +129,8 @@ def mask_logs(spark, sf_dir):
     return _logs(spark, sf_dir).select("id", masking.mask(F.col("line")).alias("masked"))
 
 
-@query(f"SELECT doc_id, md5({masking.mask_sql('text')}) AS masked_md5 FROM documents WHERE regexp_matches(text, '{ASCII}')")
+@query(f"SELECT doc_id, md5({masking.mask_sql('text', unicode=True)}) AS masked_md5 FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def mask_documents(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where(F.col("text").rlike(ASCII))
-    return docs.select("doc_id", F.md5(masking.mask(F.col("text"))).alias("masked_md5"))
-
-
-@query()
-def mask_all_documents(spark, sf_dir):
     return _whole_documents(spark, sf_dir).select("doc_id", F.md5(masking.mask(F.col("text"))).alias("masked_md5"))
 
 
@@ -189,15 +180,19 @@ def bucket_sizes(spark, sf_dir):
 
 
 @query(
-    f"""{_SQL_BUCKETS}, pairs AS (SELECT a.masked AS left_masked, b.masked AS right_masked, a.toks AS s, b.toks AS t, unnest(range(1, len(a.toks) + 1)) AS i
-  FROM buckets a JOIN buckets b ON a.n_tokens = b.n_tokens AND a.prefix = b.prefix AND a.masked < b.masked)
-SELECT left_masked, right_masked, round(avg(CASE WHEN s[i] = t[i] OR s[i] = '<*>' OR t[i] = '<*>' THEN 1.0::DOUBLE ELSE 0 END), 6) AS similarity FROM pairs GROUP BY ALL"""
+    f"""{_SQL_BUCKETS}, pairs AS (SELECT a.masked, b.masked AS other, a.toks AS s, b.toks AS t, unnest(range(1, len(a.toks) + 1)) AS i
+  FROM buckets a JOIN buckets b ON a.n_tokens = b.n_tokens AND a.prefix = b.prefix AND a.masked <> b.masked),
+scored AS (SELECT masked, other, round(avg(CASE WHEN s[i] = t[i] OR s[i] = '<*>' OR t[i] = '<*>' THEN 1.0::DOUBLE ELSE 0 END), 6) AS similarity FROM pairs GROUP BY ALL)
+SELECT masked, other, similarity FROM scored QUALIFY row_number() OVER (PARTITION BY masked ORDER BY similarity DESC, other) = 1"""
 )
 def template_similarity_pairs(spark, sf_dir):
-    b = _buckets(spark, sf_dir).select("masked", "toks", "n_tokens", "prefix")
-    other = b.select(F.col("masked").alias("right_masked"), F.col("toks").alias("t"), "n_tokens", "prefix")
-    pairs = b.join(other, ["n_tokens", "prefix"]).where(F.col("masked") < F.col("right_masked"))
-    return pairs.select(F.col("masked").alias("left_masked"), "right_masked", F.round(templates.similarity(F.col("toks"), F.col("t")), 6).alias("similarity"))
+    """Each string with the most similar other one of its bucket (ties: the least)."""
+    b = materialise(_buckets(spark, sf_dir).select("masked", "toks", "n_tokens", "prefix"), "buckets")
+    other = b.select(F.col("masked").alias("other"), F.col("toks").alias("t"), "n_tokens", "prefix")
+    pairs = b.join(other, ["n_tokens", "prefix"]).where(F.col("masked") != F.col("other"))
+    scored = pairs.select("masked", "other", F.round(templates.similarity(F.col("toks"), F.col("t")), 6).alias("similarity"))
+    best = scored.groupBy("masked").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("b"))
+    return best.select("masked", "b.other", (-F.col("b.s")).alias("similarity"))
 
 
 @query(f"WITH {_SQL_CLASSED} SELECT DISTINCT masked, 'tpl_' || substr(md5(masked), 1, 12) AS template_id FROM classed")
@@ -260,14 +255,8 @@ def component_of_logs(spark, sf_dir):
     return _logs(spark, sf_dir).select("id", classify.component(F.col("line")).alias("component"))
 
 
-@query(f"SELECT doc_id, {classify.severity_sql('text')} AS severity, {classify.component_sql('text')} AS component FROM documents WHERE regexp_matches(text, '{ASCII}')")
+@query(f"SELECT doc_id, {classify.severity_sql('text', unicode=True)} AS severity, {classify.component_sql('text')} AS component FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def classify_documents(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where(F.col("text").rlike(ASCII))
-    return docs.select("doc_id", classify.severity(F.col("text")).alias("severity"), classify.component(F.col("text")).alias("component"))
-
-
-@query()
-def classify_all_documents(spark, sf_dir):
     docs = _whole_documents(spark, sf_dir)
     return docs.select("doc_id", classify.severity(F.col("text")).alias("severity"), classify.component(F.col("text")).alias("component"))
 
@@ -491,21 +480,16 @@ def generated_lines(spark, sf_dir):
 
 # ---- words, embeddings, clusters -------------------------------------------------------
 
-_SQL_WORDS = r"unnest(regexp_extract_all(lower({0}), '<[a-z]+>|[a-z0-9]+|[^\sa-z0-9]'))"
+_SQL_WORDS = r"unnest(regexp_extract_all(lower({0}), '<[a-z]+>|[a-z0-9]+|[^\s\x0B\x{{85}}\p{{Z}}a-z0-9]'))"
 _SQL_SLOT = "CAST(('0x' || substr(md5(token), 1, 16))::UBIGINT % 64 AS INTEGER)"
 
 
-@query(f"WITH w AS (SELECT {_SQL_WORDS.format('text')} AS word FROM benchmark WHERE regexp_matches(text, '{ASCII}')) SELECT word, count(*) AS count FROM w GROUP BY word")
+@query(f"WITH w AS (SELECT {_SQL_WORDS.format('text')} AS word FROM benchmark) SELECT word, count(*) AS count FROM w GROUP BY word")
 def word_frequency(spark, sf_dir):
-    return tokenizer.word_frequency(_table(spark, sf_dir, "benchmark").where(F.col("text").rlike(ASCII)), "text")
-
-
-@query()
-def word_frequency_all(spark, sf_dir):
     return tokenizer.word_frequency(_table(spark, sf_dir, "benchmark"), "text")
 
 
-@query()
+@query(f"WITH w AS (SELECT {_SQL_WORDS.format('text')} AS word FROM documents) SELECT word, count(*) AS count FROM w GROUP BY word")
 def word_frequency_documents(spark, sf_dir):
     return tokenizer.word_frequency(_table(spark, sf_dir, "documents"), "text")
 
