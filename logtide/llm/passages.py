@@ -8,12 +8,14 @@ it also starts in a document with a smaller doc_id.
 
 Block keys and probes meet by key range: each task packs those of a batch of documents into one binary
 row a range (five bytes of hash a probe; places compressed), a range's task keeps its block keys and
-streams the probes, and only hits come out.  A hot passage gives a range one probe a document, so no
+streams the probes, and only hits come out, packed as well and gathered by batch.  A hot passage gives a range one probe a document, so no
 range is hot.  Five bytes may meet by chance; the extension compares whole words' hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -75,18 +77,19 @@ def _range_rows(block: int, length: int, ranges: int, words_held: int = 1 << 20)
         who = np.repeat(np.arange(len(held)), sizes)
         at = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         part = ((keys >> np.uint64(40)) % np.uint64(ranges)).astype(np.uint16 if ranges < 1 << 16 else np.int64)
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], []]
+        src = int.from_bytes(hashlib.md5(docs.tobytes() + ths.tobytes()).digest()[:8], "little", signed=True)
         for kind, mine in ((0, np.flatnonzero(at % block == 0)), (1, np.arange(len(keys)))):
             mine = mine[np.argsort(part[mine], kind="stable")]
             cut = np.flatnonzero(np.diff(part[mine].astype(np.int64))) + 1
             for sel in np.split(mine, cut) if len(mine) else []:
                 rows, number = np.unique(who[sel], return_inverse=True)
                 low, places = _pack(keys[sel], number, at[sel])
-                row = (int(part[sel[0]]), kind, docs[rows].tobytes(), ths[rows].tobytes(), low, places)
+                row = (int(part[sel[0]]), kind, src, docs[rows].tobytes(), ths[rows].tobytes(), low, places)
                 for c, x in zip(out, row, strict=True):
                     c.append(x)
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "kind", "docs", "ths", "low", "places"])
+        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "kind", "src", "docs", "ths", "low", "places"])
 
     def run(batches):
         held: list[tuple] = []
@@ -109,40 +112,37 @@ def _range_rows(block: int, length: int, ranges: int, words_held: int = 1 << 20)
 
 def _hits(batches):
     """Of ranges in order, block keys before probes: probes of a key that a smaller doc indexes, and the
-    indexed places of keys that a larger doc probes; ``doc, th, at, indexed``."""
-    names = ["doc", "th", "at", "indexed"]
-
-    def rows(doc, th, at, indexed):
-        return pa.record_batch([pa.array(doc), pa.array(th), pa.array(at.astype(np.int32)), pa.array(np.full(len(doc), indexed))], names)
+    indexed places of keys that a larger doc probes; packed as they came, by the batch ``src``."""
+    now, index, table = None, [], None
 
     def read(r):
         key, who, at = _unpack(r["low"], r["places"])
         return key, np.frombuffer(r["docs"], np.int64)[who], np.frombuffer(r["ths"], np.int32)[who], at
 
-    now, index, table = None, [], None
+    def row(src, doc, th, at):
+        return pa.record_batch([pa.array([src], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc, th, at.astype(np.int32)))], ["src", "docs", "ths", "places"])
 
     def settle():
-        """Sorted keys of the range with the least doc that indexes each and the greatest that probes it."""
-        key, doc, th, at = (np.concatenate(x) for x in zip(*index, strict=True))
-        order = np.lexsort((doc, key))
-        key, doc, th, at = key[order], doc[order], th[order], at[order]
-        head = np.concatenate([[True], key[1:] != key[:-1]])
-        which = np.cumsum(head) - 1
-        return {"keys": key[head], "least": doc[head], "most": np.full(int(head.sum()), -(1 << 63)), "rows": (doc, th, at, which)}
+        """Keys of the range in order, with the least doc that indexes each and the greatest that probes it."""
+        keys, which = np.unique(np.concatenate([x[1] for x in index]), return_inverse=True)
+        least = np.full(len(keys), _LAST)
+        np.minimum.at(least, which, np.concatenate([x[2] for x in index]))
+        return {"keys": keys, "least": least, "most": np.full(len(keys), -(1 << 63)), "which": np.split(which, np.cumsum([len(x[1]) for x in index])[:-1])}
 
     def indexed():
-        doc, th, at, which = table["rows"]
-        on = doc < table["most"][which]
-        return rows(doc[on], th[on], at[on], True)
+        for (src, _, doc, th, at), which in zip(index, table["which"], strict=True):
+            on = doc < table["most"][which]
+            if on.any():
+                yield row(src, doc[on], th[on], at[on])
 
     for b in batches:
         for r in b.to_pylist():
             if r["range"] != now:
                 if table is not None:
-                    yield indexed()
+                    yield from indexed()
                 now, index, table = r["range"], [], None
             if r["kind"] == 0:
-                index.append(read(r))
+                index.append((r["src"], *read(r)))
                 continue
             if not index:
                 continue
@@ -154,9 +154,32 @@ def _hits(batches):
             np.maximum.at(table["most"], which, doc)
             on = table["least"][which] < doc
             if on.any():
-                yield rows(doc[on], th[on], at[on], False)
+                yield row(r["src"], doc[on], th[on], at[on])
     if table is not None:
-        yield indexed()
+        yield from indexed()
+
+
+def _by_document(batches):
+    """Packed hits in order of ``src`` in; one row a document with its places out."""
+
+    def unpacked(held):
+        doc, th, at = (np.concatenate([np.frombuffer(h[i], t) for h in held]) for i, t in ((0, np.int64), (1, np.int32), (2, np.int32)))
+        order = np.lexsort((at, th, doc))
+        doc, th, at = doc[order], th[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(at)]]).astype(np.int32)), pa.array(at))
+        return pa.record_batch([pa.array(doc[first]), pa.array(th[first]), lists], ["doc", "th", "places"])
+
+    now, held = None, []
+    for b in batches:
+        for src, *row in zip(*(b.column(c).to_pylist() for c in ("src", "docs", "ths", "places")), strict=True):
+            if held and src != now:
+                yield unpacked(held)
+                held = []
+            now = src
+            held.append(row)
+    if held:
+        yield unpacked(held)
 
 
 def _around(places: np.ndarray, words: int, block: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,13 +228,14 @@ def repeated_passages(rows: DataFrame, length: int, dense: int) -> DataFrame:
     """Runs of windows ``doc, th, lo, n`` that a smaller doc has; ``rows`` has ``doc long, th int, data binary``."""
     block = (length + 1) // 2
     ranges = shuffle_partitions(rows.sparkSession)
-    packed = rows.mapInArrow(_range_rows(block, length, ranges), "range int, kind int, docs binary, ths binary, low binary, places binary")
+    packed = rows.mapInArrow(_range_rows(block, length, ranges), "range int, kind int, src long, docs binary, ths binary, low binary, places binary")
     dealt = packed.repartitionById(ranges, "range").sortWithinPartitions("range", "kind")
-    hits = dealt.mapInArrow(_hits, "doc long, th int, at int, indexed boolean")
-    asked = materialise(hits.groupBy("doc", "th").agg(F.collect_set("at").alias("places")), "hits")
+    hits = dealt.mapInArrow(_hits, "src long, docs binary, ths binary, places binary")
+    found = hits.repartition("src").sortWithinPartitions("src").mapInArrow(_by_document, "doc long, th int, places array<int>")
+    asked = materialise(found.groupBy("doc", "th").agg(F.flatten(F.collect_list("places")).alias("places")), "hits")
 
     def filed(data: bytes, places: list):
-        words, at = word_hashes(data), np.array(sorted(places))
+        words, at = word_hashes(data), np.unique(places)
         lo, n = _around(at, len(words), block, length)
         prefix = prefix_hash(words)
         return lo, n, at - lo, block_keys(words, block)[at], range_hash(prefix, lo, n, at, length)
@@ -223,7 +247,7 @@ def repeated_passages(rows: DataFrame, length: int, dense: int) -> DataFrame:
     def window_keys(content: bytes) -> np.ndarray:
         return mix(windows_hash(prefix_hash(np.frombuffer(content[4:], np.uint64)), length))
 
-    rows = materialise(rows.join(asked, ["doc", "th"]), "documents-with-hits")
+    rows = materialise(rows.join(asked.hint("merge"), ["doc", "th"]), "documents-with-hits")
     found = rows.mapInArrow(occurrence_rows(filed, "data", "places"), OCCURRENCE)
     return matched(rows, found, pack, _extended(block, length), window_keys, SMALLER_DOC, dense)
 
@@ -255,6 +279,6 @@ def remove_passages(docs: DataFrame, length: int = 50, dense: int = 256) -> Data
         out = [kept_words(d, [] if s is None else s, length) for d, s in zip(data, spans, strict=True)]
         return pd.DataFrame({"text": [o[0].decode() for o in out], "n_words": [o[1] for o in out], "n_removed": [o[2] for o in out]})
 
-    joined = rows.join(found, [doc, th], "left").withColumn(new, rebuilt(data, spans))
+    joined = rows.join(found.hint("merge"), [doc, th], "left").withColumn(new, rebuilt(data, spans))
     changed = F.when(F.col(f"{new}.n_removed") > 0, F.col(f"{new}.text")).otherwise(F.col("text"))
     return joined.select(*(changed.alias(c) if c.lower() == "text" else quoted(c) for c in own), F.col(f"{new}.n_words"), F.col(f"{new}.n_removed"))

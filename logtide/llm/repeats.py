@@ -210,7 +210,7 @@ def matched(
     gone = {ANYWHERE: F.lit(True), LATER: place != F.col("one") if rule == LATER else None, SMALLER_DOC: F.col("doc") > F.col("first")}[rule]
     settled = shared.where("alike").where(gone).select(*runs).union(judged.where("weight > 1" if rule == ANYWHERE else place != F.col("one") if rule == LATER else "doc > first").select(*runs))
     asked = judged.where("doc = first" if by_doc else place == F.col("one")).groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "n", "off", "anchor")).alias("asked"))
-    fetched = materialise(rows.join(asked, ["doc", "th"]).mapInArrow(_fetch_rows(pack), "anchor long, doc long, th int, lo int, content binary"), "fetched")
+    fetched = materialise(rows.join(asked.hint("merge"), ["doc", "th"]).mapInArrow(_fetch_rows(pack), "anchor long, doc long, th int, lo int, content binary"), "fetched")
     many = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > dense).select("anchor")
     many = materialise(many, "many-contents")
     if many.isEmpty():

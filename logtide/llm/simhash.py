@@ -277,7 +277,7 @@ def _similar(similarity: float):
     return run
 
 
-def _removed(docs: DataFrame, classes: DataFrame, edges: DataFrame, words: int, similarity: float, whole: int = 2000) -> DataFrame:
+def _removed(docs: DataFrame, classes: DataFrame, edges: DataFrame, words: int, similarity: float, whole: int = 256) -> DataFrame:
     """``least, th`` of classes to remove: of linked classes, in order of doc_id, each that is similar to
     one that stays.  Components of over ``whole`` classes are first compared with their least alone, by
     all tasks, up to sixteen times while they stay so large; then each goes through one task."""

@@ -189,4 +189,4 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, dense: in
                 ["doc_id", "data", "n_bytes", "n_removed", "n_spans"],
             )
 
-    return rows.join(spans, ["doc", "th"], "left").mapInArrow(cut, "doc_id long, data binary, n_bytes long, n_removed long, n_spans long")
+    return rows.join(spans.hint("merge"), ["doc", "th"], "left").mapInArrow(cut, "doc_id long, data binary, n_bytes long, n_removed long, n_spans long")
