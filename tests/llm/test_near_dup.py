@@ -72,7 +72,7 @@ def near_copies():
     return out
 
 
-@pytest.mark.parametrize("whole", [2000, 2])
+@pytest.mark.parametrize("whole", [256, 2])
 def test_kept_documents_are_not_alike_and_removed_ones_are(spark, docs, none, rows, monkeypatch, whole):
     original = simhash._removed
     monkeypatch.setattr(simhash, "_removed", lambda *a: original(*a, whole=whole))

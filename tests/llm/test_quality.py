@@ -5,9 +5,11 @@ from collections import Counter
 
 import numpy as np
 
+import pytest
+
 import corpus_pipeline
 from logtide.llm import cotraining, rules
-from test_near_dup import brute_fingerprint, brute_groups
+from test_near_dup import likeness, shingle_set
 from test_text_dedup import WHITE, covered, low
 
 
@@ -106,9 +108,13 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     lines = {d: "\n".join(x for x in t.split("\n") if len(k := low(x.strip(WHITE))) < 10 or held[k] == d) for d, t in texts[0].items()}
     assert texts[1] == lines
 
-    rows = sorted(lines.items())
-    found = brute_groups(rows, [brute_fingerprint(t) for _, t in rows])
-    assert texts[2] == {d: lines[d] for d in {g[2] for g in found}}
+    sets = {d: shingle_set(t) for d, t in lines.items()}
+    assert texts[2] == {d: lines[d] for d in texts[2]}
+    gone = set(lines) - set(texts[2])
+    assert all(any(e < d and likeness(sets[e], sets[d]) >= 0.8 for e in texts[2]) for d in gone) and gone
+    close = sum(likeness(sets[e], sets[d]) >= 0.8 for e in texts[2] for d in texts[2] if e < d)
+    near = sum(likeness(sets[e], sets[d]) >= 0.8 for e in sets for d in sets if e < d)
+    assert close <= 0.1 * near
 
     first, words = {}, {d: t.split() for d, t in texts[2].items()}
     for d, w in words.items():
@@ -123,3 +129,95 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(texts[3])
     assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0)
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
+
+
+def plain_counts(texts, buckets):
+    out = np.zeros(buckets, np.int64)
+    for t in texts:
+        b = t.encode()
+        for i in range(len(b) - 2):
+            code = b[i] << 16 | b[i + 1] << 8 | b[i + 2]
+            out[((code * 2654435761) % (1 << 32) >> 12) % buckets] += 1
+    return out
+
+
+def test_verdicts_equal_plain_counting(spark, rows):
+    buckets = 1 << 10
+    table = {d: t for d, t in rows[:36]}
+    docs = spark.createDataFrame(list(table.items()), "doc_id long, text string")
+    trusted = sorted(table)[::2]
+    labels = spark.createDataFrame([(d, 1, 0) for d in trusted] + [(sorted(table)[1], 1, 1)], "doc_id long, quality int, toxic int")
+    raw, target = plain_counts(table.values(), buckets) + 1.0, plain_counts([table[d] for d in trusted], buckets) + 1.0
+    weight = np.log(target / target.sum()) - np.log(raw / raw.sum())
+
+    def score(t):
+        counts = plain_counts([t], buckets)
+        return float((counts * weight).sum() / counts.sum()) if counts.sum() else 0.0
+
+    threshold = min(0.0, sorted(score(table[d]) for d in trusted)[int(0.1 * len(trusted))])
+    for r in rules.judge(docs, labels, keep_trusted=0.9, buckets=buckets).collect():
+        want = score(table[r.doc_id])
+        assert abs(r.llr - want) < 1e-5
+        if abs(want - threshold) > 1e-5:
+            assert r.kept == (not r.base_failed and want >= threshold)
+
+
+def test_rounds_equal_a_plain_loop():
+    """Co-training row by row in plain Python against the sums of ``exchange``."""
+    r = np.random.default_rng(8)
+    y = r.integers(0, 2, 90)
+    views = [np.column_stack([y * 2 - 1 + r.normal(0, 0.8, 90), r.normal(size=90)]), np.column_stack([y + r.normal(0, 0.4, 90), r.normal(size=90), r.normal(size=90)])]
+    views = [v.astype(np.float32) for v in views]
+    known = 50
+    model = cotraining.exchange(views[0][:known], views[1][:known], y[:known], lambda *a: cotraining.pool_sums(tuple(v[known:] for v in views), *a), rounds=2, sure=0.8, steps=3)
+    held, train = list(range(0, known, 4)), [i for i in range(known) if i % 4]
+    weight = [cotraining.fit_logistic(v[train], y[train]).astype(float) for v in views]
+    dot = lambda me, i, w: float(sum(a * b for a, b in zip(views[me][i], w)) + w[-1])
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(2):
+        slopes = [cotraining.platt(np.array([dot(me, i, weight[me]) for i in held]), y[held]) for me in (0, 1)]
+        said = []  # what each view says of the unlabelled: 1, 0 or nothing
+        for me in (0, 1):
+            p = [sigmoid(slopes[me][0] * dot(me, i, weight[me]) + slopes[me][1]) for i in range(known, 90)]
+            said.append([1 if x >= 0.8 else 0 if x <= 0.2 else None for x in p])
+        now, ahead = [w.copy() for w in weight], [w.copy() for w in weight]
+        for t in range(3):
+            for me in (0, 1):
+                step = 1e-4 * ahead[me]
+                for c in (0, 1):
+                    own = [i for i in train if y[i] == c]
+                    pseudo = [i for i in range(known, 90) if said[1 - me][i - known] == c]
+                    grad = lambda rows: sum((sigmoid(dot(me, i, ahead[me])) - c) * np.append(views[me][i], 1.0) for i in rows) / len(rows)  # noqa: B023, E731
+                    step = step + 0.5 * ((grad(own) + grad(pseudo)) / 2 if pseudo else grad(own))
+                norm = max((views[me][train] ** 2).sum(axis=1).max(), (views[me][known:] ** 2).sum(axis=1).max()) + 1
+                new = ahead[me] - 4.0 / (norm + 1e-4) * step
+                ahead[me], now[me] = new + t / (t + 3) * (new - now[me]), new
+        weight = now
+    assert np.allclose(model.text, weight[0], atol=1e-3) and np.allclose(model.meta, weight[1], atol=1e-3)
+
+
+@pytest.fixture(scope="module")
+def odd_tables(clashing, rows, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("odd"))
+    names = [c for c in clashing.columns if c != "a.b"]
+    clashing.select(*names).write.parquet(f"{at}/documents.parquet")
+    labels = [(d, i % 2, 0) for i, (d, t) in enumerate(rows[:36])] + [(None, 1, 0), (2, None, None)]
+    clashing.sparkSession.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+def test_pipeline_on_odd_tables(spark, odd_tables, tmp_path):
+    """Nulls, blanks, repeated rows and clashing columns go through every stage; so does an empty table."""
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
+    columns, none = docs.columns, docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(spark, docs, odd_tables)
+        assert stage(spark, none, odd_tables).count() == 0
+        if name == "packing":
+            assert {r.doc_id for r in done.collect()} == {r.doc_id for r in docs.collect()}
+            break
+        assert done.columns == columns
+        assert all(r[c] == f"{c}={r.doc_id}" for r in done.collect() for c in columns[5:])
+        done.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    assert docs.count() > 20

@@ -64,6 +64,34 @@ def test_assignment_balances_cost():
     assert packing.capacities(5000, 4096) == [4096, 512, 256, 128, 8]
 
 
+def plain_assign(lengths, capacity):
+    """The same rule with lists: descending documents to the cheapest sequence with room, else a cut."""
+    total = sum(lengths)
+    rooms = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length(), -1, -1) if total % capacity >> b & 1]
+    cost, used, out = [0.0] * len(rooms), [0] * len(rooms), []
+    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        start = 0
+        while start < lengths[item]:
+            left = lengths[item] - start
+            fitting = [s for s in range(len(rooms)) if rooms[s] - used[s] >= left] or [s for s in range(len(rooms)) if rooms[s] > used[s]]
+            s = min(fitting, key=lambda s: (cost[s], s))
+            n = min(left, rooms[s] - used[s])
+            out.append((item, start, n, s, used[s]))
+            cost[s] += n + n * n / 4096
+            used[s] += n
+            start += n
+    return out
+
+
+def test_assignment_equals_plain_lists():
+    r = np.random.default_rng(6)
+    for capacity in (64, 4096):
+        for _ in range(6):
+            lengths = r.integers(0, 3 * capacity, r.integers(1, 60)).tolist()
+            assert packing.assign(lengths, capacity) == plain_assign(lengths, capacity)
+    assert packing.assign([], 64) == []
+
+
 def test_token_files(spark, docs, none, rows, tmp_path):
     path = f"file://{tmp_path}/t"
     token_files.write(docs, path, P.path("byte_bpe_50k.json"), block_bytes=2000)
