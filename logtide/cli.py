@@ -6,6 +6,7 @@ import argparse
 import json
 import logging
 import sys
+import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from . import __version__
 from .operators import clustering
 from .plans import pipeline, readmodels
+from .scratch import materialise
 from .settings import Settings
 from .sources import logs, sinks
 
@@ -41,29 +43,64 @@ def report(result: pipeline.Result, settings: Settings, top: int) -> str:
 
 
 def server(result: pipeline.Result, settings: Settings, host: str, port: int) -> ThreadingHTTPServer:
-    """Read models of one run over HTTP (JSON; ``/metrics`` as text)."""
-    rolled, incidents = readmodels.rollup(result.lines), clustering.new_incidents(result.clusters).drop("centroid")
+    """Read models over HTTP (JSON; ``/metrics`` as text), and ``POST /ingest`` of a batch of lines.
+
+    A batch is a small job: its lines are written beside those at hand and the pipeline runs over both, so
+    the read models show them.  Streams of lines belong to ``streaming``.
+    """
+    now = {"result": result}
+    busy = threading.Lock()
+
+    def incidents():
+        return clustering.new_incidents(now["result"].clusters).drop("centroid")
+
     tables = {
-        "/incidents": lambda: incidents,
-        "/templates": lambda: readmodels.top_templates(rolled),
-        "/anomalies": lambda: readmodels.recent_anomalies(result.lines, settings=settings),
-        "/alerts": lambda: readmodels.recent_alerts(result.alerts, settings=settings),
+        "/incidents": incidents,
+        "/templates": lambda: readmodels.top_templates(readmodels.rollup(now["result"].lines)),
+        "/anomalies": lambda: readmodels.recent_anomalies(now["result"].lines, settings=settings),
+        "/alerts": lambda: readmodels.recent_alerts(now["result"].alerts, settings=settings),
     }
 
+    def ingest(lines: list[str], source: str) -> dict:
+        spark = now["result"].lines.sparkSession
+        batch = logs.from_batches(spark.createDataFrame([(source, lines)], "source string, lines array<string>"))
+        batch = materialise(batch.select(F.col("id").cast("string").alias("id"), "line", "source", F.col("ts").cast("timestamp").alias("ts")), "ingested")
+        with busy:
+            before = now["result"].lines.select(F.col("id").cast("string").alias("id"), "line", "source", F.col("ts").cast("timestamp").alias("ts"))
+            now["result"] = pipeline.run(before.union(batch), settings)
+            found = now["result"].lines.join(batch.select("id"), "id", "left_semi").where("is_anomaly").count()
+        return {"ingested": len(lines), "anomalies": found}
+
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):  # noqa: N802
             path, kind = self.path.split("?")[0], "application/json"
             if path in tables:
                 body = "[" + ",".join(r.value for r in tables[path]().select(F.to_json(F.struct("*")).alias("value")).collect()) + "]"
             elif path == "/health":
-                body = json.dumps(health_of(result, settings))
+                body = json.dumps(health_of(now["result"], settings))
             elif path == "/healthz":
                 body = json.dumps({"status": "ok", "version": __version__})
             elif path == "/metrics":
-                shown = sinks.prometheus(readmodels.health(result.lines, incidents, settings=settings), readmodels.severity_histogram(result.lines))
+                lines = now["result"].lines
+                shown = sinks.prometheus(readmodels.health(lines, incidents(), settings=settings), readmodels.severity_histogram(lines))
                 body, kind = "\n".join(r.line for r in shown.orderBy("at").collect()) + "\n", "text/plain"
             else:
                 return self.send_error(404)
+            self.answer(body, kind)
+
+        def do_POST(self):  # noqa: N802
+            if self.path != "/ingest":
+                return self.send_error(404)
+            try:
+                body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)))
+                lines, source = body["lines"], body.get("source", "api")
+                if not isinstance(source, str) or not isinstance(lines, list) or not all(isinstance(x, str) for x in lines):
+                    raise ValueError
+            except (ValueError, KeyError, TypeError, AttributeError):
+                return self.send_error(422, "expected {lines: [string], source: string}")
+            self.answer(json.dumps(ingest(lines, source)), "application/json")
+
+        def answer(self, body: str, kind: str):
             self.send_response(200)
             self.send_header("Content-Type", kind)
             self.end_headers()

@@ -64,16 +64,21 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     return whole.select(group, l2_normalise(F.col("xs.x")).alias("centroid"))
 
 
-def nearest(vectors: DataFrame, vector: str, targets: DataFrame, target: str, centre: str) -> DataFrame:
-    """Each row of ``vectors`` with its nearest of a small, fixed set of ``targets`` and the cosine.
+def nearest(vectors: DataFrame, vector: str, targets: DataFrame, target: str, centre: str, block: int = 4096) -> DataFrame:
+    """Each row of ``vectors`` with its nearest of ``targets`` and the cosine; ties go to the smallest target.
 
-    The targets are folded into one broadcast row (cluster centres, at most a few thousand), so
-    every vector meets them in place; ties go to the smallest target.
+    Targets are dealt into blocks of about ``block``; each block is one broadcast row, so what is broadcast
+    at once is bounded, and a row carries its best so far from block to block.
     """
-    table = targets.agg(F.sort_array(F.collect_list(F.struct(F.col(target).alias("t"), F.col(centre).alias("c")))).alias("_targets"))
-    best = F.aggregate(
-        "_targets",
-        F.struct(F.lit(None).cast(targets.schema[target].dataType).alias("t"), F.lit(-2.0).alias("sim")),
-        lambda a, x: F.when(dot(F.col(vector), x["c"]) > a["sim"], F.struct(x["t"].alias("t"), dot(F.col(vector), x["c"]).alias("sim"))).otherwise(a),
-    )
-    return vectors.join(F.broadcast(table)).withColumn("_best", best).select(*vectors.columns, F.col("_best.t").alias("nearest"), F.col("_best.sim").alias("similarity"))
+    blocks = max(1, -(-targets.count() // block))
+    kind = targets.schema[target].dataType
+    start = F.struct(F.lit(None).cast(kind).alias("t"), F.lit(-2.0).alias("sim"))
+    out = vectors.withColumn("_best", start)
+    for i in range(blocks):
+        mine = targets if blocks == 1 else targets.where(F.pmod(F.xxhash64(target), F.lit(blocks)) == i)
+        table = mine.agg(F.sort_array(F.collect_list(F.struct(F.col(target).alias("t"), F.col(centre).alias("c")))).alias("_targets"))
+        sim = lambda x: dot(F.col(vector), x["c"])
+        better = lambda a, x: (sim(x) > a["sim"]) | ((sim(x) == a["sim"]) & (x["t"] < a["t"]))
+        best = F.aggregate("_targets", F.col("_best"), lambda a, x: F.when(better(a, x), F.struct(x["t"].alias("t"), sim(x).alias("sim"))).otherwise(a))  # noqa: B023
+        out = out.join(F.broadcast(table)).withColumn("_best", best).drop("_targets")
+    return out.select(*vectors.columns, F.col("_best.t").alias("nearest"), F.col("_best.sim").alias("similarity"))

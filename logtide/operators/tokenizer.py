@@ -6,15 +6,18 @@ with the distinct words (not with the texts).  Encoding runs on distinct words a
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.masking import mask
 from ..functions.vectors import words
+from ..sources.logs import sample_corpus
 
 PAD, UNKNOWN = "[PAD]", "[UNK]"
 
@@ -70,7 +73,8 @@ class Vocabulary:
 def merge_loop(counts: dict[str, int], vocab_size: int, min_freq: int, max_merges: int) -> dict[str, int]:
     """Placeholders whole, then characters, then the most frequent adjacent pairs (ties: the least pair).
 
-    Pair counts and the words that hold a pair are kept up to date, so a merge touches only those.
+    Pair counts and the words that hold a pair are kept up to date, so a merge touches only those; the next
+    pair comes from a heap, whose outdated entries are passed over.
     """
     ids = {PAD: 0, UNKNOWN: 1}
     parts: list[list[str]] = []
@@ -91,13 +95,15 @@ def merge_loop(counts: dict[str, int], vocab_size: int, min_freq: int, max_merge
         for pair in zip(p, p[1:], strict=False):
             pairs[pair] += weight[i]
             where.setdefault(pair, set()).add(i)
+    heap = [(-n, pair) for pair, n in pairs.items()]
+    heapq.heapify(heap)
     for _ in range(max_merges):
-        if len(ids) >= vocab_size or not pairs:
+        while heap and pairs.get(heap[0][1], 0) != -heap[0][0]:
+            heapq.heappop(heap)
+        if len(ids) >= vocab_size or not heap or -heap[0][0] < min_freq:
             break
-        most = max(pairs.values())
-        if most < min_freq:
-            break
-        left, right = min(p for p, n in pairs.items() if n == most)
+        left, right = heapq.heappop(heap)[1]
+        changed: set[tuple[str, str]] = set()
         ids.setdefault(left + right, len(ids))
         ids.setdefault("##" + left + right, len(ids))
         for i in where.pop((left, right)):
@@ -109,13 +115,18 @@ def merge_loop(counts: dict[str, int], vocab_size: int, min_freq: int, max_merge
                     new.append(t)
             for pair in zip(old, old[1:], strict=False):
                 pairs[pair] -= weight[i]
-                if pairs[pair] <= 0:
-                    del pairs[pair]
+                changed.add(pair)
             for pair in zip(new, new[1:], strict=False):
                 pairs[pair] += weight[i]
+                changed.add(pair)
                 where.setdefault(pair, set()).add(i)
             parts[i] = new
         pairs.pop((left, right), None)
+        for pair in changed:
+            if pairs.get(pair, 0) > 0:
+                heapq.heappush(heap, (-pairs[pair], pair))
+            else:
+                pairs.pop(pair, None)
     return ids
 
 
@@ -124,3 +135,13 @@ def train(texts: DataFrame, text: str, vocab_size: int = 2000, min_freq: int = 2
     found = word_frequency(texts, text).where((F.col("count") >= min_freq) | F.col("word").rlike("^<.*>$"))
     counts = {r.word: r["count"] for r in found.toLocalIterator()}
     return Vocabulary(merge_loop(counts, vocab_size, min_freq, max_merges))
+
+
+def bootstrap(spark: SparkSession, lines: int = 300, vocab_size: int = 1500) -> Vocabulary:
+    """A first vocabulary, from masked lines of the sample corpus, so that placeholders are in it."""
+    return retrain(sample_corpus(spark, lines), "line", vocab_size)
+
+
+def retrain(lines: DataFrame, line: str = "line", vocab_size: int = 2000) -> Vocabulary:
+    """A vocabulary of masked real traffic, to use in place of the first one."""
+    return train(lines.select(mask(F.col(line)).alias("masked")), "masked", vocab_size)

@@ -35,6 +35,7 @@ class Settings:
     throughput_window: int = 20_000
     anomaly_cap: int = 5_000
     alert_cap: int = 2_000
+    state_idle_seconds: int = 0
 
     def __post_init__(self):
         if self.window_seconds < 1 or self.partitions < 1 or self.prefix_depth < 2:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import StorageError
+from ..errors import ConfigError, StorageError
 from ..settings import Settings
 
 #: The store's tables and their keys.
@@ -54,6 +54,13 @@ class Store:
         return lambda batch, _: self.upsert(table, batch)
 
 
+def open_store(spark: SparkSession, settings: Settings = Settings()) -> Store:
+    """The store that the settings name: Parquet, ORC or JSON tables under ``storage_path``."""
+    if settings.storage_format not in ("parquet", "orc", "json"):
+        raise ConfigError(f"no store of format {settings.storage_format!r}")
+    return Store(spark, settings.storage_path, settings.storage_format)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """One line a record, as text files."""
     lines.select("line").write.text(path)

@@ -1,7 +1,7 @@
 """Structured Streaming versions of the pipeline's stages.
 
 Stateless stages are the batch functions.  State lives per key: parse-tree leaf for templates,
-template for rates and cooldown.  Inside a micro-batch a key's rows are taken in event-time order;
+template for rates and cooldown, and goes when a key has been idle for ``state_idle_seconds`` (0: never).  Inside a micro-batch a key's rows are taken in event-time order;
 the leaf key is uncapped, as the fan-out cap needs to know all keys.
 """
 
@@ -21,6 +21,20 @@ from ..operators.templates import bucket_prefix, fold, tokens
 from ..settings import Settings
 
 
+def _timeout(settings: Settings) -> str:
+    """Idle keys expire only where it is asked for: Spark then runs batches without data for ever, which a
+    stream that is to end must not do."""
+    return GroupStateTimeout.ProcessingTimeTimeout if settings.state_idle_seconds else GroupStateTimeout.NoTimeout
+
+
+def _idle(state: GroupState, settings: Settings) -> bool:
+    """Whether a key's time is up; then its state goes."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    return False
+
+
 def classified(lines: DataFrame) -> DataFrame:
     """Masked and classified lines with a zoned event time."""
     line = F.col("line")
@@ -42,6 +56,8 @@ def with_templates(lines: DataFrame, settings: Settings = Settings()) -> DataFra
     schema = "id string, ts timestamp, line string, source string, masked string, severity int, component string, group_id string, template string, is_new boolean, matched_count long"
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _idle(state, settings):
+            return
         groups, seeds, counts = (list(x) for x in state.get) if state.exists else ([], [], [])
         groups = [list(g) for g in groups]
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"])
@@ -55,10 +71,12 @@ def with_templates(lines: DataFrame, settings: Settings = Settings()) -> DataFra
             counts[at] += 1
             out.append((seeds[at], " ".join(groups[at]), len(groups) > before, counts[at]))
         state.update((groups, seeds, counts))
+        if settings.state_idle_seconds:
+            state.setTimeoutDuration(1000 * settings.state_idle_seconds)
         yield pdf[columns].assign(group_id=[o[0] for o in out], template=[o[1] for o in out], is_new=[o[2] for o in out], matched_count=[o[3] for o in out])
 
     mined = keyed.withColumn("id", F.col("id").cast("string")).groupBy("leaf").applyInPandasWithState(
-        run, schema, "groups array<array<string>>, seeds array<string>, counts array<long>", "append", GroupStateTimeout.NoTimeout
+        run, schema, "groups array<array<string>>, seeds array<string>, counts array<long>", "append", _timeout(settings)
     )
     return mined.withColumn("group_id", F.concat(F.lit("grp_"), F.substring(F.md5("group_id"), 1, 12)))
 
@@ -71,6 +89,8 @@ def rates(lines: DataFrame, key: str, settings: Settings = Settings()) -> DataFr
     alpha, width = settings.ewma_alpha, settings.window_seconds
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _idle(state, settings):
+            return
         window, count, mean, var, rolled = state.get if state.exists else (-1, 0, 0.0, 1.0, False)
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"])
         out = []
@@ -88,11 +108,13 @@ def rates(lines: DataFrame, key: str, settings: Settings = Settings()) -> DataFr
                 window, count = now, 0
             count += 1
         state.update((window, count, mean, var, rolled))
+        if settings.state_idle_seconds:
+            state.setTimeoutDuration(1000 * settings.state_idle_seconds)
         yield pd.DataFrame({key: k[0], "id": pdf["id"], "ts": pdf["ts"], "rate_z": out})
 
     slim = lines.select(key, F.col("id").cast("string").alias("id"), "ts")
     return slim.groupBy(key).applyInPandasWithState(
-        run, f"{key} string, id string, ts timestamp, rate_z double", "window long, count long, mean double, var double, rolled boolean", "append", GroupStateTimeout.NoTimeout
+        run, f"{key} string, id string, ts timestamp, rate_z double", "window long, count long, mean double, var double, rolled boolean", "append", _timeout(settings)
     )
 
 
@@ -101,6 +123,8 @@ def cooled(candidates: DataFrame, settings: Settings = Settings(), key: str = "t
     gap = settings.cooldown_seconds
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _idle(state, settings):
+            return
         last = state.get[0] if state.exists else None
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"])
         keep = []
@@ -109,10 +133,12 @@ def cooled(candidates: DataFrame, settings: Settings = Settings(), key: str = "t
             keep.append(last is None or at - last >= gap)
             last = at if keep[-1] else last
         state.update((last,))
+        if settings.state_idle_seconds:
+            state.setTimeoutDuration(1000 * settings.state_idle_seconds)
         yield pdf[keep][[key, "id", "ts"]]
 
     slim = candidates.select(key, F.col("id").cast("string").alias("id"), "ts")
-    return slim.groupBy(key).applyInPandasWithState(run, f"{key} string, id string, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy(key).applyInPandasWithState(run, f"{key} string, id string, ts timestamp", "last double", "append", _timeout(settings))
 
 
 def good_and_bad(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

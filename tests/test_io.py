@@ -3,11 +3,15 @@
 import datetime as dt
 import json
 import threading
+import urllib.error
 import urllib.request
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from logtide import cli
+from logtide.errors import ConfigError
 from logtide.operators import features
 from logtide.plans import pipeline
 from logtide.settings import Settings
@@ -112,4 +116,38 @@ def test_http(spark):
     assert json.loads(get("/healthz"))["status"] == "ok"
     assert json.loads(get("/health"))["total_logs"] == 300
     assert "logtide_logs_total 300" in get("/metrics") and isinstance(json.loads(get("/templates")), list)
+    post = urllib.request.Request(f"http://127.0.0.1:{s.server_port}/ingest", json.dumps({"lines": ["kernel: BUG: unable to handle", " ", "fine"], "source": "t"}).encode(), method="POST")
+    assert json.loads(urllib.request.urlopen(post, timeout=300).read()) == {"ingested": 3, "anomalies": 1}
+    assert json.loads(get("/health"))["total_logs"] == 302
+    bad = urllib.request.Request(f"http://127.0.0.1:{s.server_port}/ingest", b"{}", method="POST")
+    with pytest.raises(urllib.error.HTTPError) as e:
+        urllib.request.urlopen(bad, timeout=60)
+    assert e.value.code == 422
     s.shutdown()
+
+
+def test_lag_and_idle_state():
+    behind = lambda n: SimpleNamespace(lastProgress={"sources": [{"metrics": {"avgOffsetsBehindLatest": str(n)}}]})
+    assert streams.consumer_lag(behind(500)) == 500 and streams.consumer_lag(behind(0)) == 0
+    removed = []
+    gone, live = (SimpleNamespace(hasTimedOut=t, remove=lambda: removed.append(1)) for t in (True, False))
+    assert streams._idle(gone, Settings()) and not streams._idle(live, Settings()) and removed == [1]
+
+
+def test_store_by_setting(spark, tmp_path):
+    for kind in ("parquet", "orc", "json"):
+        store = sinks.open_store(spark, Settings(storage_format=kind, storage_path=f"{tmp_path}/{kind}"))
+        store.upsert("templates", spark.createDataFrame([("t", 1)], "template_id string, last_seen int"))
+        assert store.read("templates").count() == 1
+    with pytest.raises(ConfigError):
+        sinks.open_store(spark, Settings(storage_format="clay"))
+
+
+def test_ids_tell_equal_lines_apart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("same\nsame\n")
+    (tmp_path / "in" / "b.log").write_text("same\n")
+    streams.drain(logs.stream_text(spark, str(tmp_path / "in")), str(tmp_path / "o"), str(tmp_path / "c"))
+    for rows in (logs.read_text(spark, str(tmp_path / "in")), spark.read.parquet(str(tmp_path / "o"))):
+        ids = [r.id for r in rows.collect()]
+        assert len(set(ids)) == 3 and all(len(i) == 36 for i in ids)

@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
+from logtide.functions import vectors
 from logtide.operators import alerts, clustering, features, templates, tokenizer
 from logtide.plans import pipeline, readmodels
 from logtide.settings import Settings
@@ -113,7 +114,70 @@ def test_promotion(spark):
     assigned = clustering.assign(gated)
     (c,) = clustering.clusters(gated, assigned).collect()
     assert c.members == 3 and c.promoted and c.new_incident and c.label == "Api incident"
-    assert [r.new_incident for r in clustering.line_flags(gated, assigned).orderBy("id").collect()] == [False, False, True]
+    by_template = assigned.join(clustering.promotions(gated, assigned), "cluster_id")
+    lines = gated.union(gated.limit(1).withColumn("severity", F.lit(1)).withColumn("id", F.lit("9"))).join(by_template, "template_id")
+    flagged = clustering.flagged(lines, F.col("severity") >= 4).orderBy("id").collect()
+    assert [r.new_incident for r in flagged] == [False, False, True, False] and flagged[3].cluster_id is None
+
+
+def test_nearest_is_the_same_in_blocks(spark):
+    r = np.random.default_rng(2)
+    points = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(40)], "i int, v array<double>")
+    targets = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(25)] + [(30, [0.0] * 4), (31, [0.0] * 4)], "t int, c array<double>")
+    found = [{r.i: (r.nearest, r.similarity) for r in vectors.nearest(points, "v", targets, "t", "c", block).collect()} for block in (4096, 5, 1)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 40
+
+
+def test_merges_take_the_most_frequent_pair(spark):
+    """The heap against a scan of all pairs at each merge."""
+    r = np.random.default_rng(3)
+    counts = {"".join(r.choice(list("abcd"), r.integers(1, 9))): int(r.integers(1, 30)) for _ in range(80)} | {"<ip>": 5}
+    ids, words = {"[PAD]": 0, "[UNK]": 1}, []
+    for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        if w.startswith("<"):
+            ids.setdefault(w, len(ids))
+        elif n >= 2:
+            words.append((list(w), n))
+            for c in w:
+                ids.setdefault(c, len(ids)), ids.setdefault("##" + c, len(ids))
+    for _ in range(60):
+        pairs = {}
+        for p, n in words:
+            for x in zip(p, p[1:], strict=False):
+                pairs[x] = pairs.get(x, 0) + n
+        if not pairs or max(pairs.values()) < 2 or len(ids) >= 90:
+            break
+        a, b = min(x for x, n in pairs.items() if n == max(pairs.values()))
+        ids.setdefault(a + b, len(ids)), ids.setdefault("##" + a + b, len(ids))
+        for k, (p, n) in enumerate(words):
+            out = []
+            for t in p:
+                if out and out[-1] == a and t == b:
+                    out[-1] = a + b
+                else:
+                    out.append(t)
+            words[k] = (out, n)
+    assert tokenizer.merge_loop(counts, 90, 2, 60) == ids
+
+
+def test_bootstrap_and_retrain(spark):
+    first = tokenizer.bootstrap(spark, 60, 400)
+    assert {"<ip>", "<num>"} <= set(first.ids)
+    again = tokenizer.retrain(spark.createDataFrame([("payment 12 failed",)] * 3, "line string"))
+    assert "payment" in again.ids and "<num>" in again.ids and "kernel" not in again.ids
+
+
+def test_cooldown_over_many_slots(spark):
+    r = np.random.default_rng(5)
+    times = sorted({int(t) for t in np.cumsum(r.choice([1, 20, 299, 300, 700], 200))})
+    rows = spark.createDataFrame([(f"{i:03}", at(t), "k" if i % 3 else "j") for i, t in enumerate(times)], "id string, ts timestamp, template_id string")
+    want, last = [], {}
+    for i, t in enumerate(times):
+        key = "k" if i % 3 else "j"
+        if key not in last or t - last[key] >= 300:
+            want.append(f"{i:03}")
+            last[key] = t
+    assert sorted(r.id for r in alerts.cooled(rows).collect()) == want
 
 
 def test_vocabulary(spark):
