@@ -224,9 +224,10 @@ def _pool_of(stored: DataFrame):
         def run(batches):
             parts = []
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    b = batch.slice(at, 2048)
+                for at in range(0, batch.num_rows, 1024):
+                    b = batch.slice(at, 1024)
                     parts.append(pool_sums(_matrices(b.column("x"), b.column("slots")), teachers, students, sure))
+            pa.default_memory_pool().release_unused()
             if parts:
                 yield pa.record_batch([pa.array([merged(parts).tobytes()], pa.binary())], ["sums"])
 

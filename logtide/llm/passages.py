@@ -106,6 +106,7 @@ def _range_rows(block: int, length: int, ranges: int, words_held: int = 1 << 20)
                     held, total = [], 0
         if held:
             yield packed(held)
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -60,8 +60,9 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py(), words) for t in b.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+        pa.default_memory_pool().release_unused()
 
     return documents(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 

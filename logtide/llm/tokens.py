@@ -176,3 +176,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000):
         end = max(start + 1, min(n, int(np.searchsorted(ends, done + most, side="right"))))
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()  # what Arrow holds on to would add up over a worker's life
