@@ -46,7 +46,8 @@ def stamped(lines: DataFrame, source: Column | str = "unknown", ts: Column | Non
     Places differ from one reading to the next; what joins records writes them first (``pipeline.judged``)."""
     source = F.lit(source) if isinstance(source, str) else source
     place = [F.col(c) for c in PLACE if c in lines.columns]
-    ident = F.concat(F.lit("log_"), F.md5(F.concat_ws(":", *place, F.monotonically_increasing_id(), "line")))
+    number = F.uuid() if lines.isStreaming else F.monotonically_increasing_id()
+    ident = F.concat(F.lit("log_"), F.md5(F.concat_ws(":", *place, number, "line")))
     return lines.select(ident.alias("id"), "line", source.alias("source"), (F.current_timestamp() if ts is None else ts).alias("ts"))
 
 

@@ -116,7 +116,7 @@ def test_http(spark):
     assert json.loads(get("/healthz"))["status"] == "ok"
     assert json.loads(get("/health"))["total_logs"] == 300
     assert "logtide_logs_total 300" in get("/metrics") and isinstance(json.loads(get("/templates")), list)
-    post = urllib.request.Request(f"http://127.0.0.1:{s.server_port}/ingest", json.dumps({"lines": ["kernel: BUG: unable to handle", " ", "fine"], "source": "t"}).encode(), method="POST")
+    post = urllib.request.Request(f"http://127.0.0.1:{s.server_port}/ingest", json.dumps({"lines": ["FATAL: the disk is gone", " ", "fine"], "source": "t"}).encode(), method="POST")
     assert json.loads(urllib.request.urlopen(post, timeout=300).read()) == {"ingested": 3, "anomalies": 1}
     assert json.loads(get("/health"))["total_logs"] == 302
     bad = urllib.request.Request(f"http://127.0.0.1:{s.server_port}/ingest", b"{}", method="POST")
