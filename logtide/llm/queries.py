@@ -88,10 +88,12 @@ FROM judged GROUP BY doc_id
 """,
     "op6_suffix_dedup": """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-heads AS (SELECT doc_id, unnest(range(1, length(h) // 2 - 198)) AS p, h FROM docs WHERE length(h) >= 400),
-short AS (SELECT doc_id, p, hash(substr(h, 2 * p - 1, 64)) AS k FROM heads),
+bases AS (SELECT doc_id, h, length(h) // 2 - 199 AS starts, unnest(range(0, length(h) // 2 - 199, 128)) AS b FROM docs WHERE length(h) >= 400),
+pieces AS MATERIALIZED (SELECT doc_id, b, least(128, starts - b) AS m, substr(h, 2 * b + 1, 654) AS part FROM bases),
+heads AS (SELECT doc_id, b, part, unnest(range(1, m + 1)) AS i FROM pieces),
+short AS MATERIALIZED (SELECT doc_id, b, i, hash(substr(part, 2 * i - 1, 64)) AS k FROM heads),
 twin AS (SELECT k FROM short GROUP BY k HAVING count(*) > 1),
-long AS (SELECT s.doc_id, s.p, md5(substr(d.h, 2 * s.p - 1, 400)) AS k FROM short s SEMI JOIN twin USING (k) JOIN docs d ON d.doc_id = s.doc_id),
+long AS MATERIALIZED (SELECT s.doc_id, s.b + s.i AS p, md5(substr(d.part, 2 * s.i - 1, 400)) AS k FROM short s SEMI JOIN twin USING (k) JOIN pieces d ON d.doc_id = s.doc_id AND d.b = s.b),
 twice AS (SELECT k FROM long GROUP BY k HAVING count(*) > 1),
 hits AS (SELECT doc_id, p FROM long SEMI JOIN twice USING (k)),
 opens AS (SELECT doc_id, p, coalesce(p > lag(p) OVER w + 200, true) AS fresh FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
