@@ -83,9 +83,9 @@ def write(
     spark.createDataFrame([(digest, width, bytearray(content))], "dict_hash string, width int, content binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def compress(batches):
-        code, packer = tokens.encoder(tokenizer_path), zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content))
+        code, packer = tokens.encoder(tokenizer_path, 40 << 20), zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content))
         for batch in batches:
-            for part in tokens.slices(batch):
+            for part in tokens.slices(batch, most=8_000_000):
                 ids = [x + end for x in code.encode(part.column("text"))]
                 frames = [packer.compress(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) for x in ids]
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])

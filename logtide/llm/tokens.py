@@ -47,6 +47,7 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.held = 0
+        self.most_bytes = _MOST_BYTES
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text; a caller bounds the slice (``slices``)."""
@@ -105,7 +106,7 @@ class Encoder:
     def learn(self, names: list[str]) -> None:
         """Have all of ``names`` in the table.  A full table becomes the old one, from which stems that
         come again return; the rest of it goes when the next table is full."""
-        if self.held > _MOST_BYTES:
+        if self.held > self.most_bytes:
             self.stems, self.old, self.tails, self.held = {}, self.stems, {}, 0
         stems = set(names).difference(self.stems)
         again = stems.intersection(self.old)
@@ -160,10 +161,11 @@ def gather(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     return ids[np.repeat(ends[:-1][at] - out[:-1], n) + np.arange(out[-1])], out
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
+def encoder(path: str, most_bytes: int = _MOST_BYTES) -> Encoder:
+    """This worker's encoder for a vocabulary file, whose generations of stems hold ``most_bytes`` at most."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most_bytes = most_bytes
     return _encoders[path]
 
 
