@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, lines, omh, packing, passages, pieces, rules, simhash, suffixes, token_files
+from . import collocations, cotraining, lines, omh, packing, passages, pieces, rules, simhash, suffixes, token_files
 from .common import WHITE, scratch_path
 
 
@@ -69,7 +69,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_sentencepiece, op3_packing, op4_line_dedup, op5_simhash, op6_suffix_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_token_files)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_sentencepiece, op3_packing, op4_line_dedup, op5_simhash, op6_suffix_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_token_files, op13_collocations)}
 
 _KEY = "translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -116,5 +120,26 @@ judged AS (SELECT doc_id, p, word, max(CASE WHEN doc_id > f THEN p END) OVER (PA
 SELECT d.doc_id, len(any_value(d.ws)) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
        sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM docs d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+ws AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w)) AS n FROM ws GROUP BY lang),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM ws, (VALUES (1), (2), (3), (4), (5)) AS lengths(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM places GROUP BY ALL HAVING count(*) >= 100),
+parts AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM parts),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.j, x.a AS l, y.a AS r, n, (CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM cuts c JOIN sizes USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_at AS (SELECT lang, k, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM parts)),
+gone AS (SELECT DISTINCT f.lang, f.phrase FROM inner_at JOIN f ON f.lang = inner_at.lang AND f.phrase = array_to_string(w[i:i + m - 1], ' ') WHERE 100 * inner_at.a >= 100 * f.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
 """,
 }
