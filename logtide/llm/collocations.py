@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import byte_values, materialise, mix, prefix_hash, shuffle_partitions, spans_hash
+from .common import batch_words, byte_values, materialise, mix, prefix_hash, shuffle_partitions, spans_hash
 from .slots import GAP, Block, build, part_of
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,20 +47,10 @@ def words_of(texts: pa.Array, langs: list[str]) -> tuple[np.ndarray, np.ndarray,
 
     A-Z count as lower case; pieces end at the separators and with the text.
     """
-    texts = texts.cast(pa.large_binary())
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    bounds = ends - ends[0]
+    data, bounds, start, end, text = batch_words(texts, _CLASS)
     opens = np.zeros(len(data) + 1, bool)
     opens[bounds] = True
-    kind = _CLASS[data]
-    inside = kind == 0
-    begin, end = inside.copy(), inside.copy()
-    begin[1:] &= ~inside[:-1] | opens[1:-1]
-    end[:-1] &= ~inside[1:] | opens[1:-1]
-    start, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    piece = np.cumsum((kind == 2) | opens[:-1], dtype=np.int32)[start] if len(data) else np.zeros(0, np.int32)
-    text = np.searchsorted(bounds, start, side="right") - 1
+    piece = np.cumsum((_CLASS[data] == 2) | opens[:-1], dtype=np.int32)[start] if len(data) else np.zeros(0, np.int32)
     own = {x: mix(spans_hash(p := prefix_hash(byte_values(b := x.encode())), np.array([0]), np.array([len(p) - 1])) + np.uint64(len(b) + 1))[0] for x in set(langs)}
     lang = np.array([own[x] for x in langs], np.uint64)
     hashed = spans_hash(prefix_hash(_VALUE[data]), start, end) + (end - start).astype(np.uint64)

@@ -166,6 +166,26 @@ def byte_values(data: bytes) -> np.ndarray:
     return _TABLE[np.frombuffer(data, np.uint8)]
 
 
+def batch_words(texts: pa.Array, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts of a batch: runs of bytes whose ``kind`` is 0, within one text.
+
+    Returns the texts' bytes one after another, their bounds (one more than texts), and each word's start, end
+    and text.
+    """
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    bounds = ends - ends[0]
+    opens = np.zeros(len(data) + 1, bool)
+    opens[bounds] = True
+    inside = kind[data] == 0
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1] | opens[1:-1]
+    end[:-1] &= ~inside[1:] | opens[1:-1]
+    start, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return data, bounds, start, end, np.searchsorted(bounds, start, side="right") - 1
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[list(WHITE.encode())] = True
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, cotraining, lines, omh, packing, passages, pieces, rules, simhash, suffixes, token_files
+from . import collocations, cotraining, lines, omh, packing, passages, pieces, rules, simhash, suffixes, token_files, whitening
 from .common import WHITE, scratch_path
 
 
@@ -69,11 +69,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_sentencepiece, op3_packing, op4_line_dedup, op5_simhash, op6_suffix_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_token_files, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_sentencepiece, op3_packing, op4_line_dedup, op5_simhash, op6_suffix_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_token_files, op12_whitening, op13_collocations)}
 
 _KEY = "translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
