@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, cotraining, lines, omh, packing, passages, pieces, rules, simhash, suffixes, token_files, whitening
+from . import collocations, cotraining, licenses, lines, omh, packing, passages, pieces, rules, simhash, suffixes, token_files, whitening
 from .common import WHITE, scratch_path
 
 
@@ -69,6 +69,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir)).drop("matches")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -77,11 +81,33 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_sentencepiece, op3_packing, op4_line_dedup, op5_simhash, op6_suffix_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_token_files, op12_whitening, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_sentencepiece, op3_packing, op4_line_dedup, op5_simhash, op6_suffix_dedup, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_token_files, op11_license_scan, op12_whitening, op13_collocations)}
 
 _KEY = "translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _license_sql() -> str:
+    """Templates as expressions over the words, each followed by a space; quarters of them for the score."""
+    parsed = [(label, licenses.parse(markup)) for label, markup in licenses.TEMPLATES]
+    holds = lambda nodes, quarter=4: f"regexp_matches(t, ' {licenses.to_regex(nodes, quarter)}')"
+    labels = ", ".join(f"CASE WHEN {holds(nodes)} THEN '{label}' END" for label, nodes in parsed)
+    score = " ".join(f"WHEN {' OR '.join(holds(nodes, q) for _, nodes in parsed)} THEN {q / 4}" for q in (4, 3, 2, 1))
+    phrases = "(VALUES " + ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items()) + ") AS phrases(phrase, label)"
+    return f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+places AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1:i + len(string_split(phrase, ' '))], ' ') = phrase)) AS i
+  FROM docs, {phrases} WHERE list_contains(w, 'license')),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS base FROM places GROUP BY doc_id),
+flat AS (SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS t FROM docs),
+judged AS (SELECT doc_id, n_words, list_filter([{labels}], lambda x: x IS NOT NULL) AS own, CASE {score} ELSE 0.0 END AS score FROM flat)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), own))), ','), '') AS labels, CAST(score AS DOUBLE) AS score
+FROM judged LEFT JOIN base USING (doc_id)
+"""
+
+
 ORACLE_SQL = {
+    "op11_license_scan": _license_sql(),
     "op4_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
