@@ -122,7 +122,7 @@ def _word_parts(words: DataFrame, parts: int) -> DataFrame:
     return words.mapInArrow(keyed, "lang string, word string, key long, part int").groupBy("part").applyInArrow(built, _PART)
 
 
-def _phrase_parts(stream: DataFrame, bar: int, parts: int, most: int = 4_000_000) -> DataFrame:
+def _phrase_parts(stream: DataFrame, bar: int, parts: int, most: int = 1 << 20) -> DataFrame:
     """The hash of the stream's keys that occur at least ``bar`` times; tasks tell no more than ``bar`` of each."""
     width = np.min_scalar_type(bar)
 
@@ -150,6 +150,7 @@ def _phrase_parts(stream: DataFrame, bar: int, parts: int, most: int = 4_000_000
                         yield told(key, count)
                         key, count = key[:0], count[:0]
                     keys, counts, size = [key], [count], len(key)
+            pa.default_memory_pool().release_unused()
         if size:
             yield told(*_merged(keys, counts))
 
