@@ -183,14 +183,13 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """The columns that the views read, null where ``docs`` has none."""
-    has = set(docs.columns)
-    other = {"lang": "string", "source": "string", "n_chars": "long"}
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce("text", F.lit("")).cast("binary").alias("data"),
-        *((F.col(c) if c in has else F.lit(None)).cast(t).alias(c) for c, t in other.items()),
-    )
+    """The columns that the views read, by name in any case (the first of that name), null where ``docs`` has none."""
+    names = [c.lower() for c in docs.columns]
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+    col = {n: (F.col(f"c{names.index(n)}") if n in names else F.lit(None)).cast(t) for n, t in kinds.items()}
+    data = F.coalesce(col["text"], F.lit("")).cast("binary")
+    return docs.select(col["doc_id"].alias("doc_id"), data.alias("data"), *(col[n].alias(n) for n in ("lang", "source", "n_chars")))
 
 
 def _features(batches):

@@ -71,7 +71,7 @@ def _range_rows(block: int, length: int, ranges: int, words_held: int = 1 << 20)
     """Packed block keys (``kind`` 0) and probes (1) of batches of documents, one row a range of keys."""
 
     def packed(held: list[tuple]):
-        docs, ths = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int32)
+        docs, ths = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
         sizes = np.array([len(h[2]) for h in held])
         keys = np.concatenate([h[2] for h in held])
         who = np.repeat(np.arange(len(held)), sizes)
@@ -118,7 +118,7 @@ def _hits(batches):
 
     def read(r):
         key, who, at = _unpack(r["low"], r["places"])
-        return key, np.frombuffer(r["docs"], np.int64)[who], np.frombuffer(r["ths"], np.int32)[who], at
+        return key, np.frombuffer(r["docs"], np.int64)[who], np.frombuffer(r["ths"], np.int64)[who], at
 
     def row(src, doc, th, at):
         return pa.record_batch([pa.array([src], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (doc, th, at.astype(np.int32)))], ["src", "docs", "ths", "places"])
@@ -164,7 +164,7 @@ def _by_document(batches):
     """Packed hits in order of ``src`` in; one row a document with its places out."""
 
     def unpacked(held):
-        doc, th, at = (np.concatenate([np.frombuffer(h[i], t) for h in held]) for i, t in ((0, np.int64), (1, np.int32), (2, np.int32)))
+        doc, th, at = (np.concatenate([np.frombuffer(h[i], t) for h in held]) for i, t in ((0, np.int64), (1, np.int64), (2, np.int32)))
         order = np.lexsort((at, th, doc))
         doc, th, at = doc[order], th[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]))
@@ -226,13 +226,13 @@ def _extended(block: int, length: int):
 
 
 def repeated_passages(rows: DataFrame, length: int, dense: int) -> DataFrame:
-    """Runs of windows ``doc, th, lo, n`` that a smaller doc has; ``rows`` has ``doc long, th int, data binary``."""
+    """Runs of windows ``doc, th, lo, n`` that a smaller doc has; ``rows`` has ``doc long, th long, data binary``."""
     block = (length + 1) // 2
     ranges = shuffle_partitions(rows.sparkSession)
     packed = rows.mapInArrow(_range_rows(block, length, ranges), "range int, kind int, src long, docs binary, ths binary, low binary, places binary")
     dealt = packed.repartitionById(ranges, "range").sortWithinPartitions("range", "kind")
     hits = dealt.mapInArrow(_hits, "src long, docs binary, ths binary, places binary")
-    found = hits.repartition("src").sortWithinPartitions("src").mapInArrow(_by_document, "doc long, th int, places array<int>")
+    found = hits.repartition("src").sortWithinPartitions("src").mapInArrow(_by_document, "doc long, th long, places array<int>")
     asked = materialise(found.groupBy("doc", "th").agg(F.flatten(F.collect_list("places")).alias("places")), "hits")
 
     def filed(data: bytes, places: list):
@@ -268,7 +268,7 @@ def remove_passages(docs: DataFrame, length: int = 50, dense: int = 256) -> Data
     rows = docs.withColumns(
         {
             doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)),
-            th: F.hash(F.coalesce("text", F.lit(""))),
+            th: F.xxhash64(F.coalesce("text", F.lit(""))),
             data: F.coalesce("text", F.lit("")).cast("binary"),
         }
     )

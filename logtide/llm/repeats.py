@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import lookup_weighted, materialise, mix, prefix_hash, spans_hash, windows_hash
 
 #: ``off`` is where the anchor lies in the content, for operators that need it.
-OCCURRENCE = "doc long, th int, lo int, n int, off int, anchor long, rng long"
+OCCURRENCE = "doc long, th long, lo int, n int, off int, anchor long, rng long"
 #: Which repeated windows go: all; all but the first by (doc, th, lo); those that a smaller doc has.
 ANYWHERE, LATER, SMALLER_DOC = "anywhere", "later", "smaller doc"
 _POS = np.uint64((1 << 24) - 1)
@@ -96,7 +96,7 @@ def occurrence_rows(filed: Callable[[dict], Occurrences], *columns: str):
             for doc, th, *row in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), *(b.column(c) for c in columns), strict=True):
                 lo, n, off, anchor, rng = filed(*(x.as_py() for x in row))
                 if len(lo):
-                    out = (np.full(len(lo), doc, np.int64), np.full(len(lo), th, np.int32), lo.astype(np.int32), n.astype(np.int32), off.astype(np.int32), anchor.view(np.int64), rng.view(np.int64))
+                    out = (np.full(len(lo), doc, np.int64), np.full(len(lo), th, np.int64), lo.astype(np.int32), n.astype(np.int32), off.astype(np.int32), anchor.view(np.int64), rng.view(np.int64))
                     for c, x in zip(cols, out, strict=True):
                         c.append(x)
             if cols[0]:
@@ -114,7 +114,7 @@ def _fetch_rows(pack: Callable[[bytes, list], list[bytes]]):
                 got = pack(data.as_py(), [(a["lo"], a["n"], a["off"]) for a in asked])
                 m = len(asked)
                 yield pa.record_batch(
-                    [pa.array([a["anchor"] for a in asked], pa.int64()), pa.array([doc] * m, pa.int64()), pa.array([th] * m, pa.int32()), pa.array([a["lo"] for a in asked], pa.int32()), pa.array(got, pa.binary())],
+                    [pa.array([a["anchor"] for a in asked], pa.int64()), pa.array([doc] * m, pa.int64()), pa.array([th] * m, pa.int64()), pa.array([a["lo"] for a in asked], pa.int32()), pa.array(got, pa.binary())],
                     ["anchor", "doc", "th", "lo", "content"],
                 )
 
@@ -141,7 +141,7 @@ def _compared(compare: Compare, held_bytes: int):
         n = np.diff(np.concatenate([np.flatnonzero(new), [len(at)]]))
         who = row[first]
         docs, ths, los = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
-        return pa.record_batch([pa.array(docs[who].astype(np.int64)), pa.array(ths[who].astype(np.int32)), pa.array((los[who] + place[first]).astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "th", "lo", "n"])
+        return pa.record_batch([pa.array(docs[who].astype(np.int64)), pa.array(ths[who].astype(np.int64)), pa.array((los[who] + place[first]).astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "th", "lo", "n"])
 
     def run(batches):
         held: list[tuple] = []
@@ -191,7 +191,8 @@ def matched(
 ) -> DataFrame:
     """Runs of windows ``doc, th, lo, n`` that go by ``rule``, from the occurrences ``found``.
 
-    ``rows`` has ``doc long, th int, data binary``; equal (doc, th) must mean equal rows.  ``pack``
+    ``rows`` has ``doc long, th long, data binary``; equal (doc, th) must mean equal rows, so ``th`` is a
+    64-bit hash of the text: rows without a doc_id, or with one in common, are told apart by it alone.  ``pack``
     takes a row and (lo, n, off) and gives contents, of which ``compare`` judges the windows and
     ``window_keys`` gives their 64-bit hashes.
     """
@@ -210,16 +211,16 @@ def matched(
     gone = {ANYWHERE: F.lit(True), LATER: place != F.col("one") if rule == LATER else None, SMALLER_DOC: F.col("doc") > F.col("first")}[rule]
     settled = shared.where("alike").where(gone).select(*runs).union(judged.where("weight > 1" if rule == ANYWHERE else place != F.col("one") if rule == LATER else "doc > first").select(*runs))
     asked = judged.where("doc = first" if by_doc else place == F.col("one")).groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "n", "off", "anchor")).alias("asked"))
-    fetched = materialise(rows.join(asked.hint("merge"), ["doc", "th"]).mapInArrow(_fetch_rows(pack), "anchor long, doc long, th int, lo int, content binary"), "fetched")
+    fetched = materialise(rows.join(asked.hint("merge"), ["doc", "th"]).mapInArrow(_fetch_rows(pack), "anchor long, doc long, th long, lo int, content binary"), "fetched")
     many = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > dense).select("anchor")
     many = materialise(many, "many-contents")
     if many.isEmpty():
         few, windows = fetched, None
     else:
         few = fetched.join(many, "anchor", "left_anti")
-        windows = fetched.join(many, "anchor", "left_semi").mapInArrow(_window_rows(window_keys), "key long, doc long, th int, lo int")
+        windows = fetched.join(many, "anchor", "left_semi").mapInArrow(_window_rows(window_keys), "key long, doc long, th long, lo int")
     order = few.repartition("anchor").sortWithinPartitions("anchor", "doc", "th", "lo")
-    out = settled.union(order.mapInArrow(_compared(compare, held_bytes), "doc long, th int, lo int, n int"))
+    out = settled.union(order.mapInArrow(_compared(compare, held_bytes), "doc long, th long, lo int, n int"))
     if windows is not None:
         same = windows.groupBy("key").agg(F.count("*").alias("weight"), F.min("doc").alias("first"), *([F.min(place).alias("one")] if rule == LATER else [])).where("weight > 1")
         hits = lookup_weighted(windows, materialise(same, "windows"), ["key"]).where(gone)

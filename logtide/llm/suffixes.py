@@ -138,7 +138,7 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int = 32, dense: int = 4
     """The rows ``doc, th, data`` dealt by row, and runs of repeated windows ``doc, th, lo, n``."""
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"),
-        F.hash(F.coalesce("text", F.lit(""))).alias("th"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
         F.coalesce("text", F.lit("")).cast("binary").alias("data"),
     )
 

@@ -221,3 +221,15 @@ def test_pipeline_on_odd_tables(spark, odd_tables, tmp_path):
         done.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     assert docs.count() > 5  # the labels are arbitrary, so the classifier rejects many
+
+
+def test_metadata_by_name_in_any_case(spark):
+    good, bad = "a calm and clear sentence about the sea " * 4, "$$ WIN ### CASH !!! %% " * 8
+    rows = [(i, (good if i % 2 else bad) + f" {i % 7}", "en", "books" if i % 2 else "spam", 100 + i) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    lower = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    other = lower.toDF("Doc_Id", "TEXT", "LANG", "Source", "N_chars")
+    models = [cotraining.fit(d, labels) for d in (lower, other)]
+    assert np.allclose(models[0].meta, models[1].meta, atol=1e-6) and np.abs(models[0].meta).max() > 0.1
+    kept = [sorted(r[0] for r in cotraining.keep_good(d, models[0]).collect()) for d in (lower, other)]
+    assert kept[0] == kept[1] and cotraining.score(other, models[0]).count() == 400

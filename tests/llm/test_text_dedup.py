@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logtide.llm import cotraining, lines, passages, repeats, simhash, suffixes
 from logtide.llm.common import word_hashes
@@ -159,3 +160,22 @@ def test_line_threshold(docs, rows, least):
         keys = [low(x.strip(WHITE)) for x in (t or "").split("\n")]
         gone[(i, sum(len(k) >= 10 and len(held[k]) >= least and (LAST if i is None else i) > min(held[k]) for k in keys))] += 1
     assert Counter((r.doc_id, r.n_dropped) for r in done.collect()) == gone
+
+
+def same_short_hash(spark):
+    """Two texts whose 32-bit ``hash`` is equal, found by counting."""
+    numbers = spark.range(200_000).selectExpr("concat('a number spelled out as ', id, ' of many more') as t").selectExpr("t", "hash(t) as h")
+    pair = numbers.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a < b").orderBy("h").first()
+    return pair.a, pair.b
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_without_an_id_of_their_own_keep_apart(spark, doc_id):
+    """One of two texts with equal 32-bit hashes repeats elsewhere; the other must not lose its words."""
+    a, b = same_short_hash(spark)
+    table = spark.createDataFrame([(doc_id, a), (doc_id, b), (1, a)], "doc_id long, text string")
+    length = len(a) - 2
+    removed = {(r.n_bytes, r.n_removed > 0, bytes(r.data) == b.encode()) for r in suffixes.remove_repeats(table, length=length, gram=4).collect()}
+    assert (len(b), False, True) in removed and (len(a), True, False) in removed
+    kept = [r.text for r in passages.remove_passages(table, length=9).collect()]
+    assert b in kept and kept.count(a) == 1
