@@ -1,20 +1,25 @@
 """Open-set incident types: leader clustering of distinct, gated templates.
 
 The embedding depends on the template alone, so templates (not lines) are clustered, weighted by
-their gated lines and in order of first gated line.  One task folds them: their number is bounded by
-the distinct templates that raise errors, not by the lines.
+their gated lines and in order of first gated line.  A cluster's leader is its first template: a template
+within the threshold of no earlier leader leads, any other joins the most similar earlier leader.
+
+Leaders are found in rounds.  A round takes the first undecided templates, a block of bounded size, picks
+the leaders among them, and every task drops the templates that these cover; so templates meet leaders
+alone, never each other in pairs, and what a round holds in one place does not grow with the templates.
 """
 
 from __future__ import annotations
 
-import hashlib
+from bisect import bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hash_embed, l2_normalise
+from ..scratch import materialise
 from ..settings import Settings
 
 
@@ -23,44 +28,93 @@ def gate(severity: Column, is_new: Column, reasons: Column) -> Column:
     return (F.size(reasons) > 0) | is_new | (severity >= 4)
 
 
-def leader_fold(vectors: np.ndarray, weights: list[int], similarity: float) -> list[int]:
-    """Assign vectors in order: the most similar leader (first of equals) at or over the threshold
-    takes it and moves towards it by its weight; else it leads a new cluster.
+def first_leaders(vectors: np.ndarray, similarity: float) -> list[int]:
+    """Of unit vectors in order, those within the threshold of no earlier leader."""
+    close = vectors @ vectors.T >= similarity
+    covered, found = np.zeros(len(vectors), bool), []
+    for i in range(len(vectors)):
+        if not covered[i]:
+            found.append(i)
+            covered |= close[i]
+    return found
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    Centres are kept normalised in one array, so each vector costs one product with it.
+
+def leaders(embedded: DataFrame, similarity: float, block: int = 2048) -> list[DataFrame]:
+    """Written tables ``template_id, at, id, embedding`` of leaders, each of at most ``block`` rows, one a round and
+    in order of (at, id).
+
+    The driver holds one block.  A round decides at least one template and all that its leaders cover.
+    """
+    rest, out, order = embedded, [], ("at", "id", "template_id")
+    while True:
+        head = rest.orderBy(*order).limit(block).collect()
+        if not head:
+            return out
+        found = [head[i] for i in first_leaders(np.array([r.embedding for r in head]), similarity)]
+        out.append(materialise(embedded.sparkSession.createDataFrame(found, embedded.schema), "leaders"))
+        if len(head) < block:
+            return out
+        centres, last = np.array([r.embedding for r in found]), head[-1]
+
+        def uncovered(batches, centres=centres):
+            for b in batches:
+                near = (_matrix(b.column("embedding")) @ centres.T >= similarity).any(axis=1)
+                yield b.filter(pa.array(~near))
+
+        later = F.struct(*order) > F.struct(*(F.lit(last[c]).cast(embedded.schema[c].dataType) for c in order))
+        rest = materialise(rest.where(later).mapInArrow(uncovered, embedded.schema), "undecided")
+
+
+def nearest_leader(embedded: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """``template_id, leader``: the most similar leader that is no later than the template, the first of equals.
+
+    Each table of leaders is a broadcast of at most a block; a row carries its best from one to the next.
     """
-    sums = np.zeros((16, vectors.shape[1] if vectors.ndim == 2 else 0))
-    centres, n, assigned = np.zeros_like(sums), 0, []
-    for v, w in zip(vectors, weights, strict=True):
-        cosines = centres[:n] @ v
-        best = int(np.argmax(cosines)) if n else -1
-        if best < 0 or cosines[best] < similarity:
-            if n == len(sums):
-                sums, centres = (np.concatenate([x, np.zeros_like(x)]) for x in (sums, centres))
-            best, n = n, n + 1
-        sums[best] += w * v
-        centres[best] = sums[best] / (np.linalg.norm(sums[best]) or 1.0)
-        assigned.append(best)
-    return assigned
-
-
-def assign(gated: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    out = embedded.select("template_id", "at", "id", "embedding", F.lit(-2.0).alias("best"), F.lit(None).cast("string").alias("leader"))
+    schema = out.schema
+    for i, table in enumerate(tables):
+        rows = table.orderBy("at", "id", "template_id").collect()
+        centres, places, names = np.array([r.embedding for r in rows]), [(r.at, r.id, r.template_id) for r in rows], [r.template_id for r in rows]
+
+        def better(batches, centres=centres, places=places, names=names):
+            for b in batches:
+                cosine = _matrix(b.column("embedding")) @ centres.T
+                own_places = list(zip(*(b.column(c).to_pylist() for c in ("at", "id", "template_id")), strict=True))
+                known = np.array([bisect_right(places, p) for p in own_places], np.int64)  # leaders up to the template itself
+                cosine[np.arange(len(names)) >= known[:, None]] = -2.0
+                for i, p in enumerate(own_places):
+                    if known[i] and places[known[i] - 1] == p:
+                        cosine[i, known[i] - 1] = 2.0  # a leader leads itself, even without words
+                which, had = cosine.argmax(axis=1), b.column("best").to_numpy()
+                top = cosine[np.arange(len(which)), which]
+                new = top > had
+                leader = [names[w] if n else x for w, n, x in zip(which.tolist(), new.tolist(), b.column("leader").to_pylist(), strict=True)]
+                yield pa.record_batch([*(b.column(c) for c in ("template_id", "at", "id", "embedding")), pa.array(np.where(new, top, had)), pa.array(leader, pa.string())], schema.names)
+
+        out = out.mapInArrow(better, schema)
+        if i % 8 == 7:
+            out = materialise(out, "nearest")
+    return out.select("template_id", "leader")
+
+
+def assign(gated: DataFrame, settings: Settings = Settings(), block: int = 2048) -> DataFrame:
     """``template_id, cluster_id, embedding`` for each template of gated lines (``template_id, template, ts, id``)."""
-    templates = gated.groupBy("template_id", "template").agg(F.count("*").alias("members"), F.min(F.struct("ts", "id")).alias("first"))
-    embedded = templates.join(hash_embed(templates, "template_id", "template", settings.embed_dim), "template_id")
-    similarity = settings.cluster_similarity
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        assigned = leader_fold(np.array(pdf["embedding"].tolist()), pdf["members"].tolist(), similarity)
-        leader: dict[int, str] = {}
-        for a, t in zip(assigned, pdf["template_id"], strict=True):
-            leader.setdefault(a, "cl_" + hashlib.md5(t.encode()).hexdigest()[:12])
-        return pd.DataFrame({"template_id": pdf["template_id"], "cluster_id": [leader[a] for a in assigned]})
-
-    slim = embedded.select("template_id", "embedding", "members", "first.ts", "first.id", F.lit("all").alias("scope"))
-    found = slim.groupBy("scope").applyInPandas(run, "template_id string, cluster_id string")
-    return found.join(embedded.select("template_id", "embedding"), "template_id")
+    templates = gated.groupBy("template_id", "template").agg(F.min(F.struct("ts", "id")).alias("first"))
+    vectors = hash_embed(templates, "template_id", "template", settings.embed_dim)
+    at = F.unix_micros(F.col("first.ts").cast("timestamp")).alias("at")
+    embedded = materialise(templates.join(vectors, "template_id").select("template_id", at, F.col("first.id").alias("id"), "embedding"), "embedded")
+    return grouped(embedded, settings.cluster_similarity, block)
+
+
+def grouped(embedded: DataFrame, similarity: float, block: int = 2048) -> DataFrame:
+    """``template_id, cluster_id, embedding`` of a written table ``template_id, at, id, embedding`` (unit vectors), ordered by (at, id)."""
+    found = nearest_leader(embedded, leaders(embedded, similarity, block))
+    name = F.concat(F.lit("cl_"), F.substring(F.md5("leader"), 1, 12)).alias("cluster_id")
+    return found.select("template_id", name).join(embedded.select("template_id", "embedding"), "template_id")
 
 
 def clusters(gated: DataFrame, assigned: DataFrame, settings: Settings = Settings()) -> DataFrame:

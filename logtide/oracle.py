@@ -42,29 +42,38 @@ mined AS MATERIALIZED (SELECT t.masked, array_to_string(g.groups[f.at], ' ') AS
   FROM tree t JOIN fold f ON f.n_tokens = t.n_tokens AND f.prefix = t.prefix AND f.k = t.k JOIN final g ON g.n_tokens = t.n_tokens AND g.prefix = t.prefix)"""
 
 
-def clusters(settings: Settings = Settings()) -> str:
-    """CTEs over ``judged``: ``gated`` lines, ``assigned`` templates, ``clusters`` and, with flags, ``flagged`` lines."""
+def embedded(settings: Settings = Settings()) -> str:
+    """CTEs up to ``embedded`` over ``templates`` (template_id, template, first): unit vectors ``v``, numbered ``k`` in order."""
     slot = f"CAST(('0x' || substr(md5(token), 1, 16))::UBIGINT % {settings.embed_dim} AS INTEGER)"
-    return rf"""gated AS MATERIALIZED (SELECT * FROM judged WHERE reasons <> '' OR place = 1 OR severity >= 4),
-templates AS (SELECT template_id, any_value(template) AS template, count(*) AS members, min(struct_pack(ts := ts, id := id)) AS first FROM gated GROUP BY template_id),
-words AS (SELECT template_id, unnest(regexp_extract_all(lower(template), '{WORD}')) AS token FROM templates),
+    return rf"""words AS (SELECT template_id, unnest(regexp_extract_all(lower(template), '{WORD}')) AS token FROM templates),
 counted AS (SELECT template_id, token, count(*) AS n FROM words GROUP BY ALL),
 slots AS (SELECT template_id, {slot} AS slot, sum((1 + ln(n)) * CASE WHEN ('0x' || substr(md5(token), 1, 1))::INTEGER & 2 <> 0 THEN 1 ELSE -1 END) AS value FROM counted GROUP BY ALL),
 dense AS (SELECT t.template_id, d.slot, coalesce(s.value, 0)::DOUBLE AS value FROM templates t CROSS JOIN (SELECT unnest(range({settings.embed_dim})) AS slot) d LEFT JOIN slots s ON s.template_id = t.template_id AND s.slot = d.slot),
 raw AS (SELECT template_id, list(value ORDER BY slot) AS v, sqrt(sum(value * value)) AS norm FROM dense GROUP BY template_id),
-embedded AS MATERIALIZED (SELECT t.*, list_transform(r.v, lambda x: CASE WHEN r.norm > 0 THEN x / r.norm ELSE x END) AS v, row_number() OVER (ORDER BY first) AS k FROM templates t JOIN raw r USING (template_id)),
-leaders AS (
-  SELECT k, [list_transform(v, lambda x: x * members)] AS sums, [template_id] AS heads, CAST(1 AS BIGINT) AS at FROM embedded WHERE k = 1
+embedded AS MATERIALIZED (SELECT t.*, list_transform(r.v, lambda x: CASE WHEN r.norm > 0 THEN x / r.norm ELSE x END) AS v, row_number() OVER (ORDER BY first) AS k FROM templates t JOIN raw r USING (template_id))"""
+
+
+def leaders(table: str, similarity: float) -> str:
+    """CTEs ``edges``, ``leads`` and ``led`` (template_id, leader) of ``table`` (template_id, v, k from 1 in order)."""
+    return f"""edges AS MATERIALIZED (SELECT a.k AS a, b.k AS b, list_inner_product(a.v, b.v) AS cosine FROM {table} a JOIN {table} b ON a.k < b.k AND list_inner_product(a.v, b.v) >= {similarity}::DOUBLE),
+near AS MATERIALIZED (SELECT k, coalesce(list(a) FILTER (WHERE a IS NOT NULL), []) AS earlier FROM {table} LEFT JOIN edges ON b = k GROUP BY k),
+leads AS (
+  SELECT k, [k] AS ks FROM near WHERE k = 1
   UNION ALL
-  SELECT k, CASE WHEN top >= {settings.cluster_similarity}::DOUBLE THEN list_transform(sums, lambda s, i: CASE WHEN i = best THEN list_transform(s, lambda x, j: x + members * v[j]) ELSE s END)
-      ELSE list_append(sums, list_transform(v, lambda x: x * members)) END,
-    CASE WHEN top >= {settings.cluster_similarity}::DOUBLE THEN heads ELSE list_append(heads, template_id) END,
-    CASE WHEN top >= {settings.cluster_similarity}::DOUBLE THEN best ELSE len(sums) + 1 END
-  FROM (SELECT *, list_max(cosines) AS top, list_position(cosines, list_max(cosines)) AS best FROM (
-    SELECT e.k, e.v, e.members, e.template_id, l.sums, l.heads,
-      list_transform(l.sums, lambda s: coalesce(list_inner_product(s, e.v) / nullif(sqrt(list_inner_product(s, s)), 0), 0)) AS cosines
-    FROM leaders l JOIN embedded e ON e.k = l.k + 1))),
-assigned AS MATERIALIZED (SELECT e.template_id, 'cl_' || substr(md5(l.heads[l.at]), 1, 12) AS cluster_id FROM embedded e JOIN leaders l USING (k)),
+  SELECT n.k, CASE WHEN list_has_any(l.ks, n.earlier) THEN l.ks ELSE list_append(l.ks, n.k) END FROM leads l JOIN near n ON n.k = l.k + 1),
+heads AS MATERIALIZED (SELECT unnest(arg_max(ks, k)) AS k FROM leads),
+led AS (SELECT e.template_id, coalesce(h.template_id, e.template_id) AS leader FROM {table} e
+  LEFT JOIN (SELECT b, a FROM edges SEMI JOIN heads ON heads.k = edges.a ANTI JOIN heads ON heads.k = edges.b QUALIFY row_number() OVER (PARTITION BY b ORDER BY cosine DESC, a) = 1) j ON j.b = e.k
+  LEFT JOIN {table} h ON h.k = j.a)"""
+
+
+def clusters(settings: Settings = Settings()) -> str:
+    """CTEs over ``judged``: ``gated`` lines, ``assigned`` templates, ``clusters`` and, with flags, ``flagged`` lines."""
+    return rf"""gated AS MATERIALIZED (SELECT * FROM judged WHERE reasons <> '' OR place = 1 OR severity >= 4),
+templates AS (SELECT template_id, any_value(template) AS template, count(*) AS members, min(struct_pack(ts := ts, id := id)) AS first FROM gated GROUP BY template_id),
+{embedded(settings)},
+{leaders("embedded", settings.cluster_similarity)},
+assigned AS MATERIALIZED (SELECT template_id, 'cl_' || substr(md5(leader), 1, 12) AS cluster_id FROM led),
 clustered AS (SELECT g.*, a.cluster_id, row_number() OVER (PARTITION BY a.cluster_id ORDER BY g.ts, g.id) AS nth, min(g.ts) OVER (PARTITION BY a.cluster_id) AS since FROM gated g JOIN assigned a USING (template_id)),
 modes AS (SELECT cluster_id, component, count(*) AS n, min(struct_pack(ts := ts, id := id)) AS first FROM clustered GROUP BY ALL),
 mode AS (SELECT cluster_id, component FROM modes QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first) = 1),

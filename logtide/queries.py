@@ -597,12 +597,29 @@ def incident_clusters(spark, sf_dir):
     return _cluster_rows(_run(spark, sf_dir).clusters)
 
 
-@query(f"{_SQL_CHAIN}, sums AS (SELECT l.sums, l.heads FROM leaders l ORDER BY k DESC LIMIT 1), spread AS (SELECT unnest(sums) AS s, unnest(heads) AS head FROM sums) SELECT 'cl_' || substr(md5(head), 1, 12) AS id, i - 1 AS at, round(s[i] / sqrt(list_inner_product(s, s)), 6) AS value FROM (SELECT s, head, unnest(range(1, len(s) + 1)) AS i FROM spread)")
+@query(
+    f"""{_SQL_CHAIN}, spread AS (SELECT cluster_id, members, v, unnest(range(1, len(v) + 1)) AS i FROM embedded JOIN assigned USING (template_id)),
+sums AS (SELECT cluster_id, i, sum(members * v[i]) AS x FROM spread GROUP BY ALL), norms AS (SELECT cluster_id, sqrt(sum(x * x)) AS norm FROM sums GROUP BY ALL)
+SELECT cluster_id AS id, i - 1 AS at, round(x / norm, 6) AS value FROM sums JOIN norms USING (cluster_id)"""
+)
 def cluster_centroids(spark, sf_dir):
     at = F.posexplode("centroid").alias("at", "value")
     return _run(spark, sf_dir).clusters.select("id", at).select("id", F.col("at").cast("long").alias("at"), F.round("value", 6).alias("value"))
 
 
+@query(
+    f"""WITH RECURSIVE templates AS (SELECT conv_id || ':' || turn AS template_id, any_value(coalesce(text, '')) AS template, struct_pack(ts := conv_id, id := turn) AS first FROM conversations GROUP BY conv_id, turn),
+{oracle.embedded()}, {oracle.leaders("embedded", 0.9)}
+SELECT l.template_id, 'cl_' || substr(md5(leader), 1, 12) AS cluster_id FROM led l"""
+)
+def conversation_clusters(spark, sf_dir):
+    """Every turn of every conversation in clusters of similar wording, led by the first turn of each."""
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    turns = turns.select(F.concat_ws(":", "conv_id", "turn").alias("template_id"), F.col("conv_id").alias("at"), F.col("turn").alias("id"), "text")
+    embedded = turns.join(vectors.hash_embed(turns, "template_id", "text"), "template_id").drop("text")
+    return clustering.grouped(materialise(embedded, "turns"), 0.9).select("template_id", "cluster_id")
+
+
 @query(f"{_SQL_GENERATED_CHAIN} SELECT {_CLUSTER} FROM clusters WHERE promoted")
 def generated_incidents(spark, sf_dir):
     """The generator's lines end to end: the injected pattern is among the promoted clusters."""

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from logtide.functions import vectors
@@ -102,10 +103,38 @@ def test_dispatch(spark):
     assert alerts.dispatch(rows, pager, chat) == 2 and len(pager.sent) == 1 and len(chat.sent) == 2
 
 
-def test_leaders():
-    v = np.array([[1.0, 0], [0.9, 0.1], [0, 1.0], [1.0, 0]])
+def plain_leaders(rows, similarity):
+    """Leader of each (template_id, at, id, vector), one after another."""
+    led, found = {}, []
+    for name, _, _, v in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        cosines = [float(np.dot(v, c)) for _, c in found]
+        best = int(np.argmax(cosines)) if cosines else -1
+        if best < 0 or cosines[best] < similarity:
+            found.append((name, v))
+            best = len(found) - 1
+        led[name] = found[best][0]
+    return led
+
+
+def embedded_points(kind, n):
+    r = np.random.default_rng(5)
+    v = {"spread": r.normal(size=(n, 3)), "tight": r.normal(size=(n, 3)) * 0.2 + r.choice([-1, 1], (n, 1)), "chain": np.array([[np.cos(i / 3), np.sin(i / 3), 0] for i in range(n)])}[kind]
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    assert clustering.leader_fold(v, [1, 1, 1, 1], 0.6) == [0, 0, 1, 0]
+    v[n // 2] = 0  # a text without words
+    return [(f"t{i}", int(r.integers(0, n // 2)), int(r.integers(0, 5)), v[i].tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["spread", "tight", "chain"])
+@pytest.mark.parametrize("block", [1, 7, 500])
+def test_leaders_in_rounds_equal_one_by_one(spark, kind, block):
+    from logtide.scratch import materialise
+
+    rows = embedded_points(kind, 40 if block == 1 else 200)
+    table = materialise(spark.createDataFrame(rows, "template_id string, at long, id int, embedding array<double>").repartition(3), "points")
+    got = clustering.nearest_leader(table, clustering.leaders(table, 0.9, block)).collect()
+    assert {r.template_id: r.leader for r in got} == plain_leaders(rows, 0.9)
+    empty = table.limit(0)
+    assert clustering.grouped(empty, 0.9, block).count() == 0
 
 
 def test_promotion(spark):
