@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -46,16 +47,23 @@ def cooled(candidates: DataFrame, settings: Settings = Settings(), key: str = "t
     so a key's candidates fall into runs that are folded apart.  Time is cut into slots of the cooldown:
     such a gap can only lie between slots, so runs are found on each slot's first and last time, not on
     the candidates.  Only (key, ts, id) go to the fold; the rest is joined back on the few sent."""
-    gap = settings.cooldown_seconds
+    gap, gap_micros = settings.cooldown_seconds, int(settings.cooldown_seconds * 1_000_000)
     kinds = {c: candidates.schema[c].dataType.simpleString() for c in (key, "id")}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
-        at, keep, i = pdf["at"].to_numpy(), [], 0
-        while i < len(at):
-            keep.append(i)
-            i = max(i + 1, int(np.searchsorted(at, at[i] + gap * 1e6, side="left")))
-        return pdf.iloc[keep][[key, "id"]]
+    def run(batches):
+        now, until = None, 0
+        for b in batches:
+            at, kept, start = b.column("at").to_numpy(), [], 0
+            keys, runs = b.column(key), b.column("run")
+            opens = pc.or_(pc.not_equal(keys[1:], keys[:-1]), pc.not_equal(runs[1:], runs[:-1])).fill_null(True).to_numpy(zero_copy_only=False) if len(at) else []
+            for end in [*(np.flatnonzero(opens) + 1).tolist(), len(at)] if len(at) else []:
+                if (mine := (keys[start].as_py(), runs[start].as_py())) != now:
+                    now, until = mine, at[start]
+                while (start := start + int(np.searchsorted(at[start:end], until))) < end:
+                    kept.append(start)
+                    until = at[start] + gap_micros
+                    start += 1
+            yield b.select([key, "id"]).take(pa.array(kept, pa.int64()))
 
     if gap <= 0:
         return candidates
@@ -65,7 +73,9 @@ def cooled(candidates: DataFrame, settings: Settings = Settings(), key: str = "t
     before = Window.partitionBy(key).orderBy("slot")
     opens = F.coalesce((F.col("lo") - F.lag("hi").over(before) >= gap * 1e6).cast("int"), F.lit(1))
     runs = spans.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before)).select(key, "slot", "run")
-    sent = slim.join(runs, [key, "slot"]).groupBy(key, "run").applyInPandas(run, f"{key} {kinds[key]}, id {kinds['id']}")
+    # one pass over runs in order, many a task: what is held is the time up to which candidates are silent
+    ordered = slim.join(runs, [key, "slot"]).select(key, "run", "at", "id").repartition(key, "run").sortWithinPartitions(key, "run", "at", "id")
+    sent = ordered.mapInArrow(run, f"{key} {kinds[key]}, id {kinds['id']}")
     return candidates.join(sent, [key, "id"], "left_semi")
 
 

@@ -6,7 +6,7 @@ closed form over per-window baselines: no per-line state is carried.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +23,12 @@ def window_counts(lines: DataFrame, key: str, seconds: int) -> DataFrame:
     return lines.groupBy(key, window_index(F.col("ts"), seconds).alias("widx")).count()
 
 
-def ewma_fold(counts: list[int], alpha: float) -> list[tuple[float, float]]:
-    """Mean and variance after folding each window; the first sets (count, 1)."""
-    out: list[tuple[float, float]] = []
-    for x in counts:
-        if out:
-            m, v = out[-1]
-            d = x - m
-            out.append(((1 - alpha) * m + alpha * x, (1 - alpha) * (v + alpha * d * d)))
-        else:
-            out.append((float(x), 1.0))
-    return out
+def ewma_step(state: tuple[float, float] | None, x: int, alpha: float) -> tuple[float, float]:
+    """Mean and variance after one more window; the first sets (count, 1)."""
+    if state is None:
+        return float(x), 1.0
+    d = x - state[0]
+    return (1 - alpha) * state[0] + alpha * x, (1 - alpha) * (state[1] + alpha * d * d)
 
 
 BASELINE = "widx long, n long, x long, mean double, var double, prev_mean double, prev_var double, first_z double"
@@ -43,31 +38,27 @@ def baselines(counts: DataFrame, key: str, settings: Settings = Settings()) -> D
     """Per non-empty window: its number ``n`` and count ``x``, the state after it (``mean, var``) and
     before it (``prev_*``, null in the first), and the z-score that its first line sees."""
     alpha = settings.ewma_alpha
-    kind = counts.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("widx")
-        x = pdf["count"].tolist()
-        state = ewma_fold(x, alpha)
-        before = [(None, None), *state[:-1]]
-        z = [0.0, 0.0] + [(x[i - 1] - state[i - 2][0]) / max(state[i - 2][1], 1e-9) ** 0.5 for i in range(2, len(x))]
-        return pd.DataFrame(
-            {
-                key: pdf[key],
-                "widx": pdf["widx"],
-                "n": range(1, len(x) + 1),
-                "x": x,
-                "mean": [s[0] for s in state],
-                "var": [s[1] for s in state],
-                "prev_mean": pd.Series([b[0] for b in before], dtype="float64", index=pdf.index),
-                "prev_var": pd.Series([b[1] for b in before], dtype="float64", index=pdf.index),
-                "first_z": z[: len(x)],
-            }
-        )
-
-    out = counts.groupBy(key).applyInPandas(run, f"{key} {kind}, {BASELINE}")
-    missing = [F.when(F.col("n") == 1, None).otherwise(F.col(c)).alias(c) for c in ("prev_mean", "prev_var")]
-    return out.select(key, "widx", "n", "x", "mean", "var", *missing, "first_z")
+    schema = f"{key} {counts.schema[key].dataType.simpleString()}, {BASELINE}"
+    names = [key, *(f.split()[0] for f in BASELINE.split(", "))]
+    kinds = [pa.int64()] * 3 + [pa.float64()] * 5
+
+    def run(batches):
+        now, n, x, state, before = object(), 0, 0, None, None
+        for b in batches:
+            rows = []
+            for k, widx, count in zip(*(b.column(c).to_pylist() for c in (key, "widx", "count")), strict=True):
+                if k != now:
+                    now, n, state, before = k, 0, None, None
+                # the first line of a window still sees the window before it as the current one
+                first_z = (x - before[0]) / max(before[1], 1e-9) ** 0.5 if before else 0.0
+                n, x, before, state = n + 1, count, state, ewma_step(state, count, alpha)
+                rows.append((widx, n, x, *state, *(before or (None, None)), first_z))
+            if rows:
+                yield pa.record_batch([b.column(key), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+
+    # one pass over each key's windows in order, many keys a task: what is held is one state
+    ordered = counts.select(key, "widx", "count").repartition(key).sortWithinPartitions(key, "widx")
+    return ordered.mapInArrow(run, schema)
 
 
 def rate_z(lines: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:

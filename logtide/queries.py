@@ -609,7 +609,7 @@ def cluster_centroids(spark, sf_dir):
 
 @query(
     f"""WITH RECURSIVE templates AS (SELECT conv_id || ':' || turn AS template_id, any_value(coalesce(text, '')) AS template, struct_pack(ts := conv_id, id := turn) AS first FROM conversations GROUP BY conv_id, turn),
-{oracle.embedded()}, {oracle.leaders("embedded", 0.9)}
+{oracle.embedded()}, {oracle.leaders("embedded", 0.6)}
 SELECT l.template_id, 'cl_' || substr(md5(leader), 1, 12) AS cluster_id FROM led l"""
 )
 def conversation_clusters(spark, sf_dir):
@@ -617,7 +617,7 @@ def conversation_clusters(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     turns = turns.select(F.concat_ws(":", "conv_id", "turn").alias("template_id"), F.col("conv_id").alias("at"), F.col("turn").alias("id"), "text")
     embedded = turns.join(vectors.hash_embed(turns, "template_id", "text"), "template_id").drop("text")
-    return clustering.grouped(materialise(embedded, "turns"), 0.9).select("template_id", "cluster_id")
+    return clustering.grouped(materialise(embedded, "turns"), 0.6).select("template_id", "cluster_id")
 
 
 @query(f"{_SQL_GENERATED_CHAIN} SELECT {_CLUSTER} FROM clusters WHERE promoted")

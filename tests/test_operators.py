@@ -68,7 +68,9 @@ def test_rate_z(spark):
     got = features.rate_z(spark.createDataFrame(rows, "id int, ts timestamp, k string"), "k", Settings(window_seconds=10)).orderBy("id").collect()
     assert [r.rate_z for r in got[:4]] == [0.0, 0.0, 0.0, (1 - 2) / 1.0]
     assert abs(got[-1].rate_z - (19 - 2) / 0.49) < 1e-9  # seen before the last line is recorded
-    state = features.ewma_fold([2] * 5, 0.3)[-1]
+    state = None
+    for _ in range(5):
+        state = features.ewma_step(state, 2, 0.3)
     assert abs(state[1] - 0.2401) < 1e-12 and abs((20 - state[0]) / state[1] ** 0.5 - 18 / 0.49) < 1e-9
 
 
@@ -97,6 +99,26 @@ def test_cooldown(spark):
     assert sorted(r.id for r in got.collect()) == [0, 2, 5, 6, 9]
 
 
+def test_cooldown_and_rates_carry_over_batches(spark):
+    r = np.random.default_rng(6)
+    rows = sorted((int(r.integers(0, 40_000)), f"k{int(r.integers(0, 9))}", i) for i in range(3000))
+    lines = spark.createDataFrame([(i, at(t), k) for t, k, i in rows], "id int, ts timestamp, template_id string")
+    last, want = {}, set()
+    for t, k, i in rows:
+        if k not in last or t - last[k] >= 300:
+            last[k] = t
+            want.add(i)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    z = [sorted(map(str, features.rate_z(lines, "template_id").select("id", "rate_z").collect()))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {x.id for x in alerts.cooled(lines).collect()} == want
+        z.append(sorted(map(str, features.rate_z(lines, "template_id").select("id", "rate_z").collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert z[0] == z[1]
+
+
 def test_dispatch(spark):
     pager, chat = alerts.Recorder("pd"), alerts.Recorder("slack")
     rows = spark.createDataFrame([("1", ["pagerduty", "slack"], at(0)), ("2", ["slack"], at(1))], "id string, channels array<string>, ts timestamp")
