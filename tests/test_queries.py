@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from logtide.queries import ORACLE_SQL, QUERIES
+from logtide.queries import GENERATED_QUERIES, GENERATED_SQL, ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,10 +16,10 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL | GENERATED_SQL))
 def test_equals_sql(spark, db, name):
-    want = db.sql(ORACLE_SQL[name]).df()
-    got = QUERIES[name](spark, SF).toPandas()
+    want = db.sql((ORACLE_SQL | GENERATED_SQL)[name]).df()
+    got = (QUERIES | GENERATED_QUERIES)[name](spark, SF).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     shown = [sorted(map(str, f[columns].itertuples(index=False, name=None))) for f in (got.astype(str), want.astype(str))]
