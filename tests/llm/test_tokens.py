@@ -22,6 +22,18 @@ def test_encoder_equals_the_library(rows, name):
         assert [np.frombuffer(x, "<u4").tolist() for x in code.encode(texts)] == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_with_small_generations_of_stems(rows, name):
+    texts = [t or "" for _, t in rows] + ODD
+    code = tokens.Encoder(P.path(name))
+    code.most_bytes = 600
+    want = [e.ids for e in code.library.encode_batch(texts, add_special_tokens=False)]
+    for step in (1, 7, 50):
+        got = [x for i in range(0, len(texts), step) for x in code.encode(texts[i : i + step])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert len(code.old.hash) and code.stems.held < 1 << 20
+
+
 def expected(rows, name):
     code = tokens.Encoder(P.path(name))
     return [(d, np.array([*code.library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for d, t in rows]
