@@ -69,52 +69,65 @@ def leaders(embedded: DataFrame, similarity: float, block: int = 2048) -> list[D
         rest = materialise(rest.where(later).mapInArrow(uncovered, embedded.schema), "undecided")
 
 
-def nearest_leader(embedded: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """``template_id, leader``: the most similar leader that is no later than the template, the first of equals.
+def nearest_leader(rows: DataFrame, tables: list[DataFrame], any_order: bool = False) -> DataFrame:
+    """Rows with ``best, leader``: the most similar leader that is no later than the row, the first of equals.
 
-    Each table of leaders is a broadcast of at most a block; a row carries its best from one to the next.
+    Rows that have these two columns from other tables keep them unless a better leader comes.  With ``any_order`` leaders
+    count wherever they stand, as those of an earlier batch do.  Each table of leaders is a broadcast of at most a block.
     """
-    out = embedded.select("template_id", "at", "id", "embedding", F.lit(-2.0).alias("best"), F.lit(None).cast("string").alias("leader"))
-    schema = out.schema
+    if "best" not in rows.columns:
+        rows = rows.withColumns({"best": F.lit(-2.0), "leader": F.lit(None).cast("string")})
+    out, schema = rows, rows.schema
     for i, table in enumerate(tables):
-        rows = table.orderBy("at", "id", "template_id").collect()
-        centres, places, names = np.array([r.embedding for r in rows]), [(r.at, r.id, r.template_id) for r in rows], [r.template_id for r in rows]
+        held = table.select("template_id", "at", "id", "embedding").orderBy("at", "id", "template_id").collect()
+        centres, places, names = np.array([r.embedding for r in held]), [(r.at, r.id, r.template_id) for r in held], [r.template_id for r in held]
 
         def better(batches, centres=centres, places=places, names=names):
             for b in batches:
                 cosine = _matrix(b.column("embedding")) @ centres.T
-                own_places = list(zip(*(b.column(c).to_pylist() for c in ("at", "id", "template_id")), strict=True))
-                known = np.array([bisect_right(places, p) for p in own_places], np.int64)  # leaders up to the template itself
-                cosine[np.arange(len(names)) >= known[:, None]] = -2.0
-                for i, p in enumerate(own_places):
-                    if known[i] and places[known[i] - 1] == p:
-                        cosine[i, known[i] - 1] = 2.0  # a leader leads itself, even without words
+                if not any_order:
+                    own = list(zip(*(b.column(c).to_pylist() for c in ("at", "id", "template_id")), strict=True))
+                    known = np.array([bisect_right(places, p) for p in own], np.int64)  # leaders up to the row itself
+                    cosine[np.arange(len(names)) >= known[:, None]] = -2.0
+                    for i, p in enumerate(own):
+                        if known[i] and places[known[i] - 1] == p:
+                            cosine[i, known[i] - 1] = 2.0  # a leader leads itself, even without words
                 which, had = cosine.argmax(axis=1), b.column("best").to_numpy()
                 top = cosine[np.arange(len(which)), which]
                 new = top > had
                 leader = [names[w] if n else x for w, n, x in zip(which.tolist(), new.tolist(), b.column("leader").to_pylist(), strict=True)]
-                yield pa.record_batch([*(b.column(c) for c in ("template_id", "at", "id", "embedding")), pa.array(np.where(new, top, had)), pa.array(leader, pa.string())], schema.names)
+                changed = {"best": pa.array(np.where(new, top, had)), "leader": pa.array(leader, pa.string())}
+                yield pa.record_batch([changed.get(c, b.column(c)) for c in schema.names], schema.names)
 
-        out = out.mapInArrow(better, schema)
+        if held:
+            out = out.mapInArrow(better, schema)
         if i % 8 == 7:
             out = materialise(out, "nearest")
-    return out.select("template_id", "leader")
+    return out
 
 
-def assign(gated: DataFrame, settings: Settings = Settings(), block: int = 2048) -> DataFrame:
-    """``template_id, cluster_id, embedding`` for each template of gated lines (``template_id, template, ts, id``)."""
-    templates = gated.groupBy("template_id", "template").agg(F.min(F.struct("ts", "id")).alias("first"))
+def cluster_id(leader: Column) -> Column:
+    return F.concat(F.lit("cl_"), F.substring(F.md5(leader), 1, 12))
+
+
+def embedded_templates(gated: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``template_id, at, id, embedding`` of the templates of gated lines, with the place of each one's first line."""
+    templates = gated.groupBy("template_id").agg(F.min(F.struct("ts", "id", "template")).alias("first")).select("template_id", "first", F.col("first.template").alias("template"))
     vectors = hash_embed(templates, "template_id", "template", settings.embed_dim)
     at = F.unix_micros(F.col("first.ts").cast("timestamp")).alias("at")
-    embedded = materialise(templates.join(vectors, "template_id").select("template_id", at, F.col("first.id").alias("id"), "embedding"), "embedded")
+    return templates.join(vectors, "template_id").select("template_id", at, F.col("first.id").alias("id"), "embedding")
+
+
+def assign(gated: DataFrame, settings: Settings = Settings(), block: int = 2048) -> DataFrame:
+    """``template_id, cluster_id, embedding`` for each template of gated lines (``template_id, template, ts, id``)."""
+    embedded = materialise(embedded_templates(gated, settings), "embedded")
     return grouped(embedded, settings.cluster_similarity, block)
 
 
 def grouped(embedded: DataFrame, similarity: float, block: int = 2048) -> DataFrame:
     """``template_id, cluster_id, embedding`` of a written table ``template_id, at, id, embedding`` (unit vectors), ordered by (at, id)."""
     found = nearest_leader(embedded, leaders(embedded, similarity, block))
-    name = F.concat(F.lit("cl_"), F.substring(F.md5("leader"), 1, 12)).alias("cluster_id")
-    return found.select("template_id", name).join(embedded.select("template_id", "embedding"), "template_id")
+    return found.select("template_id", cluster_id(F.col("leader")).alias("cluster_id"), "embedding")
 
 
 def clusters(gated: DataFrame, assigned: DataFrame, settings: Settings = Settings()) -> DataFrame:
