@@ -1,7 +1,9 @@
 """Subword vocabulary (BPE) and its greedy encoder.
 
-Word counts come from Spark; merges run on the driver over all counted words, so its memory grows
-with the distinct words (not with the texts).  Encoding runs on distinct words and is joined back.
+Words, their counts and their pieces stay in Spark tables.  A round counts adjacent pairs of pieces, shows the
+driver the most frequent ones and merges in all words at once those that no other merge could have changed, so
+the vocabulary is that of one merge after another.  The driver holds the vocabulary and one short list of pairs.
+Encoding runs on distinct words and is joined back.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.masking import mask
 from ..functions.vectors import words
+from ..scratch import materialise
 from ..sources.logs import sample_corpus
 
 PAD, UNKNOWN = "[PAD]", "[UNK]"
@@ -130,16 +133,82 @@ def merge_loop(counts: dict[str, int], vocab_size: int, min_freq: int, max_merge
     return ids
 
 
+def independent(top: list[tuple[str, str, int]], whole: bool) -> list[tuple[str, str, int]]:
+    """Of pairs with counts, most frequent first, those that are merged next one after another whatever the merges do.
+
+    A merge takes from, and makes, only pairs that touch its pieces, and a pair it makes is no more frequent than
+    the one it took from.  So pairs are safe up to the first that touches an earlier one, as long as they
+    are more frequent than it (or than the last pair of a list that is not ``whole``).
+    """
+    taken: set[str] = set()
+    out: list[tuple[str, str, int]] = []
+    bound = 0 if whole or not top else top[-1][2]
+    for left, right, n in top:
+        pieces = {left, right, left + right}
+        if taken & pieces or (out and out[0][0] == out[0][1]):
+            bound = max(bound, n)
+            break
+        out.append((left, right, n))
+        taken |= pieces
+        if left == right:  # a run of one piece makes pairs out of its own
+            bound = max(bound, n)
+            break
+    return out[:1] + [x for x in out[1:] if x[2] > bound]
+
+
+def merge_rounds(counts: DataFrame, vocab_size: int, min_freq: int, max_merges: int, listed: int = 256) -> dict[str, int]:
+    """``merge_loop`` over a table ``word, count``, a round of independent merges at a time.
+
+    A word of two letters or more holds ASCII letters and digits alone (``vectors.WORD``), so its pieces are kept
+    as ``<piece><piece>``.
+    """
+    atomic = F.col("word").rlike("^<.*>$")
+    found = materialise(counts.where(atomic | (F.col("count") >= min_freq)), "word-counts")
+    place = F.struct((-F.col("count")).alias("n"), "word", "at")
+    chars = found.where(~atomic).select("word", "count", F.posexplode(F.split("word", "")).alias("at", "token")).where("token <> ''")
+    whole = found.where(atomic).select("word", "count", F.lit(0).alias("at"), F.col("word").alias("token"))
+    first = chars.union(whole).groupBy("token").agg(F.min(place).alias("first")).orderBy("first")
+    ids = {PAD: 0, UNKNOWN: 1}
+    for r in first.toLocalIterator():  # characters and placeholders: part of the vocabulary
+        ids.setdefault(r.token, len(ids))
+        if not (r.token.startswith("<") and r.token.endswith(">")):
+            ids.setdefault("##" + r.token, len(ids))
+    pieces = F.concat(F.lit("<"), F.array_join(F.split("word", "(?<=.)(?=.)"), "><"), F.lit(">"))
+    table = found.where(~atomic & (F.length("word") > 1)).select(pieces.alias("p"), F.col("count").alias("n"))
+    done = rounds = 0
+    while done < max_merges and len(ids) < vocab_size:
+        if rounds % 8 == 0:
+            table = materialise(table.groupBy("p").agg(F.sum("n").alias("n")), "pieces")
+        rounds += 1
+        ts = F.split(F.expr("substring(p, 2, length(p) - 2)"), "><")
+        pairs = table.select("n", ts.alias("ts")).select("n", F.explode(F.arrays_zip(F.slice("ts", 1, F.size("ts") - 1).alias("l"), F.slice("ts", 2, F.size("ts") - 1).alias("r"))).alias("pair"))
+        best = pairs.groupBy("pair.l", "pair.r").agg(F.sum("n").alias("n")).where(F.col("n") >= min_freq).orderBy(F.desc("n"), "l", "r").limit(listed).collect()
+        merged = F.col("p")
+        if not best:
+            break
+        for left, right, _ in independent([(r.l, r.r, r.n) for r in best], len(best) < listed):
+            if done == max_merges or len(ids) >= vocab_size:
+                break
+            ids.setdefault(left + right, len(ids))
+            ids.setdefault("##" + left + right, len(ids))
+            merged = F.replace(merged, F.lit(f"<{left}><{right}>"), F.lit(f"<{left}{right}>"))
+            done += 1
+        table = table.select(merged.alias("p"), "n")
+    return ids
+
+
 def train(texts: DataFrame, text: str, vocab_size: int = 2000, min_freq: int = 2, max_merges: int = 4000) -> Vocabulary:
     """Fit on every word that occurs ``min_freq`` times; rarer ones go, placeholders stay."""
-    found = word_frequency(texts, text).where((F.col("count") >= min_freq) | F.col("word").rlike("^<.*>$"))
-    counts = {r.word: r["count"] for r in found.toLocalIterator()}
-    return Vocabulary(merge_loop(counts, vocab_size, min_freq, max_merges))
+    return Vocabulary(merge_rounds(word_frequency(texts, text), vocab_size, min_freq, max_merges))
 
 
 def bootstrap(spark: SparkSession, lines: int = 300, vocab_size: int = 1500) -> Vocabulary:
-    """A first vocabulary, from masked lines of the sample corpus, so that placeholders are in it."""
-    return retrain(sample_corpus(spark, lines), "line", vocab_size)
+    """A first vocabulary, from masked lines of the sample corpus, so that placeholders are in it.
+
+    The sample is bounded by ``lines``, so its words are merged on the driver."""
+    masked = sample_corpus(spark, lines).select(mask(F.col("line")).alias("masked"))
+    found = word_frequency(masked, "masked").where((F.col("count") >= 2) | F.col("word").rlike("^<.*>$"))
+    return Vocabulary(merge_loop({r.word: r["count"] for r in found.collect()}, vocab_size, 2, 4000))
 
 
 def retrain(lines: DataFrame, line: str = "line", vocab_size: int = 2000) -> Vocabulary:

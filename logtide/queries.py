@@ -569,16 +569,52 @@ def nearest_centroid(spark, sf_dir):
     return found.select("vec_id", "nearest", F.round("similarity", 5).alias("similarity"))
 
 
-@query()
+MERGES = 50
+
+
+def _sql_vocabulary(texts: str, min_freq: int, merges: int = MERGES, vocab_size: int = 1500) -> str:
+    """CTEs ``words`` (word, n) of ``texts`` (t) and ``vocab`` (token, id): characters and placeholders, then merge after merge."""
+    return rf"""words AS MATERIALIZED (SELECT word, count(*) AS n, word LIKE '<%>' AND length(word) > 1 AS atomic FROM (SELECT unnest(regexp_extract_all(lower(t), '{vectors.WORD}')) AS word FROM {texts}) GROUP BY word),
+kept AS MATERIALIZED (SELECT * FROM words WHERE atomic OR n >= {min_freq}),
+chars AS (SELECT c AS token, min(struct_pack(n := -n, word := word, pos := pos)) AS first, any_value(atomic) AS atomic FROM (
+  SELECT n, word, atomic, unnest(CASE WHEN atomic THEN [word] ELSE string_split(word, '') END) AS c, unnest(range(CASE WHEN atomic THEN 1 ELSE length(word) END)) AS pos FROM kept) GROUP BY c),
+seeds AS (SELECT token, first, 0 AS part FROM chars UNION ALL SELECT '##' || token, first, 1 FROM chars WHERE NOT atomic),
+start AS MATERIALIZED (SELECT token, 1 + row_number() OVER (ORDER BY first, part) AS id FROM seeds),
+steps AS (
+  SELECT 0 AS k, '<' || array_to_string(string_split(word, ''), '><') || '>' AS p, n, '' AS l, '' AS r FROM kept WHERE NOT atomic AND length(word) > 1
+  UNION ALL
+  SELECT k + 1, replace(p, '<' || b.l || '><' || b.r || '>', '<' || b.l || b.r || '>'), n, b.l, b.r
+  FROM steps, (SELECT l, r FROM (SELECT n, unnest(ts[:-2]) AS l, unnest(ts[2:]) AS r FROM (SELECT n, string_split(p[2:-2], '><') AS ts FROM steps)) GROUP BY l, r HAVING sum(n) >= {min_freq} ORDER BY sum(n) DESC, l, r LIMIT 1) b
+  WHERE k < {merges} AND (SELECT count(*) FROM start) + 2 + 2 * k < {vocab_size}),
+merged AS (SELECT DISTINCT k, l || r AS token FROM steps WHERE k > 0),
+more AS (SELECT token, min(k) AS k, 0 AS part FROM merged GROUP BY token UNION ALL SELECT '##' || token, min(k), 1 FROM merged GROUP BY token),
+vocab AS MATERIALIZED (SELECT '[PAD]' AS token, 0 AS id UNION ALL SELECT '[UNK]', 1 UNION ALL SELECT token, id FROM start
+  UNION ALL SELECT token, (SELECT count(*) FROM start) + 1 + row_number() OVER (ORDER BY k, part) FROM more ANTI JOIN start USING (token))"""
+
+
+@query(f"WITH RECURSIVE {_SQL_CLASSED}, texts AS (SELECT masked AS t FROM classed), {_sql_vocabulary('texts', 2)} SELECT token, CAST(id AS INTEGER) AS id FROM vocab")
 def bpe_vocab(spark, sf_dir):
     strings = _classed(spark, sf_dir).select("masked")
-    return tokenizer.train(strings, "masked", 1500).frame(spark)
+    return tokenizer.train(strings, "masked", 1500, max_merges=MERGES).frame(spark)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SQL_CLASSED}, texts AS (SELECT DISTINCT masked AS t FROM classed), {_sql_vocabulary('texts', 1)},
+spans AS (SELECT word, a, unnest(range(a + 1, length(word) + 1)) AS e FROM (SELECT word, unnest(range(0, length(word))) AS a FROM words WHERE word NOT IN (SELECT token FROM vocab))),
+longest AS MATERIALIZED (SELECT word, a, max(e) AS e FROM (SELECT word, a, e, CASE WHEN a > 0 THEN '##' ELSE '' END || word[a + 1:e] AS token FROM spans) SEMI JOIN vocab USING (token) GROUP BY word, a),
+coded AS (
+  SELECT word, 0 AS a, CASE WHEN word IN (SELECT token FROM vocab) THEN [word] ELSE [] END AS toks, word IN (SELECT token FROM vocab) AS done FROM words
+  UNION ALL
+  SELECT c.word, coalesce(l.e, c.a + 1), list_append(c.toks, CASE WHEN l.e IS NULL THEN '[UNK]' ELSE CASE WHEN c.a > 0 THEN '##' ELSE '' END || c.word[c.a + 1:l.e] END), coalesce(l.e, c.a + 1) = length(c.word)
+  FROM coded c LEFT JOIN longest l ON l.word = c.word AND l.a = c.a WHERE NOT c.done),
+book AS (SELECT word, toks FROM coded WHERE done),
+placed AS (SELECT t, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT t, regexp_extract_all(lower(t), '{vectors.WORD}') AS ws FROM texts))
+SELECT t AS masked, array_to_string(flatten(list(toks ORDER BY i)), ' ') AS tokens, CAST(sum(len(toks)) AS INTEGER) AS n_ids FROM placed JOIN book USING (word) GROUP BY t"""
+)
 def wordpiece_encode(spark, sf_dir):
     strings = _classed(spark, sf_dir).select("masked").distinct()
-    return tokenizer.train(strings, "masked", 1500, min_freq=1).encode(strings, "masked", "masked").select("masked", F.array_join("tokens", " ").alias("tokens"), F.size("ids").alias("n_ids"))
+    book = tokenizer.train(strings, "masked", 1500, min_freq=1, max_merges=MERGES)
+    return book.encode(strings, "masked", "masked").select("masked", F.array_join("tokens", " ").alias("tokens"), F.size("ids").alias("n_ids"))
 
 
 # ---- the whole chain -------------------------------------------------------------------

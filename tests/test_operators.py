@@ -211,6 +211,23 @@ def test_merges_take_the_most_frequent_pair(spark):
     assert tokenizer.merge_loop(counts, 90, 2, 60) == ids
 
 
+@pytest.mark.parametrize("alphabet, listed", [("ab", 64), ("abcdefgh", 3), ("abcdefgh", 64)])
+def test_merge_rounds_equal_one_merge_after_another(spark, alphabet, listed):
+    r = np.random.default_rng(len(alphabet))
+    counts = {"".join(r.choice(list(alphabet), r.integers(1, 8))): int(r.integers(1, 30)) for _ in range(60)} | {"<ip>": 1, "<": 4, "é": 9, "aaaaaaa": 25}
+    table = spark.createDataFrame(list(counts.items()), "word string, count long").repartition(3)
+    for size, least, most in ((400, 2, 25), (40, 1, 99)):
+        assert tokenizer.merge_rounds(table, size, least, most, listed) == tokenizer.merge_loop(counts, size, least, most)
+    assert tokenizer.merge_rounds(table.limit(0), 10, 1, 5) == {"[PAD]": 0, "[UNK]": 1}
+
+
+def test_independent_merges():
+    assert tokenizer.independent([("a", "b", 9), ("c", "d", 7), ("e", "f", 5), ("b", "c", 5), ("g", "h", 4)], True) == [("a", "b", 9), ("c", "d", 7)]
+    assert tokenizer.independent([("a", "a", 9), ("c", "d", 7)], True) == [("a", "a", 9)]
+    assert tokenizer.independent([("a", "b", 9), ("c", "d", 7), ("e", "f", 7)], False) == [("a", "b", 9)]
+    assert tokenizer.independent([("a", "b", 9), ("ab", "d", 7)], True) == [("a", "b", 9)] and tokenizer.independent([], True) == []
+
+
 def test_bootstrap_and_retrain(spark):
     first = tokenizer.bootstrap(spark, 60, 400)
     assert {"<ip>", "<num>"} <= set(first.ids)
@@ -233,9 +250,9 @@ def test_cooldown_over_many_slots(spark):
 
 def test_vocabulary(spark):
     lines = logs.sample_corpus(spark, 120).select("line")
-    book = tokenizer.train(lines, "line", 800)
+    book = tokenizer.train(lines, "line", 800, max_merges=30)
     assert 50 < book.size <= 801 and book.ids["[PAD]"] == 0 and book.ids["[UNK]"] == 1
-    assert tokenizer.train(lines.repartition(5), "line", 800).ids == book.ids
+    assert tokenizer.train(lines.repartition(5), "line", 800, max_merges=30).ids == book.ids
     got = book.encode(spark.createDataFrame([(1, "ERROR connection"), (2, "")], "k int, line string"), "k", "line").orderBy("k").collect()
     assert "".join(t.removeprefix("##") for t in got[0].tokens) == "errorconnection" and got[1].tokens == []
     assert tokenizer.Vocabulary({"[UNK]": 1, "a": 2, "##b": 3}).encode_word("abz") == ["a", "##b", "[UNK]"]

@@ -26,7 +26,7 @@ def test_equals_sql(spark, db, name):
     assert shown[0] == shown[1]
 
 
-@pytest.mark.parametrize("name", ["drain_templates", "bpe_vocab"])
+@pytest.mark.parametrize("name", ["drain_templates"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
