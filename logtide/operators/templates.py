@@ -7,6 +7,8 @@ tree is a grouping key (token count and capped leading tokens), which makes the
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,23 +45,46 @@ def distinct_masked(lines: DataFrame) -> DataFrame:
     return lines.groupBy("masked").agg(F.count("*").alias("n_lines"), F.min(F.struct("ts", "id")).alias("first"))
 
 
-def capped_buckets(strings: DataFrame, settings: Settings = Settings()) -> DataFrame:
+CHILDREN = "level int, n_tokens int, prefix array<string>, child string"
+
+
+def capped_buckets(strings: DataFrame, settings: Settings = Settings(), known: DataFrame | None = None) -> DataFrame:
     """Adds ``toks, n_tokens, prefix``: each tree level admits ``max_children`` tokens under a parent.
 
     Tokens that first appear after a parent is full fall to the wildcard; known ones still match.
+    ``known`` (``CHILDREN``) are children that earlier strings gave.
+    """
+    return _descended(strings, settings, known)[0]
+
+
+def _descended(strings: DataFrame, settings: Settings, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``capped_buckets`` and the children that the strings add.
+
+    A level ranks one row a (parent, child), of which Spark keeps ``max_children`` a parent in each task before
+    it shuffles, and joins the admitted ones to the strings.
     """
     out = strings.withColumn("toks", tokens(F.col("masked"))).withColumn("n_tokens", F.size("toks"))
     out = out.withColumn("_raw", bucket_prefix(F.col("toks"), settings.prefix_depth)).withColumn("prefix", F.array().cast("array<string>"))
+    added = []
     for level in range(settings.prefix_depth):
-        child = F.get("_raw", F.lit(level))
-        out = out.withColumn("_child", child)
-        came = F.min("first").over(Window.partitionBy("n_tokens", "prefix", "_child"))
-        out = out.withColumn("_came", came)
-        rank = F.dense_rank().over(Window.partitionBy("n_tokens", "prefix").orderBy("_came"))
-        out = out.withColumn("_rank", rank)
-        capped = F.when((F.col("_rank") > settings.max_children), WILD).otherwise(F.col("_child"))
-        out = out.withColumn("prefix", F.when(F.col("_child").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.array(capped))))
-    return out.drop("_raw", "_child", "_came", "_rank")
+        key = ["n_tokens", "prefix", "child"]
+        here = out.withColumn("child", F.get("_raw", F.lit(level)))
+        came = here.where("child is not null").groupBy(*key).agg(F.min("first").alias("came"))
+        order = Window.partitionBy("n_tokens", "prefix").orderBy("came", "child")
+        if known is None:
+            fresh = came.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= settings.max_children).select(*key)
+            admitted = fresh
+        else:
+            had = known.where(F.col("level") == level).select(*key)
+            full = had.groupBy("n_tokens", "prefix").agg(F.count("*").alias("had"))
+            fresh = came.join(had, key, "left_anti").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= settings.max_children)
+            fresh = fresh.join(full, ["n_tokens", "prefix"], "left").where(F.col("nth") + F.coalesce("had", F.lit(0)) <= settings.max_children).select(*key)
+            admitted = had.union(fresh)
+        added.append(fresh.select(F.lit(level).alias("level"), *key))
+        into = F.when(F.col("_ok").isNull(), WILD).otherwise(F.col("child"))
+        out = here.join(admitted.withColumn("_ok", F.lit(True)), key, "left")
+        out = out.withColumn("prefix", F.when(F.col("child").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.array(into)))).drop("child", "_ok")
+    return out.drop("_raw"), reduce(DataFrame.unionAll, added)
 
 
 def fold(strings: list[list[str]], threshold: float, groups: list[list[str]] | None = None) -> tuple[list[int], list[list[str]]]:
