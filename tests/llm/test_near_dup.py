@@ -180,3 +180,26 @@ def test_signature_equals_a_plain_order_minhash():
                 out = mixed(out * 31 + hashes[i])
             want.append((out >> 48) | 1)
         assert sketch.signature(text).tolist() == want, text
+
+
+def test_recall_of_near_copies_on_a_whole_table(spark):
+    """Of all pairs of different texts at a likeness of 0.8 or more, at most a twentieth stays together."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets, held = {}, {}
+    for r in rows:
+        sets[r.doc_id] = shingle_set(r.text or "", 5)
+        for s in sets[r.doc_id]:
+            held.setdefault(s, []).append(r.doc_id)
+    shared = {}
+    for ids in held.values():
+        for i, a in enumerate(sorted(set(ids))):
+            for b in sorted(set(ids))[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    text = {r.doc_id: r.text for r in rows}
+    alike = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) and text[a] != text[b]]
+    kept = {r.doc_id for r in simhash.keep_first(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id").collect()}
+    together = sum(a in kept and b in kept for a, b in alike)
+    assert len(alike) > 10 and together <= 0.05 * len(alike)
+    for r in rows:  # whoever goes has someone alike of smaller id
+        if r.doc_id not in kept:
+            assert any((a, b) in shared and shared[a, b] >= 0.8 * (len(sets[a]) + len(sets[b]) - shared[a, b]) for a in sets if a < r.doc_id for b in [r.doc_id])
