@@ -186,16 +186,23 @@ def links(fps: DataFrame, dense: int = 1024) -> DataFrame:
     return small.union(large).where("u <> v").distinct()
 
 
-def wide_links(fps: DataFrame) -> DataFrame:
-    """Links ``u, v`` that join fingerprints within 8 bits, and most within ``WIDE_BITS`` (distinct ones in).
+def wide_links(fps: DataFrame, dense: int = 8192) -> DataFrame:
+    """Links ``u, v`` that join fingerprints within 8 bits, and most within ``WIDE_BITS``.
 
-    A bucket is compared in one task, in stretches; the tables hold 21 bits, so a bucket grows with
-    the corpus and for over some 10**8 fingerprints they should be cut from longer ones.
+    ``fps`` holds distinct fingerprints in a durable table (it is read twice).  Tables hold 21 bits, so
+    buckets grow with the corpus: one of over ``dense`` fingerprints is dealt into parts, and each pair of
+    parts is compared by a task of its own, so no task holds more than two parts whatever the skew.
     """
     rows = fps.select("fp").mapInArrow(_wide_probes, "key long, fp long")
-    buckets = rows.groupBy("key").agg(F.collect_list("fp").alias("table")).where(F.size("table") > 1)
-    buckets = buckets.withColumn("probes", F.array().cast("array<long>"))
-    return buckets.mapInArrow(_verify(WIDE_BITS), "u long, v long").where("u <> v").distinct()
+    sizes = rows.groupBy("key").agg(F.count("*").alias("weight")).where("weight > 1")
+    met = lookup_weighted(rows, materialise(sizes, "wide-sizes"), ["key"])
+    parts = F.ceil(F.col("weight") / dense).cast("int")
+    dealt = met.select("key", "fp", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    buckets = dealt.groupBy("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(
+        F.collect_list(F.when(F.col("part") <= F.col("other"), F.col("fp"))).alias("table"),
+        F.collect_list(F.when(F.col("part") > F.col("other"), F.col("fp"))).alias("probes"),
+    )
+    return buckets.where(F.size("table") > 0).mapInArrow(_verify(WIDE_BITS), "u long, v long").where("u <> v").distinct()
 
 
 def groups(docs: DataFrame, words: int = 3, dense: int = 1024) -> DataFrame:
@@ -237,51 +244,65 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
     return named.select("fp", "key", F.col("one.doc_id").alias("least"), F.col("one.th").alias("th"))
 
 
+_SETS = "root long, least long, th long, set binary"
+
+
+def _alike(mine: np.ndarray, others: list[np.ndarray], similarity: float) -> bool:
+    """Whether a set of shingles is similar to one of others."""
+    for other in others:
+        if min(len(mine), len(other)) < similarity * max(len(mine), len(other)):
+            continue
+        both = len(np.intersect1d(mine, other, assume_unique=True))
+        if both >= similarity * (len(mine) + len(other) - both):
+            return True
+    return False
+
+
 def _judge(similarity: float):
-    """Rows of whole components in order in; the names of those similar to an earlier one that stays out."""
+    """Rows of whole components in order in; adds whether each is ``alike`` to an earlier one that stays."""
 
     def run(batches):
         now, stay = None, []
         for b in batches:
-            out = []
-            for root, least, th, x in zip(*(b.column(c).to_pylist() for c in ("root", "least", "th")), b.column("set"), strict=True):
+            alike = []
+            for root, x in zip(b.column("root").to_pylist(), b.column("set"), strict=True):
                 if root != now:
                     now, stay = root, []
                 mine = np.frombuffer(x.as_py(), np.uint64)
-                for other in stay:
-                    if min(len(mine), len(other)) < similarity * max(len(mine), len(other)):
-                        continue
-                    both = len(np.intersect1d(mine, other, assume_unique=True))
-                    if both >= similarity * (len(mine) + len(other) - both):
-                        out.append((least, th))
-                        break
-                else:
+                alike.append(_alike(mine, stay, similarity))
+                if not alike[-1]:
                     stay.append(mine)
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["least", "th"])
+            yield b.append_column("alike", pa.array(alike, pa.bool_()))
 
     return run
 
 
-def _similar(similarity: float):
-    """Adds ``alike`` to rows with ``set`` and their leader's ``head``."""
+def _against(similarity: float):
+    """Rows by (root, salt), leaders first, in; the others out with ``alike``: similar to a leader or not."""
 
     def run(batches):
+        now, leaders = None, []
         for b in batches:
-            alike = []
-            for x, y in zip(b.column("set"), b.column("head"), strict=True):
-                a, c = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(a, c, assume_unique=True))
-                alike.append(both >= similarity * (len(a) + len(c) - both))
-            yield pa.record_batch([*(b.column(c) for c in ("root", "least", "th", "set")), pa.array(alike, pa.bool_())], ["root", "least", "th", "set", "alike"])
+            alike, place = [], []
+            for i, (root, salt, leads, x) in enumerate(zip(*(b.column(c).to_pylist() for c in ("root", "salt", "leads")), b.column("set"), strict=True)):
+                if (root, salt) != now:
+                    now, leaders = (root, salt), []
+                mine = np.frombuffer(x.as_py(), np.uint64)
+                if leads:
+                    leaders.append(mine)
+                else:
+                    place.append(i), alike.append(_alike(mine, leaders, similarity))
+            rows = b.select(["root", "least", "th", "set"]).take(pa.array(place, pa.int64()))
+            yield rows.append_column("alike", pa.array(alike, pa.bool_()))
 
     return run
 
 
-def _removed(docs: DataFrame, classes: DataFrame, edges: DataFrame, words: int, similarity: float, whole: int = 256) -> DataFrame:
+def _removed(docs: DataFrame, classes: DataFrame, edges: DataFrame, words: int, similarity: float, whole: int = 256, share: int = 4096) -> DataFrame:
     """``least, th`` of classes to remove: of linked classes, in order of doc_id, each that is similar to
-    one that stays.  Components of over ``whole`` classes are first compared with their least alone, by
-    all tasks, up to sixteen times while they stay so large; then each goes through one task."""
+    one that stays.  A component of at most ``whole`` classes goes through one task.  Of larger ones each
+    round decides the first ``whole`` classes and compares the others, dealt in shares of ``share``, with
+    those that stay, until what is left is small: no task holds more than ``whole`` sets, none is broadcast."""
     rooted = materialise(classes.join(connected_components(edges).withColumnRenamed("node", "fp"), "fp"), "near-rooted")
     rooted = materialise(rooted.union(_same_print(classes, rooted)).select("root", "least", "th"), "near-classes")
 
@@ -290,25 +311,40 @@ def _removed(docs: DataFrame, classes: DataFrame, edges: DataFrame, words: int,
             found = [shingles(t.as_py(), words).tobytes() for t in b.column("data")]
             yield pa.record_batch([*(b.column(c) for c in ("root", "least", "th")), pa.array(found, pa.binary())], ["root", "least", "th", "set"])
 
+    def judged(rows):
+        order = rows.select("root", "least", "th", "set").repartition("root").sortWithinPartitions("root", "least", "th")
+        return order.mapInArrow(_judge(similarity), f"{_SETS}, alike boolean")
+
     texts = docs.select(F.col("doc_id").alias("least"), "th", "data").join(rooted, ["least", "th"]).dropDuplicates(["least", "th"])
-    left = materialise(texts.mapInArrow(sets, "root long, least long, th long, set binary"), "near-sets")
-    gone = []
-    for _ in range(16):
-        sizes = materialise(left.groupBy("root").agg(F.count("*").alias("weight"), F.min(F.struct("least", "th")).alias("one")).where(F.col("weight") > whole), "near-large")
-        if sizes.isEmpty():
+    left = materialise(texts.mapInArrow(sets, _SETS), "near-sets")
+    name, salts = ["root", "least", "th"], F.ceil(F.col("weight") / share).cast("int")
+    small, gone = [], []
+    while True:
+        sizes = materialise(left.groupBy("root").agg(F.count("*").alias("weight")), "near-sizes")
+        large = sizes.where(F.col("weight") > whole)
+        if large.isEmpty():
+            small.append(left.select(*name, "set"))
             break
-        heads = left.join(sizes.select("root", "weight", "one.least", "one.th"), ["root", "least", "th"]).dropDuplicates(["root"])
-        heads = materialise(heads.select("root", "weight", F.col("set").alias("head")), "near-heads")
-        round_ = materialise(lookup_weighted(left, heads, ["root"]).mapInArrow(_similar(similarity), "root long, least long, th long, set binary, alike boolean"), "near-round")
-        first = sizes.select("root", "one.least", "one.th")
-        gone.append(round_.where("alike").select("root", "least", "th").join(first, ["root", "least", "th"], "left_anti").select("least", "th"))
-        rest = left.join(sizes, "root", "left_anti").unionByName(round_.where("not alike").drop("alike"))
-        left = materialise(rest, "near-left")
-    order = left.repartition("root").sortWithinPartitions("root", "least", "th")
-    out = order.mapInArrow(_judge(similarity), "least long, th long")
+        place = F.row_number().over(Window.partitionBy("root").orderBy("least", "th"))  # tasks keep their first ``whole``
+        first = left.select(*name).join(large.select("root"), "root", "left_semi").withColumn("place", place).where(F.col("place") <= whole)
+        rows = lookup_weighted(left, sizes, ["root"]).join(first, name, "left")
+        rows = materialise(rows.select(*name, "set", "weight", F.col("place").isNotNull().alias("first")), "near-sized")
+        small.append(rows.where(F.col("weight") <= whole).select(*name, "set"))
+        block = materialise(judged(rows.where("first")), "near-block")
+        lead = block.where("not alike").join(large, "root").select(*name, "set", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("leads"))
+        rest = rows.where((F.col("weight") > whole) & ~F.col("first"))
+        rest = rest.select(*name, "set", F.pmod(F.xxhash64("least", "th"), salts).cast("int").alias("salt"), F.lit(False).alias("leads"))
+        met = lead.union(rest).repartition("root", "salt").sortWithinPartitions("root", "salt", F.desc("leads"))
+        round_ = materialise(met.mapInArrow(_against(similarity), f"{_SETS}, alike boolean"), "near-round")
+        gone += [block, round_]
+        left = round_.where("not alike").drop("alike")
+    rows = small[0]
+    for s in small[1:]:
+        rows = rows.union(s)
+    out = judged(rows)
     for g in gone:
         out = out.union(g)
-    return materialise(out, "near-removed")
+    return materialise(out.where("alike").select("least", "th"), "near-removed")
 
 
 def _same_print(classes: DataFrame, rooted: DataFrame) -> DataFrame:

@@ -125,6 +125,48 @@ def test_links_in_dense_and_sparse_buckets(spark, dense):
     assert sorted(((i, p, least[find(i)]) for i, p in rows), key=str) == want
 
 
+def test_wide_links_do_not_depend_on_parts(spark):
+    """All pairs within 8 bits are joined; a bucket dealt into parts gives the components of one compared whole."""
+    r = random.Random(11)
+    base = [r.getrandbits(64) for _ in range(12)]
+    prints = {b ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 8))) for b in base for _ in range(9)}
+    prints |= {base[0] ^ i for i in range(64)}  # one hot bucket
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    fps = spark.createDataFrame([(p,) for p in signed], "fp long")
+    got = []
+    for dense in (8192, 5):
+        links = {(x.u & (1 << 64) - 1, x.v & (1 << 64) - 1) for x in simhash.wide_links(fps, dense).collect()}
+        parent = {p: p for p in prints}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for u, v in links:
+            parent[find(u)] = find(v)
+        got.append({frozenset(q for q in prints if find(q) == root) for root in {find(p) for p in prints}})
+        assert all(find(u) == find(v) for u in prints for v in prints if (u ^ v).bit_count() <= 8)
+    assert got[0] == got[1]
+
+
+def test_large_components_are_judged_in_order(spark, monkeypatch):
+    """One component of chains, dealt into shares: the same documents stay as when one task judges it in order."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    text, texts = [word() for _ in range(100)], []
+    for i in range(45):
+        text = list(text)
+        text[(7 * i) % 100] = word()
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    original, got = simhash._removed, []
+    for whole, share in ((256, 4096), (9, 10)):
+        monkeypatch.setattr(simhash, "_removed", lambda *a, w=whole, s=share: original(*a, whole=w, share=s))
+        got.append(sorted(x.doc_id for x in simhash.keep_first(docs).collect()))
+    assert got[0] == got[1] and 1 < len(got[0]) < 25
+
+
 def test_order_minhash_rows(docs, none, rows):
     order = sorted(rows, key=lambda x: ((-1 if x[0] is None else x[0]), x[1] or ""))
     sketch = omh.OrderMinHash()
