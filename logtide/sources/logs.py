@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..settings import Settings
+from .text import NAME, TextSource
 
 #: The message body derived from an ``events`` row; the same text in Spark and DuckDB.
 BODY = """CASE
@@ -38,24 +39,14 @@ def logs_of_events(events: DataFrame) -> DataFrame:
     )
 
 
-#: Columns that say where a text record was read.
-PLACE = ("_file", "_offset")
-
-
-def _placed(lines: DataFrame) -> DataFrame:
-    """Non-empty text lines with the file and the start of the split that they come from."""
-    placed = lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_offset"))
-    return placed.where("line <> ''")
-
-
 def stamped(lines: DataFrame, source: Column | str = "unknown", ts: Column | None = None) -> DataFrame:
-    """Raw records of a ``line`` column: a 128-bit id of content and place, arrival time now unless given.
+    """Raw records of a ``line`` column: a 128-bit id, arrival time now unless given.
 
-    Places differ from one reading to the next; what joins records writes them first (``pipeline.judged``)."""
+    Lines read from files (``file, offset``) have ids of content and place, the same at each reading.  Others are
+    numbered as they come, so what joins records writes them first (``pipeline.judged``)."""
     source = F.lit(source) if isinstance(source, str) else source
-    place = [F.col(c) for c in PLACE if c in lines.columns]
-    number = F.uuid() if lines.isStreaming else F.monotonically_increasing_id()
-    ident = F.concat(F.lit("log_"), F.md5(F.concat_ws(":", *place, number, "line")))
+    place = ["file", "offset"] if {"file", "offset"} <= set(lines.columns) else [F.uuid() if lines.isStreaming else F.monotonically_increasing_id()]
+    ident = F.concat(F.lit("log_"), F.md5(F.concat_ws(":", *place, "line")))
     return lines.select(ident.alias("id"), "line", source.alias("source"), (F.current_timestamp() if ts is None else ts).alias("ts"))
 
 
@@ -64,14 +55,17 @@ def from_lines(spark: SparkSession, lines: Iterable[str], source: str = "unknown
     return stamped(spark.createDataFrame([(x,) for x in lines], "line string"), source)
 
 
-def read_text(spark: SparkSession, path: str, source: str = "file") -> DataFrame:
-    """Text files, one line a record; empty lines are skipped, invalid UTF-8 is replaced."""
-    return stamped(_placed(spark.read.text(path)), source)
+def read_text(spark: SparkSession, path: str, source: str = "file", split_bytes: int = 128 << 20) -> DataFrame:
+    """Text files (a file, a folder, wildcards), one line a record; empty lines are skipped, invalid UTF-8 is
+    replaced; ids are of file, byte offset and content, the same at each reading and split size."""
+    spark.dataSource.register(TextSource)
+    return stamped(spark.read.format(NAME).option("splitBytes", split_bytes).load(path), source)
 
 
-def stream_text(spark: SparkSession, path: str, source: str = "file", files_per_trigger: int = 100) -> DataFrame:
-    """The same as a stream that follows a folder; equal lines get ids of their own."""
-    return stamped(_placed(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)), source)
+def stream_text(spark: SparkSession, path: str, source: str = "file", split_bytes: int = 128 << 20) -> DataFrame:
+    """The same as a stream that follows files as they appear and grow; a line is read once it has ended."""
+    spark.dataSource.register(TextSource)
+    return stamped(spark.readStream.format(NAME).option("splitBytes", split_bytes).load(path), source)
 
 
 def from_batches(batches: DataFrame) -> DataFrame:

@@ -2,64 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError, StorageError
 from ..settings import Settings
+from .store import TABLES, Store, open_store
 
-#: The store's tables and their keys.
-TABLES = {"templates": "template_id", "anomalies": "id", "alerts": "id"}
-
-
-class Store:
-    """Tables of versions under one folder: an upsert writes a new version, then names it current.
-
-    A version is complete before it is named, so readers see the old or the new one and a lost
-    executor or a failed job leaves the old.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet"):
-        self.spark, self.path, self.fmt = spark, path.rstrip("/"), fmt
-
-    def _current(self, table: str) -> str | None:
-        try:
-            rows = self.spark.read.text(f"{self.path}/{table}/_current").collect()
-        except Exception as e:  # noqa: BLE001  a store that was never written has no such path
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise StorageError(str(e)) from e
-        return max(r.value for r in rows) if rows else None
-
-    def read(self, table: str) -> DataFrame | None:
-        name = self._current(table)
-        return self.spark.read.format(self.fmt).load(f"{self.path}/{table}/{name}") if name else None
-
-    def upsert(self, table: str, rows: DataFrame, order: str = "last_seen") -> None:
-        """Insert or replace by the table's key; among rows of one key the last by ``order`` wins."""
-        key, old = TABLES[table], self.read(table)
-        rows = rows.withColumn("_new", F.lit(1))
-        both = rows if old is None else rows.unionByName(old.withColumn("_new", F.lit(0)), allowMissingColumns=True)
-        last = Window.partitionBy(key).orderBy(F.desc("_new"), *([F.desc(order)] if order in rows.columns else []))
-        kept = both.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_new")
-        number = 1 + int((self._current(table) or "v00000000")[1:9])
-        name = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
-        kept.write.format(self.fmt).save(f"{self.path}/{table}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/{table}/_current")
-
-    def save_batch(self, table: str):
-        """A ``foreachBatch`` function that upserts micro-batches."""
-        return lambda batch, _: self.upsert(table, batch)
-
-
-def open_store(spark: SparkSession, settings: Settings = Settings()) -> Store:
-    """The store that the settings name: Parquet, ORC or JSON tables under ``storage_path``."""
-    if settings.storage_format not in ("parquet", "orc", "json"):
-        raise ConfigError(f"no store of format {settings.storage_format!r}")
-    return Store(spark, settings.storage_path, settings.storage_format)
-
+__all__ = ["TABLES", "Store", "kafka_writer", "open_store", "prometheus", "to_messages", "write_lines"]
 
 def write_lines(lines: DataFrame, path: str) -> None:
     """One line a record, as text files."""
