@@ -34,21 +34,32 @@ def ewma_step(state: tuple[float, float] | None, x: int, alpha: float) -> tuple[
 BASELINE = "widx long, n long, x long, mean double, var double, prev_mean double, prev_var double, first_z double"
 
 
-def baselines(counts: DataFrame, key: str, settings: Settings = Settings()) -> DataFrame:
+#: What the next window of a key needs of its last one.
+CARRIED = ("n", "x", "mean", "var", "prev_mean", "prev_var")
+
+
+def baselines(counts: DataFrame, key: str, settings: Settings = Settings(), carried: DataFrame | None = None) -> DataFrame:
     """Per non-empty window: its number ``n`` and count ``x``, the state after it (``mean, var``) and
-    before it (``prev_*``, null in the first), and the z-score that its first line sees."""
+    before it (``prev_*``, null in the first), and the z-score that its first line sees.
+
+    ``carried`` (``key`` and the columns ``CARRIED``, a row a key) holds each key's last window before these."""
     alpha = settings.ewma_alpha
     schema = f"{key} {counts.schema[key].dataType.simpleString()}, {BASELINE}"
     names = [key, *(f.split()[0] for f in BASELINE.split(", "))]
     kinds = [pa.int64()] * 3 + [pa.float64()] * 5
+    had = F.lit(None).cast("struct<n: long, x: long, mean: double, var: double, prev_mean: double, prev_var: double>")
+    counts = counts.withColumn("_had", had) if carried is None else counts.join(carried.select(key, F.struct(*CARRIED).alias("_had")), key, "left")
 
     def run(batches):
         now, n, x, state, before = object(), 0, 0, None, None
         for b in batches:
             rows = []
-            for k, widx, count in zip(*(b.column(c).to_pylist() for c in (key, "widx", "count")), strict=True):
+            for k, widx, count, had in zip(*(b.column(c).to_pylist() for c in (key, "widx", "count", "_had")), strict=True):
                 if k != now:
                     now, n, state, before = k, 0, None, None
+                    if had:
+                        n, x, state = had["n"], had["x"], (had["mean"], had["var"])
+                        before = None if had["prev_mean"] is None else (had["prev_mean"], had["prev_var"])
                 # the first line of a window still sees the window before it as the current one
                 first_z = (x - before[0]) / max(before[1], 1e-9) ** 0.5 if before else 0.0
                 n, x, before, state = n + 1, count, state, ewma_step(state, count, alpha)
@@ -57,7 +68,7 @@ def baselines(counts: DataFrame, key: str, settings: Settings = Settings()) -> D
                 yield pa.record_batch([b.column(key), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
     # one pass over each key's windows in order, many keys a task: what is held is one state
-    ordered = counts.select(key, "widx", "count").repartition(key).sortWithinPartitions(key, "widx")
+    ordered = counts.select(key, "widx", "count", "_had").repartition(key).sortWithinPartitions(key, "widx")
     return ordered.mapInArrow(run, schema)
 
 
@@ -68,7 +79,12 @@ def rate_z(lines: DataFrame, key: str, settings: Settings = Settings()) -> DataF
     dealt over its windows.
     """
     stamped = lines.withColumn("widx", window_index(F.col("ts"), settings.window_seconds))
-    base = baselines(stamped.groupBy(key, "widx").count(), key, settings).select(key, "widx", "n", "prev_mean", "prev_var", "first_z")
+    return scored(stamped, baselines(stamped.groupBy(key, "widx").count(), key, settings), key)
+
+
+def scored(stamped: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+    """Adds ``rate_z`` to lines with their ``widx``, from ``baselines`` of their windows."""
+    base = windows.select(key, "widx", "n", "prev_mean", "prev_var", "first_z")
     j = F.row_number().over(Window.partitionBy(key, "widx").orderBy("ts", "id"))
     z = (
         F.when(F.col("_j") == 1, F.col("first_z"))
