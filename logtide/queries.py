@@ -455,7 +455,7 @@ def message_round_trip(spark, sf_dir):
 @query("SELECT role AS source, count(*) AS lines FROM conversations WHERE trim(text) <> '' GROUP BY role")
 def http_batch_lines(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").withColumnRenamed("role", "source")
-    batches = turns.groupBy("source", F.pmod(F.col("conv_id"), F.lit(64))).agg(F.collect_list("text").alias("lines"))
+    batches = turns.groupBy("source", "conv_id", F.floor(F.col("turn") / 100)).agg(F.collect_list("text").alias("lines"))  # at most 100 lines
     return source.from_batches(batches).groupBy("source").agg(F.count("*").alias("lines"))
 
 
