@@ -38,3 +38,15 @@ def test_a_large_bucket_is_not_compared_in_pairs(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/b")
     got = templates.most_similar(spark.read.parquet(f"{tmp_path}/b")).groupBy("other", "similarity").count().collect()  # 1.6e9 pairs before
     assert {(x.other, x.similarity, x["count"]) for x in got} == {("a b c user_0", 0.75, 39_999), ("a b c user_1", 0.75, 1)}
+
+
+def test_leaders_of_many_tables_meet_rows_in_one_pass(spark, tmp_path):
+    r = np.random.default_rng(2)
+    v = r.normal(size=(60, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    schema = "template_id string, at long, id long, embedding array<double>"
+    spark.createDataFrame([(f"t{i}", i, i, x.tolist()) for i, x in enumerate(v)], schema).write.parquet(f"{tmp_path}/e")
+    table = spark.read.parquet(f"{tmp_path}/e")
+    found = clustering.leaders(table, 0.95, 10)
+    assert len(found) > 4
+    assert plan(clustering.nearest_leader(table, found[:4])).count("MapInArrow") == 1
