@@ -50,3 +50,18 @@ def test_leaders_of_many_tables_meet_rows_in_one_pass(spark, tmp_path):
     found = clustering.leaders(table, 0.95, 10)
     assert len(found) > 4
     assert plan(clustering.nearest_leader(table, found[:4])).count("MapInArrow") == 1
+
+
+def test_many_lines_are_many_tasks(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert logs.dealt(table, 100).rdd.getNumPartitions() == 10
+    assert logs.dealt(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_extraction_names_no_text_twice(spark):
+    """The text left by each rule was written out anew in every later rule's column."""
+    one = spark.createDataFrame([("2024-01-01T00:00:00 a@b.cd 10.0.0.1:80 took 5ms in /a/b/c 0x1F 7 at 00:00:01",)], "line string")
+    frame = one.select(masking.extract_variables(F.col("line")).alias("v"))
+    assert frame.first().v == {"TIMESTAMP": ["2024-01-01T00:00:00", "00:00:01"], "EMAIL": ["a@b.cd"], "IP": ["10.0.0.1"], "DURATION": ["5ms"], "PATH": ["/a/b/c"], "HEX": ["0x1F"], "NUM": ["80", "7"]}
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= len(masking.RULES)
