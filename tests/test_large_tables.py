@@ -40,6 +40,22 @@ def test_a_large_bucket_is_not_compared_in_pairs(spark, tmp_path):
     assert {(x.other, x.similarity, x["count"]) for x in got} == {("a b c user_0", 0.75, 39_999), ("a b c user_1", 0.75, 1)}
 
 
+def test_every_trusted_row_counts(spark):
+    n = 24_000  # over the 20,000 rows that once were taken
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    # raw and target are the same texts, so every weight and every score is 0
+    assert rules.judge(docs, labels).agg(F.max(F.abs("llr"))).first()[0] < 1e-9
+
+
+def test_nth_smallest(spark, tmp_path):
+    x = np.concatenate([np.random.default_rng(1).normal(size=3000), np.zeros(500), [1e9, -1e9]])
+    spark.createDataFrame([(float(v),) for v in x], "v double").write.parquet(f"{tmp_path}/v")
+    table, order = spark.read.parquet(f"{tmp_path}/v"), np.sort(x)
+    for at in (0, 17, 1500, 1700, 3501):
+        assert rules.nth_smallest(table, "v", at, few=50, bins=16) == order[at]
+
+
 def test_leaders_of_many_tables_meet_rows_in_one_pass(spark, tmp_path):
     r = np.random.default_rng(2)
     v = r.normal(size=(60, 8))
