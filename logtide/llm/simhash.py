@@ -194,15 +194,19 @@ def wide_links(fps: DataFrame, dense: int = 8192) -> DataFrame:
     parts is compared by a task of its own, so no task holds more than two parts whatever the skew.
     """
     rows = fps.select("fp").mapInArrow(_wide_probes, "key long, fp long")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("weight")).where("weight > 1")
-    met = lookup_weighted(rows, materialise(sizes, "wide-sizes"), ["key"])
-    parts = F.ceil(F.col("weight") / dense).cast("int")
-    dealt = met.select("key", "fp", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    buckets = dealt.groupBy("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(
-        F.collect_list(F.when(F.col("part") <= F.col("other"), F.col("fp"))).alias("table"),
-        F.collect_list(F.when(F.col("part") > F.col("other"), F.col("fp"))).alias("probes"),
-    )
-    return buckets.where(F.size("table") > 0).mapInArrow(_verify(WIDE_BITS), "u long, v long").where("u <> v").distinct()
+    heavy = materialise(rows.groupBy("key").agg(F.count("*").alias("weight")).where(F.col("weight") > dense), "wide-heavy")
+    whole = F.collect_list("fp")
+    if heavy.isEmpty():
+        buckets = rows.groupBy("key").agg(whole.alias("table")).where(F.size("table") > 1).withColumn("probes", F.array().cast("array<bigint>"))
+    else:  # of a heavy key's rows each meets every part; others are one part, whose bucket is compared as it is
+        parts = F.coalesce(F.ceil(F.col("weight") / dense).cast("int"), F.lit(1))
+        met = rows.join(heavy, "key", "left")
+        dealt = met.select("key", "fp", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        buckets = dealt.groupBy("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(
+            F.collect_list(F.when(F.col("part") <= F.col("other"), F.col("fp"))).alias("table"),
+            F.collect_list(F.when(F.col("part") > F.col("other"), F.col("fp"))).alias("probes"),
+        ).where((F.size("table") > 0) & (F.size("table") + F.size("probes") > 1))
+    return buckets.select("table", "probes").mapInArrow(_verify(WIDE_BITS), "u long, v long").where("u <> v").distinct()
 
 
 def groups(docs: DataFrame, words: int = 3, dense: int = 1024) -> DataFrame:

@@ -56,6 +56,13 @@ def test_nth_smallest(spark, tmp_path):
         assert rules.nth_smallest(table, "v", at, few=50, bins=16) == order[at]
 
 
+def test_wide_links_join_nothing_where_no_bucket_is_heavy(spark, tmp_path):
+    spark.range(500).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/fp")
+    fps = spark.read.parquet(f"{tmp_path}/fp")
+    assert "Join" not in plan(simhash.wide_links(fps))
+    assert "Join" in plan(simhash.wide_links(fps, 1))
+
+
 def test_leaders_of_many_tables_meet_rows_in_one_pass(spark, tmp_path):
     r = np.random.default_rng(2)
     v = r.normal(size=(60, 8))
