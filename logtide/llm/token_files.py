@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import documents, shard_bounds, shard_of, shuffle_partitions
+from .common import documents, shard_bounds, shuffle_partitions
 
 BLOCKS = (
     "shard int, block int, first_doc_id long, last_doc_id long, tokens_before long, dict_hash string, "
@@ -82,13 +82,18 @@ def write(
     digest = hashlib.sha256(content).hexdigest()
     spark.createDataFrame([(digest, width, bytearray(content))], "dict_hash string, width int, content binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
-    def compress(batches):
-        code, packer = tokens.encoder(tokenizer_path, 40 << 20), zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content))
+    bounds = shard_bounds(docs, shuffle_partitions(spark))
+    edges = np.array(bounds, np.int64)
+
+    def compress(batches):  # tells the shard too: a Python function of its own would be a second worker a task, with its own stems
+        code, packer = tokens.encoder(tokenizer_path), zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content))
         for batch in batches:
-            for part in tokens.slices(batch, most=8_000_000):
+            for part in tokens.slices(batch, most=2_000_000):
                 ids = [x + end for x in code.encode(part.column("text"))]
                 frames = [packer.compress(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) for x in ids]
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
+                doc_id = part.column("doc_id")
+                shard = np.where(doc_id.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(edges, doc_id.fill_null(0).to_numpy(), side="right"), 0)
+                yield pa.record_batch([doc_id, pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(frames, pa.binary()), pa.array(shard.astype(np.int32))], ["doc_id", "n_tokens", "frame", "shard"])
 
     def blocks(batches):
         shard = None
@@ -115,9 +120,7 @@ def write(
         if held:
             yield block_row()
 
-    n = shuffle_partitions(spark)
-    bounds = shard_bounds(docs, n)
-    frames = docs.mapInArrow(compress, "doc_id long, n_tokens int, frame binary").withColumn("shard", shard_of(bounds)("doc_id"))
+    frames = docs.mapInArrow(compress, "doc_id long, n_tokens int, frame binary, shard int")
     dealt = frames.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "frame")
     dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
