@@ -68,7 +68,7 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(count[order], first)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+def _word_counts(batches: Iterator[pa.RecordBatch], most: int = 150_000) -> Iterator[pa.RecordBatch]:
     met: dict[int, list] = {}
 
     def out():
@@ -76,7 +76,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iter
         return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
     for batch in batches:
-        for part in tokens.slices(batch, most=1_000_000):
+        for part in tokens.slices(batch, most=400_000):
             langs = part.column("lang").to_pylist()
             data, start, end, text, key, _ = words_of(part.column("text"), langs)
             distinct, first, count = np.unique(key, return_index=True, return_counts=True)
@@ -122,7 +122,7 @@ def _word_parts(words: DataFrame, parts: int) -> DataFrame:
     return words.mapInArrow(keyed, "lang string, word string, key long, part int").groupBy("part").applyInArrow(built, _PART)
 
 
-def _phrase_parts(stream: DataFrame, bar: int, parts: int, most: int = 1 << 20) -> DataFrame:
+def _phrase_parts(stream: DataFrame, bar: int, parts: int, most: int = 1 << 19) -> DataFrame:
     """The hash of the stream's keys that occur at least ``bar`` times; tasks tell no more than ``bar`` of each."""
     width = np.min_scalar_type(bar)
 
@@ -226,7 +226,7 @@ def next_keys(keys: np.ndarray, slots: np.ndarray, first: bool) -> np.ndarray:
 def _text_keys(batches) -> Iterator[tuple[np.ndarray, None]]:
     """Hashes of a slice's words, with a gap between pieces."""
     for batch in batches:
-        for part in tokens.slices(batch, most=1_000_000):
+        for part in tokens.slices(batch, most=400_000):
             *_, key, piece = words_of(part.column("text"), part.column("lang").to_pylist())
             if len(key):
                 at = np.arange(len(key)) + np.cumsum(np.concatenate([[0], piece[1:] != piece[:-1]]))
