@@ -92,18 +92,32 @@ def weights(counts: DataFrame, buckets: int, smoothing: float = 1.0) -> np.ndarr
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def _scores(weight: np.ndarray, buckets: int, with_base: bool):
+def trusted_rows(rows: DataFrame, trusted: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """The ``rows`` whose doc_id is one of ``trusted`` (distinct), read whole, without a shuffle of the other rows' texts.
+
+    A broadcast bitmap of hashed ids, at most ``bits`` / 64 rows however long the list, lets pass all trusted rows and few
+    others; only what passes is shuffled to the exact join.  The join never turns into a broadcast of the list, so
+    what is written grows with the table.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at(c), F.lit(64)).cast("int"))
+    word = lambda c: F.floor(at(c) / 64).cast("int").alias("_word")
+    words = trusted.groupBy(word("doc_id")).agg(F.bit_or(bit("doc_id")).alias("_bits"))
+    near = rows.withColumn("_word", word("doc_id")).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit("doc_id")) != 0)
+    return near.select(*rows.columns).join(trusted.hint("merge"), "doc_id")  # a semi join would be pushed below the bitmap
+
+
+def _scores(weight: np.ndarray, buckets: int):
     def run(batches):
         for b in batches:
             base, score = [], []
             for data in b.column("data"):
                 data = data.as_py()
-                if with_base:
-                    base.append(surface(data))
+                base.append(surface(data))
                 g = grams(data, buckets)
                 score.append(float(weight[g].mean(dtype=np.float64)) if len(g) else 0.0)
-            cols = [pa.array(np.array(c, np.int64)) for c in zip(*base, strict=True)] or [pa.array([], pa.int64())] * 5 * with_base
-            names = [f.split()[0] for f in BASE.split(", ")] * with_base
+            cols = [pa.array(np.array(c, np.int64)) for c in zip(*base, strict=True)] or [pa.array([], pa.int64())] * 5
+            names = [f.split()[0] for f in BASE.split(", ")]
             yield pa.record_batch([b.column("doc_id"), *cols, pa.array(score, pa.float64())], ["doc_id", *names, "llr"])
 
     return run
@@ -139,16 +153,18 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None, ke
     """
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     rows = documents(docs).select("doc_id", F.col("text").cast("binary").alias("data"))
-    target = materialise(rows.join(trusted, "doc_id", "left_semi"), "trusted")
     raw = bucket_counts(rows, buckets).withColumnRenamed("n", "raw").withColumn("target", F.lit(0).cast("long"))
+    # few tasks, as each gives a row a bucket; texts stream through them
+    target = trusted_rows(rows, trusted).coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
     counts = raw.union(bucket_counts(target, buckets).select("bucket", F.lit(0).cast("long"), "n"))
     weight = weights(counts, buckets).astype(np.float32)
 
+    scored = rows.mapInArrow(_scores(weight, buckets), f"doc_id long, {BASE}, llr double")
     if threshold is None:
-        known = materialise(target.mapInArrow(_scores(weight, buckets, False), "doc_id long, llr double").select("llr"), "trusted-scores")
+        scored = materialise(scored, "scored")  # figures alone, so the trusted rows' scores are joined without their texts
+        known = materialise(scored.select("doc_id", "llr").join(trusted.hint("merge"), "doc_id", "left_semi").select("llr"), "trusted-scores")
         n = known.count()
         threshold = min(0.0, nth_smallest(known, "llr", int((1 - keep_trusted) * n))) if n else 0.0
 
-    scored = rows.mapInArrow(_scores(weight, buckets, True), f"doc_id long, {BASE}, llr double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
