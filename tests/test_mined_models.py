@@ -4,7 +4,9 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from logtide.plans import pipeline
 from logtide.queries import QUERIES
+from logtide.sources import logs
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +45,14 @@ def test_lists_are_of_mined_templates(spark, sf, name):
 def test_reasons(spark, sf):
     got = {r.id: r.reasons for r in QUERIES["pipeline_anomaly_reasons"](spark, sf).collect()}
     assert set(got) == {97, 194, 291, 388} and got[388] == "critical_severity"
+
+
+def test_chain_without_raw_text(spark):
+    """Raw and masked lines, which no registered query reads, can be left behind once templates are known; nothing else changes."""
+    lines = logs.generate(spark, 400)
+    full, slim = pipeline.run(lines), pipeline.run(lines, with_text=False)
+    assert set(full.lines.columns) - set(slim.lines.columns) == {"line", "masked"}
+    for a, b in ((full.lines.drop("line", "masked"), slim.lines), (full.clusters, slim.clusters), (full.alerts, slim.alerts)):
+        assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
+    with_values = pipeline.judged(lines, with_variables=True, with_text=False)
+    assert "variables" in with_values.columns and not {"line", "masked"} & set(with_values.columns)
