@@ -3,8 +3,10 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from logtide.plans import pipeline
+from logtide.operators import clustering
+from logtide.plans import pipeline, readmodels
 from logtide.queries import QUERIES
 from logtide.sources import logs
 
@@ -56,3 +58,20 @@ def test_chain_without_raw_text(spark):
         assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
     with_values = pipeline.judged(lines, with_variables=True, with_text=False)
     assert "variables" in with_values.columns and not {"line", "masked"} & set(with_values.columns)
+
+
+def test_full_stats_count_lines_once(spark, tmp_path):
+    """Of the five counts one reads the lines; a second reading is that of the latest lines' times."""
+    result = pipeline.run(logs.generate(spark, 400))
+    for name, rows in (("lines", result.lines.withColumn("probe", F.lit(1))), ("alerts", result.alerts), ("clusters", result.clusters)):
+        rows.write.parquet(str(tmp_path / name))
+    lines, sent, found = (spark.read.parquet(str(tmp_path / x)) for x in ("lines", "alerts", "clusters"))
+    out = readmodels.full_stats(lines, sent, clustering.new_incidents(found))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in x and "probe" in x for x in plan.splitlines()) == 1
+    row, health, counts = out.first(), readmodels.health(lines, clustering.new_incidents(found)).first(), readmodels.ingest_stats(lines, sent).first()
+    assert all(row[c] == health[c] for c in health.asDict()) and (row.new_incidents, row.alerts) == (counts.new_incidents, counts.alerts)
+    assert {x["name"]: x["count"] for x in row.severities} == dict(readmodels.severity_histogram(lines).collect())
+    assert [(x["name"], x["count"]) for x in row.components] == [tuple(x) for x in readmodels.top_components(lines).collect()]
+    none = readmodels.full_stats(lines.limit(0), sent.limit(0), clustering.new_incidents(found.limit(0))).first()
+    assert (none.total_logs, none.anomalies, none.unique_templates, none.error_rate, none.new_incidents, none.severities) == (0, 0, 0, 0.0, 0, [])
