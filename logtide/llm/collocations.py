@@ -9,13 +9,16 @@ array (bincount) and write the keys of the next level; the arrays of all tasks a
 further reading goes by slot: the parts of each cut, the longer phrases that swallow a shorter one.
 
 Nothing grows with the corpus on the driver or in a task: hashes are broadcast in blocks of at most
-``block_slots`` keys, one scan a block.  Words are known by a 64-bit hash with their language.
+``block_slots`` keys, one scan a block.  Words are known by a 64-bit hash with their language.  Streams are written
+in rows of about ``_RUN`` keys: pages and Arrow batches hold a number of rows whatever their size, and buffers for
+them lie outside the heap.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,9 @@ _CLASS[list(b"\t ")] = 1
 _CLASS[list(b".,;:!?\n\x0b\x0c\r")] = 2
 _HALF = np.uint64(32)
 _FAN_IN = 16
-_SLICE = 1 << 16
+_SLICE = 1 << 13
+_RUN = 256
+_MANY = 1 << 16
 _STREAM = "kind int, task int, at long, width int, data binary, slots binary"
 _PART = "part int, n long, sizes array<int>, bits binary, keys binary, langs array<string>, words array<string>"
 
@@ -138,8 +143,7 @@ def _phrase_parts(stream: DataFrame, bar: int, parts: int, most: int = 1 << 19)
     def local(batches):
         keys, counts, size = [], [], 0
         for b in batches:
-            for data in b.column("data"):
-                key = np.frombuffer(data.as_py(), np.uint64)
+            for key in _joined(b.column("data")):
                 key, count = np.unique(key[key != GAP], return_counts=True)
                 keys.append(key)
                 counts.append(count)
@@ -224,21 +228,45 @@ def next_keys(keys: np.ndarray, slots: np.ndarray, first: bool) -> np.ndarray:
 
 
 def _text_keys(batches) -> Iterator[tuple[np.ndarray, None]]:
-    """Hashes of a slice's words, with a gap between pieces."""
+    """Hashes of a slice's words, with a gap after each piece."""
     for batch in batches:
         for part in tokens.slices(batch, most=400_000):
             *_, key, piece = words_of(part.column("text"), part.column("lang").to_pylist())
             if len(key):
                 at = np.arange(len(key)) + np.cumsum(np.concatenate([[0], piece[1:] != piece[:-1]]))
-                out = np.full(at[-1] + 1, GAP)
+                out = np.full(at[-1] + 2, GAP)
                 out[at] = key
                 yield out, None
 
 
+def _joined(rows: pa.Array, kind: type = np.uint64) -> Iterator[np.ndarray]:
+    """The numbers of a column's rows, one row after another, about ``_MANY`` at a time."""
+    if not len(rows):
+        return
+    rows = rows.cast(pa.large_binary())
+    ends = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    data = np.frombuffer(rows.buffers()[2] or b"", np.uint8)
+    cuts = [*ends[np.diff((ends - ends[0]) // (8 * _MANY), prepend=-1) > 0].tolist(), int(ends[-1])]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        if start < end:
+            yield data[start:end].view(kind)
+
+
 def _stream_keys(batches) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     for b in batches:
-        for data, slots in zip(b.column("data"), b.column("slots"), strict=True):
-            yield np.frombuffer(data.as_py(), np.uint64), np.frombuffer(slots.as_py(), np.int64) if slots.is_valid else None
+        slots = b.column("slots")
+        yield from zip(_joined(b.column("data")), repeat(None) if slots.null_count else _joined(slots, np.int64), strict=False)
+        pa.default_memory_pool().release_unused()
+
+
+def _runs(task: int, keys: np.ndarray, slots: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of kind 0, each of about ``_RUN`` keys: they end with a gap, as ``keys`` do, so no run is cut."""
+    gap = np.flatnonzero(keys == GAP) + 1
+    ends = np.append(0, gap[np.diff(gap // _RUN, append=-1) != 0])
+    n = len(ends) - 1
+    column = lambda x: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(x)])
+    cols = [pa.array(np.full(n, v, k)) for v, k in ((0, np.int32), (task, np.int32), (0, np.int64), (8, np.int32))]
+    return pa.record_batch([*cols, column(keys), pa.nulls(n, pa.binary()) if slots is None else column(slots)], [c.split()[0] for c in _STREAM.split(", ")])
 
 
 def _rows(kind: int, task: int, rows: list[tuple]) -> pa.RecordBatch:
@@ -267,9 +295,9 @@ def _scan(rows: DataFrame, block, source, first: bool, last: bool) -> DataFrame:
             counts += np.bincount(found[found >= 0] - here.base, minlength=len(counts))
             slots = found if slots is None else np.where(found >= 0, found, slots)
             if not last:
-                yield _rows(0, task, [(0, 8, keys.tobytes(), slots.tobytes())])
+                yield _runs(task, keys, slots)
             elif len(out := next_keys(keys, slots, first)):
-                yield _rows(0, task, [(0, 8, out.tobytes(), None)])
+                yield _runs(task, out)
         for at in range(0, len(counts), _SLICE):
             if (some := counts[at : at + _SLICE]).any():
                 yield _rows(1, task, [(here.base + at, *_narrow(some), None)])

@@ -103,3 +103,33 @@ def test_tree_sum(spark):
     total = collocations._tree_sum(spark.createDataFrame(rows, "task int, at long, width int, data binary").repartition(4))
     got = dict(map(tuple, collocations._by_slot(total).collect()))
     assert got == {at + i: int(n) for at in (0, 50) for i, n in enumerate(np.sum(arrays, axis=0))}
+
+
+def test_streams_are_written_in_short_rows(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abc") + r.choice(["", "", "", "."]) for _ in range(6000)) for _ in range(30)]
+    rows = [(t, "en") for t in texts]
+    made, count = [], collocations.materialise
+    monkeypatch.setattr(collocations, "materialise", lambda df, tag: made.append((tag, out := count(df, tag))) or out)
+    docs = table(spark, rows)
+    assert sorted(map(tuple, collocations.mine(docs, bar=100, block_slots=5).collect())) == brute(rows, 100)
+    written = [t.where("kind = 0") for tag, t in made if tag == "keys"]
+    sizes = [t.selectExpr("max(length(data))", "max(length(slots))", "sum(length(data))").first() for t in written]
+    assert len(sizes) > 5 and max(x[2] or 0 for x in sizes) > 1_000_000
+    assert max(x[0] or 0 for x in sizes) < 8 * (256 + 100) and max(x[1] or 0 for x in sizes) < 8 * (256 + 100)
+
+
+def test_rows_join_to_slices_and_cut_at_gaps():
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    keys = r.integers(0, 50, 300_000).astype(np.uint64)
+    keys[r.random(len(keys)) < 0.1] = slots.GAP
+    keys[5000:9000], keys[9000], keys[-1] = 1, slots.GAP, slots.GAP  # a run longer than a row
+    batch = collocations._runs(3, keys, np.arange(len(keys)))
+    rows = [np.frombuffer(x, np.uint64) for x in batch.column("data").to_pylist()]
+    assert all(x[-1] == slots.GAP for x in rows) and len(rows) > 1000 and (np.concatenate(rows) == keys).all()
+    got = list(collocations._stream_keys([batch.slice(0, 700), batch.slice(700), batch.slice(0, 0)]))
+    assert (np.concatenate([k for k, _ in got]) == keys).all() and (np.concatenate([s for _, s in got]) == np.arange(len(keys))).all()
+    assert len(got) < 10 and max(len(k) for k, _ in got) < 80_000
+    assert all(s is None for _, s in collocations._stream_keys([collocations._runs(3, keys)]))
