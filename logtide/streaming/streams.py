@@ -7,12 +7,13 @@ the leaf key is uncapped, as the fan-out cap needs to know all keys.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import masking
@@ -154,15 +155,47 @@ def consumer_lag(query: StreamingQuery) -> int:
     return sum(int((s.get("metrics") or {}).get("avgOffsetsBehindLatest") or 0) for s in sources)
 
 
+class _Ended(StreamingQueryListener):
+    """Tells when a stream's end has been reported; all listeners have its progress then."""
+
+    def __init__(self) -> None:
+        self.runs: set[str] = set()
+        self.news = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        with self.news:
+            self.runs.add(str(event.runId))
+            self.news.notify_all()
+
+
+def _run(stream: DataFrame, writer: DataStreamWriter, path: str | None = None, patience: float = 60) -> StreamingQuery:
+    """Start a stream and wait for its end and (``patience`` seconds at most) for its listeners, who hear of it later."""
+    streams, ended = stream.sparkSession.streams, _Ended()
+    streams.addListener(ended)
+    try:
+        query = writer.trigger(availableNow=True).start(path)
+        query.awaitTermination()
+        with ended.news:
+            ended.news.wait_for(lambda: str(query.runId) in ended.runs, patience)
+    finally:
+        streams.removeListener(ended)
+    return query
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a stream over all that is there and append it to a Parquet folder."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-    query.awaitTermination()
-    return query
+    return _run(stream, stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint), path)
 
 
 def drain_to(stream: DataFrame, write, checkpoint: str, mode: str = "update") -> StreamingQuery:
     """The same through ``write(batch, batch_id)``, e.g. ``Store.save_batch`` or an alert dispatcher."""
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+    return _run(stream, stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint))

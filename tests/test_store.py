@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,24 @@ def test_lag_of_a_text_stream(spark, tmp_path):
     assert lag.unread(spark, str(folder), next(iter(listener.offsets.values()))[0]) == 0
 
 
+def test_drain_waits_for_slow_listeners(spark, tmp_path):
+    class Slow(lag.Progress):
+        def onQueryProgress(self, event):  # noqa: N802
+            time.sleep(1.5)
+            super().onQueryProgress(event)
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("line\n" * 30)
+    for i, run in enumerate((lambda s, c: streams.drain(s, str(tmp_path / "o"), c), lambda s, c: streams.drain_to(s, lambda batch, _: batch.count(), c))):
+        listener = Slow()
+        spark.streams.addListener(listener)
+        try:
+            run(logs.stream_text(spark, str(tmp_path / "in")), str(tmp_path / f"c{i}"))
+        finally:
+            spark.streams.removeListener(listener)
+        assert sum(listener.rows.values()) == 30
+
+
 def test_outbox_sends_once(spark, tmp_path):
     said = str(tmp_path / "said")
 
